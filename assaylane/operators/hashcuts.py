@@ -1,0 +1,81 @@
+"""Exact ranks among hashed ids, without sorting them."""
+
+from __future__ import annotations
+
+from collections.abc import Hashable, Mapping, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_DIGITS = 4  # hex digits per pass: at most 65,536 counts per class reach the driver
+_SMALL = 10_000
+
+
+@dataclass
+class _Target:
+    group: Hashable
+    rank: int
+    prefix: str
+    rank_inside: int
+    inside: int
+    cut: str | None = None
+
+
+def hash_cuts(
+    df: DataFrame,
+    group: str,
+    hash_col: str,
+    ranks: Mapping[Hashable, Sequence[int]],
+    sizes: Mapping[Hashable, int],
+    small: int = _SMALL,
+) -> dict[Hashable, list[str]]:
+    """Hash at each wanted 1-based rank within each group, where groups are few.
+
+    So ``hash <= cut`` holds for exactly ``rank`` rows of the group. Counts rows per hash prefix,
+    keeps the prefix that holds the rank and adds digits, until few enough hashes share the prefix
+    to be looked at one by one.
+    """
+    targets = [_Target(g, r, "", r, sizes[g]) for g, rs in ranks.items() for r in rs]
+    while open_ := [t for t in targets if t.inside > small and len(t.prefix) < 32]:
+        length = len(open_[0].prefix) + _DIGITS
+        counted = (
+            df.where(_under(group, hash_col, open_))
+            .groupBy(F.col(group).alias("g"), F.substring(hash_col, 1, length).alias("p"))
+            .agg(F.count("*").alias("n"))
+            .collect()
+        )
+        rows = sorted((r["g"], r["p"], r["n"]) for r in counted)
+        for t in open_:
+            left = t.rank_inside
+            for g, prefix, n in rows:
+                if g != t.group or not prefix.startswith(t.prefix):
+                    continue
+                if left <= n:
+                    t.prefix, t.rank_inside, t.inside = prefix, left, n
+                    break
+                left -= n
+    _read_cuts(df, group, hash_col, targets, small)
+    cuts: dict[Hashable, list[str]] = {g: [] for g in ranks}
+    for t in targets:
+        cuts[t.group].append(t.cut)
+    return cuts
+
+
+def _under(group: str, hash_col: str, targets: Sequence[_Target]) -> Column:
+    wanted = F.lit(False)
+    for g, prefix in sorted({(t.group, t.prefix) for t in targets}):
+        wanted = wanted | ((F.col(group) == F.lit(g)) & F.col(hash_col).startswith(prefix))
+    return wanted
+
+
+def _read_cuts(df: DataFrame, group: str, hash_col: str, targets: list[_Target], small: int) -> None:
+    if any(t.inside > small for t in targets):
+        raise ValueError("many rows share one id, so rows cannot be told apart by it")
+    rows = df.where(_under(group, hash_col, targets)).select(F.col(group).alias("g"), F.col(hash_col).alias("h"))
+    hashes = sorted((r["g"], r["h"]) for r in rows.collect())  # at most ``small`` rows per target
+    for t in targets:
+        own = [h for g, h in hashes if g == t.group and h.startswith(t.prefix)]
+        t.cut = own[t.rank_inside - 1]
+        if t.rank_inside < len(own) and own[t.rank_inside] == t.cut:
+            raise ValueError("ids are not unique: the cut falls between rows with the same id")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,7 +115,7 @@ def valid_patterns(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
     def valid(pattern: str) -> bool:
         try:
             compile_(pattern)
-        except Py4JJavaError:
+        except (IllegalArgumentException, Py4JJavaError):
             return False
         return True
 

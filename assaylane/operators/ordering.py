@@ -163,7 +163,8 @@ def values_at_ranks(
     final_rows = final_rows if final_rows is not None else ROWS_PER_TASK
     finite = lambda c: F.greatest(F.least(c, F.lit(_LARGEST)), F.lit(-_LARGEST))
     clean = df.select(
-        [F.when(~F.isnan(v), finite(v)).alias(f"c{i}") for i, v in enumerate(_doubles(columns))]
+        # (null has to be named: isnan(null) is false, and greatest/least skip nulls)
+        [F.when(v.isNotNull() & ~F.isnan(v), finite(v)).alias(f"c{i}") for i, v in enumerate(_doubles(columns))]
     )
     profile = clean.agg(
         *[F.count(c).alias(f"n_{c}") for c in clean.columns],

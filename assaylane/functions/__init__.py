@@ -6,11 +6,10 @@ from assaylane.functions.numeric import (
     first_available,
     numeric,
     round3,
-    safe_float,
 )
 from assaylane.functions.rules import count_violations, lipinski_violations, veber_violations
 from assaylane.functions.seeds import seed_hash
-from assaylane.functions.text import clean_text, normalize_relation, strip, truthy
+from assaylane.functions.text import clean_text, normalize_relation, safe_float, strip, truthy
 
 __all__ = [
     "class_text", "classify", "clean_text", "count_violations", "first_available", "lipinski_violations",

@@ -6,14 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from assaylane.fixed import ACTIVE, INACTIVE
-from assaylane.functions.text import NUMBER, strip
-
-
-def safe_float(col: Column) -> Column:
-    """Number in a text, else null. Accepts what a plain decimal reader accepts, so not ``1.5d``."""
-    text = strip(col.cast("string"))
-    special = F.lower(text).rlike(r"^[+-]?(inf|infinity|nan)$")
-    return F.when(text.rlike(NUMBER) | special, text.try_cast("double"))
+from assaylane.functions.text import safe_float
 
 
 def numeric(col: Column) -> Column:

@@ -7,24 +7,30 @@ from pyspark.sql import types as T
 
 from assaylane.fixed import TRUE_TEXTS
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+WHITE_SPACE = "".join(chr(i) for i in range(0x10000) if chr(i).isspace())
 
 
 def strip(col: Column) -> Column:
     """Drop white space of any kind at both ends (SQL ``trim`` drops plain spaces only)."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.trim(col, F.lit(WHITE_SPACE))
+
+
+def safe_float(col: Column) -> Column:
+    """Number in a text, else null. Takes decimal notation only, so not ``1.5d`` or ``0x1p3``."""
+    text = strip(col.cast("string"))
+    infinite = F.lower(text).isin("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
+    return F.when(~text.rlike("[dDfFxX]") | infinite, text.try_cast("double"))
 
 
 def normalize_relation(col: Column) -> Column:
     """``" '=' "`` -> ``"="``; null -> ``""``."""
-    unquoted = F.regexp_replace(strip(F.coalesce(col.cast("string"), F.lit(""))), "^[\"']+|[\"']+$", "")
-    return strip(unquoted)
+    return strip(F.trim(strip(F.coalesce(col.cast("string"), F.lit(""))), F.lit("\"'")))
 
 
 def truthy(col: Column) -> Column:
     """Flag text to boolean. Missing, empty and zero are false; any other text is true, even ``no``."""
     text = F.lower(strip(col.cast("string")))
-    zero = text.rlike(NUMBER) & (text.try_cast("double") == 0)
+    zero = safe_float(text) == 0
     missing = col.isNull() | F.coalesce(col.try_cast("string") == "NaN", F.lit(False))
     return (
         F.when(missing, F.lit(False))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylane.functions.numeric import numeric
 from assaylane.functions.text import normalize_relation, strip
-from assaylane.operators.columns import col
+from assaylane.operators.columns import col, number
 
 
 def filter_assay(
@@ -26,25 +25,24 @@ def filter_assay(
     """
     if units_mode not in ("is", "not"):
         raise ValueError("units_mode is 'is' or 'not'")
-    text = lambda name: col(name).cast("string")
-    conditions: dict[str, Column] = {}
-    if target is not None:
-        conditions["Target ChEMBL ID"] = text("Target ChEMBL ID") == target
-    if stype is not None:
-        conditions["Standard Type"] = F.upper(text("Standard Type")) == stype.upper()
-    if units is not None:
-        unit = text("Standard Units")
+    present = set(df.columns)
+    conditions: list[Column] = []
+    if target is not None and "Target ChEMBL ID" in present:
+        conditions.append(col("Target ChEMBL ID").cast("string") == target)
+    if stype is not None and "Standard Type" in present:
+        conditions.append(F.upper(col("Standard Type").cast("string")) == stype.upper())
+    if units is not None and "Standard Units" in present:
+        unit = col("Standard Units").cast("string")
         if units_mode == "is":
-            conditions["Standard Units"] = F.lower(unit) == units.lower()
+            conditions.append(F.lower(unit) == units.lower())
         else:
-            conditions["Standard Units"] = ~F.lower(strip(unit)).eqNullSafe(units.lower())
-    if relation is not None:
-        conditions["Standard Relation"] = normalize_relation(col("Standard Relation")) == relation
-    if positive:
-        conditions["Standard Value"] = numeric(col("Standard Value")) > 0
-    for name, condition in conditions.items():
-        if name in df.columns:
-            df = df.where(condition)
+            conditions.append(~F.lower(strip(unit)).eqNullSafe(units.lower()))
+    if relation is not None and "Standard Relation" in present:
+        conditions.append(normalize_relation(col("Standard Relation")) == relation)
+    if positive and "Standard Value" in present:
+        conditions.append(number(df, "Standard Value") > 0)
+    for condition in conditions:
+        df = df.where(condition)
     return df
 
 

@@ -17,6 +17,14 @@ def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def number(df: DataFrame, name: str) -> Column:
+    """A column as doubles, without NaN. Text is read as numbers, numeric columns are only cast."""
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return numeric(col(name))
+    value = col(name).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def detect_column(df: DataFrame, candidates: Sequence[str], fragment: str | None = None) -> str:
     """First candidate present (case matters), else the first name that holds ``fragment`` in any case."""
     found = next((c for c in candidates if c in df.columns), None)
@@ -42,7 +50,7 @@ def pick_id(df: DataFrame, row_index: str = "row_idx") -> str:
 
 def coerce_numeric(df: DataFrame, name: str, drop: bool = True) -> DataFrame:
     """Read a column as numbers; what is not a number becomes null, and its row is dropped if asked."""
-    out = df.withColumn(name, numeric(col(name)))
+    out = df.withColumn(name, number(df, name))
     return out.where(col(name).isNotNull()) if drop else out
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Hashable, Mapping, Sequence
 from dataclasses import dataclass
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DIGITS = 4  # hex digits per pass: at most 65,536 counts per class reach the driver
+_MOST_DIGITS = 4  # hex digits per pass: at most 65,536 counts per class reach the driver
 _SMALL = 10_000
 
 
@@ -38,19 +39,20 @@ def hash_cuts(
     """
     targets = [_Target(g, r, "", r, sizes[g]) for g, rs in ranks.items() for r in rs]
     while open_ := [t for t in targets if t.inside > small and len(t.prefix) < 32]:
-        length = len(open_[0].prefix) + _DIGITS
+        digits = ceil(log(max(t.inside for t in open_) / small, 16)) + 1
+        length = min(len(open_[0].prefix) + min(digits, _MOST_DIGITS), 32)
         counted = (
             df.where(_under(group, hash_col, open_))
             .groupBy(F.col(group).alias("g"), F.substring(hash_col, 1, length).alias("p"))
             .agg(F.count("*").alias("n"))
             .collect()
         )
-        rows = sorted((r["g"], r["p"], r["n"]) for r in counted)
+        rows: dict[tuple, list] = {}
+        for g, prefix, n in sorted((r["g"], r["p"], r["n"]) for r in counted):
+            rows.setdefault((g, prefix[: len(open_[0].prefix)]), []).append((prefix, n))
         for t in open_:
             left = t.rank_inside
-            for g, prefix, n in rows:
-                if g != t.group or not prefix.startswith(t.prefix):
-                    continue
+            for prefix, n in rows[t.group, t.prefix]:
                 if left <= n:
                     t.prefix, t.rank_inside, t.inside = prefix, left, n
                     break

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylane.fixed import SEED
-from assaylane.functions.numeric import numeric
 from assaylane.functions.seeds import seed_hash
-from assaylane.operators.columns import col
+from assaylane.operators.columns import col, number
 from assaylane.operators.hashcuts import hash_cuts
 from assaylane.operators.ordering import values_at_ranks
 
@@ -34,8 +33,8 @@ def label_by_fraction(
     """
     if not 0.0 < fraction <= 1.0:
         raise ValueError("fraction must be in (0, 1]")
-    number = numeric(col(value))
-    frame = df.select(number.alias("v"), seed_hash(col(id_col), seed=seed).alias("h"))
+    number_ = number(df, value)
+    frame = df.select(number_.alias("v"), seed_hash(col(id_col), seed=seed).alias("h"))
     wanted = lambda n: [max(1, min(floor(fraction * n), n))]
     counts, values = values_at_ranks(frame, ["v"], wanted, **limits)
     if not values["v"]:
@@ -44,18 +43,18 @@ def label_by_fraction(
     seen = frame.agg(
         F.count_if(F.col("v") < cut).alias("below"), F.count_if(F.col("v") == cut).alias("tied")
     ).first()
-    active = number <= cut
+    active = number_ <= cut
     if k - seen["below"] < seen["tied"]:
         tied = frame.where(F.col("v") == cut).select(F.lit(0).alias("g"), "h")
         cuts = hash_cuts(tied, "g", "h", {0: [k - seen["below"]]}, {0: seen["tied"]})
         chosen = seed_hash(col(id_col), seed=seed) <= cuts[0][0]
-        active = (number < cut) | ((number == cut) & chosen)
+        active = (number_ < cut) | ((number_ == cut) & chosen)
     return df.withColumn(out, F.coalesce(active, F.lit(False)).cast("int"))
 
 
 def label_cutoff(df: DataFrame, value: str, y: str = "activo") -> DataFrame:
     """Largest value among the rows labelled 1."""
-    return df.agg(F.max(F.when(col(y) == 1, numeric(col(value)))).alias("cutoff"))
+    return df.agg(F.max(F.when(col(y) == 1, number(df, value))).alias("cutoff"))
 
 
 def class_distribution(df: DataFrame, y: str = "activo") -> DataFrame:

@@ -7,7 +7,7 @@ ranges before it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from math import ceil
 
@@ -133,7 +133,7 @@ def running_totals(
 class _Bracket:
     """Where one wanted rank of one column can lie: values ``lo..hi``, ``below`` rows under them."""
 
-    column: int
+    column: str
     rank: int
     lo: float
     hi: float
@@ -141,6 +141,10 @@ class _Bracket:
     inside: int
     value: float | None = None
 
+    @property
+    def shape(self) -> tuple[str, float, float, int]:
+        return self.column, self.lo, self.hi, self.below
+
 
 _HISTOGRAM_BINS = 1024
 _LARGEST = 1.7976931348623157e308
@@ -149,7 +153,7 @@ _LARGEST = 1.7976931348623157e308
 def values_at_ranks(
     df: DataFrame,
     columns: Sequence[str],
-    ranks_of,
+    ranks_of: Callable[[int], list[int]],
     final_rows: int | None = None,
     sample_rows: int | None = None,
 ) -> tuple[dict[str, int], dict[str, list[float]]]:
@@ -161,84 +165,84 @@ def values_at_ranks(
     driver sees bin counts only, and the last bin of at most ``final_rows`` rows is sorted in Spark.
     """
     final_rows = final_rows if final_rows is not None else ROWS_PER_TASK
-    finite = lambda c: F.greatest(F.least(c, F.lit(_LARGEST)), F.lit(-_LARGEST))
-    clean = df.select(
-        # (null has to be named: isnan(null) is false, and greatest/least skip nulls)
-        [F.when(v.isNotNull() & ~F.isnan(v), finite(v)).alias(f"c{i}") for i, v in enumerate(_doubles(columns))]
-    )
-    profile = clean.agg(
-        *[F.count(c).alias(f"n_{c}") for c in clean.columns],
-        *[F.min(c).alias(f"lo_{c}") for c in clean.columns],
-        *[F.max(c).alias(f"hi_{c}") for c in clean.columns],
-    ).first()
-    counts = {name: profile[f"n_c{i}"] for i, name in enumerate(columns)}
+    cells = _cells(df, columns)
+    profile = cells.groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    found = {r["c"]: r for r in profile.collect()}  # one row per column
+    counts = {c: found[c]["n"] if c in found else 0 for c in columns}
     brackets = [
-        _Bracket(i, rank, profile[f"lo_c{i}"], profile[f"hi_c{i}"], 0, counts[name])
-        for i, name in enumerate(columns)
-        if counts[name] > 0
-        for rank in ranks_of(counts[name])
+        _Bracket(c, rank, found[c]["lo"], found[c]["hi"], 0, counts[c])
+        for c in columns
+        if c in found
+        for rank in ranks_of(counts[c])
     ]
     open_ = [b for b in brackets if b.inside > final_rows and b.lo < b.hi]
     if open_:
-        _place_by_sample(clean, open_, counts, columns, sample_rows or SAMPLE_ROWS)
+        _place_by_sample(df, open_, counts, sample_rows or SAMPLE_ROWS)
     while open_:
-        _refine(clean, open_)
+        _refine(cells, open_)
+        # (a width of zero: neighbouring tiny numbers, too close to be cut into bins)
         open_ = [b for b in open_ if b.inside > final_rows and b.value is None and b.hi / 2 > b.lo / 2]
-    _finish(clean, [b for b in brackets if b.value is None])
-    values: dict[str, list[float]] = {name: [] for name in columns}
+    _finish(cells, [b for b in brackets if b.value is None])
+    values: dict[str, list[float]] = {c: [] for c in columns}
     for b in brackets:
         edge = float("inf") if abs(b.value) == _LARGEST else abs(b.value)
-        values[columns[b.column]].append(edge if b.value >= 0 else -edge)
+        values[b.column].append(edge if b.value >= 0 else -edge)
     return counts, values
 
 
-def _doubles(columns: Sequence[str]) -> list[Column]:
-    return [col(c).cast("double") for c in columns]
+def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Long form ``(c, v)`` of the columns, without missing values; infinities as the largest number."""
+    numbers = df.select([col(c).cast("double").alias(c) for c in columns])
+    long = numbers.unpivot([], [col(c) for c in columns], "c", "v").where("v is not null and not isnan(v)")
+    return long.withColumn("v", F.greatest(F.least("v", F.lit(_LARGEST)), F.lit(-_LARGEST)))
 
 
-def _place_by_sample(
-    clean: DataFrame, brackets: list[_Bracket], counts: dict[str, int], columns: Sequence[str], rows: int
-) -> None:
+def _place_by_sample(df: DataFrame, brackets: list[_Bracket], counts: dict[str, int], rows: int) -> None:
     """Narrow the first histogram to where a sample says the rank is, six standard errors wide."""
     share = min(1.0, rows / max(counts.values()))
-    wanted = {}
-    for j, b in enumerate(brackets):
-        n = counts[columns[b.column]]
+    ranges = []
+    for b in brackets:
+        n = counts[b.column]
         p = b.rank / n
         spread = 6 * (max(p * (1 - p), 1e-6) / max(n * share, 1)) ** 0.5
-        steps = [max(0.0, p - spread), min(1.0, p + spread)]
-        wanted[f"s{j}"] = F.percentile_approx(f"c{b.column}", steps, 10_000)
-    drawn = clean.sample(share, seed=1).agg(*[a.alias(name) for name, a in wanted.items()]).first()
-    for j, b in enumerate(brackets):
-        if drawn[f"s{j}"]:
-            b.lo, b.hi = drawn[f"s{j}"]
+        ranges.append((max(0.0, p - spread), min(1.0, p + spread)))
+    steps = sorted({p for pair in ranges for p in pair})
+    cells = _cells(df.sample(share, seed=1), sorted({b.column for b in brackets}))
+    drawn = cells.groupBy("c").agg(F.percentile_approx("v", steps, 10_000).alias("q")).collect()
+    quantiles = {r["c"]: r["q"] for r in drawn}
+    for b, (low, high) in zip(brackets, ranges):
+        if b.column in quantiles:
+            b.lo, b.hi = (quantiles[b.column][steps.index(p)] for p in (low, high))
+
+
+def _with_shapes(cells: DataFrame, shapes: list[tuple]) -> DataFrame:
+    """Each cell next to the brackets of its column, two per column at most."""
+    frame = cells.sparkSession.createDataFrame(
+        [(i, *shape) for i, shape in enumerate(shapes)], "s int, c string, lo double, hi double, below long"
+    )
+    return cells.join(F.broadcast(frame), "c")
 
 
-def _refine(clean: DataFrame, brackets: list[_Bracket]) -> None:
+def _refine(cells: DataFrame, brackets: list[_Bracket]) -> None:
     """One pass: histogram of every bracket, with all rows under and over it as two more bins."""
-    shapes = sorted({(b.column, b.lo, b.hi) for b in brackets})
-    cells = []
-    for s, (i, lo, hi) in enumerate(shapes):
-        v = F.col(f"c{i}")
-        width = hi / 2 - lo / 2
-        step = ((v / 2 - F.lit(lo / 2)) / F.lit(width) * _HISTOGRAM_BINS) if width > 0 else F.lit(0.0)
-        inner = F.least(F.floor(step).cast("int"), F.lit(_HISTOGRAM_BINS - 1))
-        bin_ = F.when(v < lo, -1).when(v > hi, _HISTOGRAM_BINS).otherwise(inner)
-        cells.append(F.struct(F.lit(s).alias("s"), F.when(v.isNotNull(), bin_).alias("bin"), v.alias("v")))
+    shapes = sorted({b.shape for b in brackets})
+    # halves keep the width of the widest bracket finite
+    step = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2) * _HISTOGRAM_BINS
+    inner = F.least(F.floor(F.coalesce(step, F.lit(0.0))).cast("int"), F.lit(_HISTOGRAM_BINS - 1))
+    bin_ = F.when(F.col("v") < F.col("lo"), -1).when(F.col("v") > F.col("hi"), _HISTOGRAM_BINS).otherwise(inner)
     bins = (
-        clean.select(F.explode(F.array(*cells)).alias("x"))
-        .select("x.s", "x.bin", "x.v")
-        .where("bin is not null")
+        _with_shapes(cells, shapes)
+        .select("s", bin_.alias("bin"), "v")
         .groupBy("s", "bin")
         .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         .collect()  # at most 1026 rows per bracket
     )
-    by_shape: dict[int, list] = {}
+    by_shape: dict[tuple, list] = {}
     for row in sorted(bins, key=lambda r: (r["s"], r["bin"])):
-        by_shape.setdefault(row["s"], []).append(row)
+        by_shape.setdefault(shapes[row["s"]], []).append(row)
     for b in brackets:
         below = 0
-        for row in by_shape[shapes.index((b.column, b.lo, b.hi))]:
+        for row in by_shape[b.shape]:
             if below + row["n"] >= b.rank:
                 b.lo, b.hi, b.below, b.inside = row["lo"], row["hi"], below, row["n"]
                 break
@@ -249,33 +253,24 @@ def _refine(clean: DataFrame, brackets: list[_Bracket]) -> None:
             b.value = b.hi
 
 
-def _finish(clean: DataFrame, brackets: list[_Bracket]) -> None:
+def _finish(cells: DataFrame, brackets: list[_Bracket]) -> None:
     """Read the wanted ranks off the values left inside the brackets."""
     if not brackets:
         return
-    shapes = sorted({(b.column, b.lo, b.hi, b.below) for b in brackets})
-    cells, ranks = [], []
-    for s, (i, lo, hi, below) in enumerate(shapes):
-        v = F.col(f"c{i}")
-        inside = F.when((v >= lo) & (v <= hi), v)
-        cells.append(F.struct(F.lit(s).alias("s"), inside.alias("v")))
-        for rank in sorted({b.rank - below for b in brackets if (b.column, b.lo, b.hi, b.below) == shapes[s]}):
-            ranks.append((F.col("s") == s) & (F.col("cum") >= rank) & (F.col("cum") - F.col("n") < rank))
-    wanted = ranks[0]
-    for condition in ranks[1:]:
-        wanted = wanted | condition
+    shapes = sorted({b.shape for b in brackets})
+    wanted = [(shapes.index(b.shape), b.rank - b.below) for b in brackets]
+    ranks = cells.sparkSession.createDataFrame(sorted(set(wanted)), "s int, rank long")
     order = Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (
-        clean.select(F.explode(F.array(*cells)).alias("x"))
-        .select("x.s", "x.v")
-        .where("v is not null")
+        _with_shapes(cells, shapes)
+        .where("v between lo and hi")
         .groupBy("s", "v")
         .agg(F.count("*").alias("n"))
         .withColumn("cum", F.sum("n").over(order))
-        .where(wanted)
+        .join(F.broadcast(ranks), "s")
+        .where("rank <= cum and rank > cum - n")
         .collect()  # one row per wanted rank
     )
-    for b in brackets:
-        s = shapes.index((b.column, b.lo, b.hi, b.below))
-        rank = b.rank - b.below
-        b.value = next(r["v"] for r in rows if r["s"] == s and r["cum"] - r["n"] < rank <= r["cum"])
+    values = {(r["s"], r["rank"]): r["v"] for r in rows}
+    for b, key in zip(brackets, wanted):
+        b.value = values[key]

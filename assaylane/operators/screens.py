@@ -29,9 +29,7 @@ def match_patterns(
     """
     pairs = list(patterns.items()) if isinstance(patterns, Mapping) else list(patterns)
     valid = set(valid_patterns(df.sparkSession, [p for _, p in pairs]))
-    text = col(text_col)
-    hits = [F.when(F.rlike(text, F.lit(p)), F.lit(term)) for term, p in pairs if p in valid]
-    return _with_terms(df, F.array_compact(F.array(*hits)) if hits else None, prefix)
+    return _match_inline(df, text_col, [(term, p) for term, p in pairs if p in valid], F.rlike, prefix)
 
 
 def match_catalog(
@@ -40,7 +38,7 @@ def match_catalog(
     text_col: str,
     catalog: DataFrame,
     prefix: str,
-    predicate: Predicate | None = None,
+    predicate: Predicate = F.rlike,
     inline_rows: int = INLINE_CATALOG_ROWS,
 ) -> DataFrame:
     """Match a ``(pattern, description)`` table; the result is as in ``match_patterns``.
@@ -50,18 +48,17 @@ def match_catalog(
     one is joined on the predicate; only matches are kept and they are merged per ``key``, which
     has to be unique.
     """
-    catalog = catalog.select("pattern", "description").where("pattern is not null").distinct()
+    described = F.coalesce("description", F.lit(f"{prefix}_match")).alias("description")
+    catalog = catalog.where("pattern is not null").select("pattern", described)
     entries = catalog.limit(inline_rows + 1).collect()
     if len(entries) <= inline_rows:
-        if predicate is None:
-            return match_patterns(df, text_col, [(e["description"], e["pattern"]) for e in entries], prefix)
-        text = col(text_col)
-        hits = [F.when(predicate(text, F.lit(e["pattern"])), F.lit(e["description"])) for e in entries]
-        return _with_terms(df, F.array_compact(F.array(*hits)) if hits else None, prefix)
-    matches = predicate or F.rlike
+        pairs = [(e["description"], e["pattern"]) for e in entries]
+        if predicate is F.rlike:
+            return match_patterns(df, text_col, pairs, prefix)
+        return _match_inline(df, text_col, pairs, predicate, prefix)
     found = (
         df.select(col(key).alias("_key"), col(text_col).alias("_text"))
-        .join(catalog, matches(F.col("_text"), F.col("pattern")))
+        .join(catalog, predicate(F.col("_text"), F.col("pattern")))
         .groupBy("_key")
         .agg(F.collect_set("description").alias("_found"))
     )
@@ -69,6 +66,23 @@ def match_catalog(
     return _with_terms(joined, F.col("_found"), prefix).drop("_found")
 
 
+def _match_inline(
+    df: DataFrame, text_col: str, pairs: Iterable[tuple[str, str]], predicate: Predicate, prefix: str
+) -> DataFrame:
+    """One condition per term, in the order of the joined list, so nothing is sorted per row."""
+    by_term: dict[str, Column] = {}
+    for term, pattern in dict.fromkeys(pairs):
+        hit = predicate(col(text_col), F.lit(pattern))
+        by_term[term] = by_term[term] | hit if term in by_term else hit
+    terms = F.concat_ws("|", *[F.when(by_term[t], F.lit(t)) for t in sorted(by_term)])
+    flagged = F.col("_terms") != ""
+    if "" in by_term:
+        flagged = flagged | F.coalesce(by_term[""], F.lit(False))
+    listed = df.withColumn("_terms", terms)
+    columns = {f"{prefix}_flag": flagged.cast("int"), f"{prefix}_terms": F.col("_terms")}
+    return listed.withColumns(columns).drop("_terms")
+
+
 def match_terms_with(
     df: DataFrame, text_col: str, make_matcher: Callable[[], Callable[[str], Iterable[str] | None]], prefix: str
 ) -> DataFrame:
@@ -96,10 +110,9 @@ def match_terms_with(
     return _with_terms(df, terms(col(text_col)), prefix)
 
 
-def _with_terms(df: DataFrame, found: Column | None, prefix: str) -> DataFrame:
-    if found is None:
-        return df.withColumns({f"{prefix}_flag": F.lit(0), f"{prefix}_terms": F.lit("")})
-    listed = df.withColumn("_terms", F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<string>")))
+def _with_terms(df: DataFrame, found: Column, prefix: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    listed = df.withColumn("_terms", F.coalesce(F.sort_array(F.array_distinct(found)), none))
     return listed.withColumns(
         {
             f"{prefix}_flag": (F.size("_terms") > 0).cast("int"),

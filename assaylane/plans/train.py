@@ -74,8 +74,8 @@ def label_and_split(
 
 
 def evaluate_splits(model: Ensemble, table: DataFrame, threshold: float = 0.5, y: str = Y) -> dict[str, dict]:
-    """All metrics per split, scored and counted in one pass."""
-    scored = model.predict(table, keep=[y, "split"])
+    """All metrics per split. The scores are written once, then counted for all splits together."""
+    scored = materialize(model.predict(table, keep=[y, "split"]))
     rows = evaluate(scored, y, "prob_activo", threshold, keys=["split"]).collect()
     return {r["split"]: {k: v for k, v in r.asDict().items() if k != "split"} for r in rows}
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylane.fixed import MISSING_MARKERS
-from assaylane.functions.text import NUMBER, strip
+from assaylane.functions.text import safe_float, strip
 from assaylane.operators.columns import col
 from assaylane.session import scratch_path
 
@@ -75,7 +75,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         checks += [
             F.count(col(c)).alias(f"n{i}"),
             F.bool_and(text.rlike(whole)).alias(f"long{i}"),
-            F.bool_and(text.rlike(NUMBER) | F.lower(text).isin("inf", "-inf")).alias(f"double{i}"),
+            F.bool_and(F.when(text.isNotNull(), safe_float(text).isNotNull())).alias(f"double{i}"),
             F.bool_and(col(c).isin(bools)).alias(f"boolean{i}"),
         ]
     found = df.agg(*checks).first() if checks else None
@@ -83,7 +83,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     def typed(i: int, c: str) -> Column:
         for kind in ("long", "double", "boolean"):
             if found[f"n{i}"] > 0 and found[f"{kind}{i}"]:
-                return strip(col(c)).try_cast(kind).alias(c)
+                return (safe_float(col(c)) if kind == "double" else strip(col(c)).try_cast(kind)).alias(c)
         return col(c)
 
     return df.select(*[typed(i, c) for i, c in enumerate(df.columns)])

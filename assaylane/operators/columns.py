@@ -12,9 +12,14 @@ from assaylane import fixed
 from assaylane.functions.numeric import numeric
 
 
+def quoted(name: str) -> str:
+    """A column name as written in SQL, dots and spaces included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
-    """Column by its exact name, dots and spaces included."""
-    return F.col(f"`{name}`")
+    """Column by its exact name."""
+    return F.col(quoted(name))
 
 
 def number(df: DataFrame, name: str) -> Column:

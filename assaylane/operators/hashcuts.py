@@ -9,8 +9,8 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MOST_DIGITS = 4  # hex digits per pass: at most 65,536 counts per class reach the driver
-_SMALL = 10_000
+_COUNTS = 1_000_000  # prefix counts the driver may see in one pass, over all groups
+_HASHES = 500_000  # hashes the driver may see at the end, over all wanted ranks
 
 
 @dataclass
@@ -29,7 +29,7 @@ def hash_cuts(
     hash_col: str,
     ranks: Mapping[Hashable, Sequence[int]],
     sizes: Mapping[Hashable, int],
-    small: int = _SMALL,
+    small: int | None = None,
 ) -> dict[Hashable, list[str]]:
     """Hash at each wanted 1-based rank within each group, where groups are few.
 
@@ -38,9 +38,11 @@ def hash_cuts(
     to be looked at one by one.
     """
     targets = [_Target(g, r, "", r, sizes[g]) for g, rs in ranks.items() for r in rs]
+    small = small or max(100, min(10_000, _HASHES // max(len(targets), 1)))
     while open_ := [t for t in targets if t.inside > small and len(t.prefix) < 32]:
-        digits = ceil(log(max(t.inside for t in open_) / small, 16)) + 1
-        length = min(len(open_[0].prefix) + min(digits, _MOST_DIGITS), 32)
+        needed = ceil(log(max(t.inside for t in open_) / small, 16)) + 1
+        allowed = int(log(_COUNTS / len({(t.group, t.prefix) for t in open_}), 16))
+        length = min(len(open_[0].prefix) + max(1, min(needed, allowed)), 32)
         counted = (
             df.where(_under(group, hash_col, open_))
             .groupBy(F.col(group).alias("g"), F.substring(hash_col, 1, length).alias("p"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from assaylane.operators.columns import col
+from assaylane.operators.columns import quoted
 from assaylane.operators.ordering import values_at_ranks
 
 
@@ -21,10 +20,12 @@ def fit_median(df: DataFrame, cols: Sequence[str], **limits: int) -> dict[str, f
     return {c: sum(v) / len(v) for c, v in values.items() if v}
 
 
+def filled(source: str, median: float) -> str:
+    """SQL for a number with its gaps (null or NaN) filled."""
+    return f"coalesce(nanvl(CAST({source} AS DOUBLE), NULL), CAST('{float(median)!r}' AS DOUBLE))"
+
+
 def apply_median(df: DataFrame, medians: dict[str, float], keep: Sequence[str] = ()) -> DataFrame:
-    """Fill gaps (null or NaN) with the fitted medians; only ``keep`` and the fitted columns stay."""
-    filled = []
-    for c, m in medians.items():
-        value = col(c).cast("double")
-        filled.append(F.when(value.isNull() | F.isnan(value), F.lit(m)).otherwise(value).alias(c))
-    return df.select(*[col(c) for c in keep], *filled)
+    """Fill gaps with the fitted medians; only ``keep`` and the fitted columns stay."""
+    numbers = [f"{filled(quoted(c), m)} AS {quoted(c)}" for c, m in medians.items()]
+    return df.selectExpr(*[quoted(c) for c in keep], *numbers)

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylane.fixed import SEED
-from assaylane.operators.columns import align_features, col
-from assaylane.operators.impute import apply_median
+from assaylane.operators.columns import col, quoted
+from assaylane.operators.impute import filled
 from assaylane.operators.labels import with_class_weight
 from assaylane.operators.metrics import evaluate, roc_auc
 from assaylane.session import materialize
@@ -103,18 +103,14 @@ def assemble(
     df: DataFrame, features: Sequence[str], medians: dict[str, float], keep: Sequence[str] | None = None
 ) -> DataFrame:
     """Kept columns (default: all) and one vector of the imputed features that have a median."""
-    kept = list(df.columns if keep is None else keep)
-    names = {c: f"_f{i}" for i, c in enumerate(features)}
-    wanted = [c for c in features if c in medians]
-    aligned = align_features(df, features).columns
+    kept = [quoted(c) for c in (df.columns if keep is None else keep)]
+    present = set(df.columns)
+    inputs = {f"_f{i}": c for i, c in enumerate(c for c in features if c in medians)}
     numbers = [
-        (col(c).cast("double") if c in df.columns else F.lit(None).cast("double")).alias(names[c]) for c in aligned
+        f"{filled(quoted(c) if c in present else 'NULL', medians[c])} AS {name}" for name, c in inputs.items()
     ]
-    frame = df.select(*[col(c) for c in kept], *numbers)
-    filled = apply_median(frame, {names[c]: medians[c] for c in wanted}, kept)
-    # one model has at most a few hundred features, so a vector per row stays small
-    assembler = VectorAssembler(inputCols=[names[c] for c in wanted], outputCol=VECTOR)
-    return assembler.transform(filled).drop(*[names[c] for c in wanted])
+    assembler = VectorAssembler(inputCols=list(inputs), outputCol=VECTOR)
+    return assembler.transform(df.selectExpr(*kept, *numbers)).drop(*inputs)
 
 
 def _positive(vector: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +38,8 @@ class Prepared:
 
     table: DataFrame
     features: list[str]
-    id_col: str
+    key: str  # tells rows apart
+    id_col: str  # names them in the stored split
 
 
 @dataclass
@@ -54,23 +55,24 @@ class Trained:
 def label_and_split(
     df: DataFrame,
     value: str = "Standard Value",
-    id_col: str | None = None,
+    key: str = "row_idx",
     fraction: float = 0.5,
     train: float = 0.75,
     val: float = 0.15,
     seed: int = fixed.SEED,
     forbidden: tuple = tuple(fixed.NOT_FEATURES),
-    row_index: str = "row_idx",
 ) -> Prepared:
-    """Drop rows without a value, label the most potent fraction, split by label. Written once."""
+    """Drop rows without a value, label the most potent fraction, split by label. Written once.
+
+    ``key`` is a column that tells all rows apart.
+    """
     if value not in df.columns:
         raise ValueError(f"no column {value!r} to label by")
-    key = id_col or (row_index if row_index in df.columns else pick_id(df, row_index))
-    features = [c for c in feature_columns(df, forbidden) if c not in (value, key, row_index, Y)]
+    features = [c for c in feature_columns(df, forbidden) if c not in (value, key, Y)]
     if not features:
         raise ValueError("no numeric feature columns")
     labelled = label_by_fraction(coerce_numeric(df, value), value, key, fraction, seed, Y)
-    return Prepared(materialize(stratified_split(labelled, Y, key, train, val, seed)), features, key)
+    return Prepared(materialize(stratified_split(labelled, Y, key, train, val, seed)), features, key, pick_id(df, key))
 
 
 def evaluate_splits(model: Ensemble, table: DataFrame, threshold: float = 0.5, y: str = Y) -> dict[str, dict]:
@@ -81,11 +83,11 @@ def evaluate_splits(model: Ensemble, table: DataFrame, threshold: float = 0.5, y
 
 
 def cross_validate(
-    df: DataFrame, features: list[str], id_col: str, cfg: Config, k: int = 5, y: str = Y
+    df: DataFrame, features: list[str], key: str, cfg: Config, k: int = 5, y: str = Y
 ) -> tuple[DataFrame, DataFrame]:
     """Stratified k-fold check with a lighter model: per-fold scores, and their summary."""
     light = replace(cfg, n_estimators=min(CV_TREES, cfg.n_estimators))
-    folded = materialize(stratified_folds(df, y, id_col, k, cfg.seed))
+    folded = materialize(stratified_folds(df, y, key, k, cfg.seed))
     rows = []
     for fold in range(k):
         part = folded.withColumn("split", F.when(col("fold") == fold, "val").otherwise("train"))
@@ -133,7 +135,7 @@ def train(
         return Trained(model, evaluate_splits(model, prepared.table), splits, loaded=True)
     cv = None
     if cv_k is not None and CV_ROWS[0] <= prepared.table.count() <= CV_ROWS[1]:
-        _, summary = cross_validate(prepared.table, prepared.features, prepared.id_col, cfg, cv_k)
+        _, summary = cross_validate(prepared.table, prepared.features, prepared.key, cfg, cv_k)
         cv = summary.first().asDict()
     model = fit_model(prepared, cfg)
     metrics = evaluate_splits(model, prepared.table)
@@ -171,6 +173,3 @@ def train_or_load(
         stored = ForestConfig()
     return train(df, path, cfg or stored, **options)
 
-
-def config_text(cfg: Config) -> dict:
-    return asdict(cfg)

@@ -98,7 +98,7 @@ def _(spark, d):
 @query("cross_validated")
 def _(spark, d):
     ready = prepared(spark, d)
-    _, summary = cross_validate(ready.table, ready.features, ready.id_col, ForestConfig(n_estimators=10, max_depth=6), 3)
+    _, summary = cross_validate(ready.table, ready.features, ready.key, ForestConfig(n_estimators=10, max_depth=6), 3)
     return summary
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from itertools import islice
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from assaylane.functions.rules import lipinski_violations, veber_violations
 from assaylane.operators.columns import col
+from assaylane.session import materialize
 
-# Up to this many entries a catalogue becomes one expression per entry; a larger one is joined.
+# Catalogue entries turned into conditions of one projection.
 INLINE_CATALOG_ROWS = 2_000
 
 Predicate = Callable[[Column, Column], Column]
@@ -28,13 +30,11 @@ def match_patterns(
     not valid are skipped. A plain projection: no join, no shuffle.
     """
     pairs = list(patterns.items()) if isinstance(patterns, Mapping) else list(patterns)
-    valid = set(valid_patterns(df.sparkSession, [p for _, p in pairs]))
-    return _match_inline(df, text_col, [(term, p) for term, p in pairs if p in valid], F.rlike, prefix)
+    return _match_inline(df, text_col, _usable(df, pairs, F.rlike), F.rlike, prefix)
 
 
 def match_catalog(
     df: DataFrame,
-    key: str,
     text_col: str,
     catalog: DataFrame,
     prefix: str,
@@ -44,41 +44,50 @@ def match_catalog(
     """Match a ``(pattern, description)`` table; the result is as in ``match_patterns``.
 
     ``predicate(text, pattern)`` is a regular-expression match unless another is given (such as
-    ``F.contains``). A catalogue of up to ``inline_rows`` rows is turned into expressions. A larger
-    one is joined on the predicate; only matches are kept and they are merged per ``key``, which
-    has to be unique.
+    ``F.contains``). The catalogue is turned into conditions, ``inline_rows`` entries at a time. One
+    that fits in a single round is a plain projection; a larger one takes a pass over the table per
+    round, and the terms found so far are stored in between. Rows are never paired up with entries.
     """
     described = F.coalesce("description", F.lit(f"{prefix}_match")).alias("description")
-    catalog = catalog.where("pattern is not null").select("pattern", described)
-    entries = catalog.limit(inline_rows + 1).collect()
-    if len(entries) <= inline_rows:
-        pairs = [(e["description"], e["pattern"]) for e in entries]
-        if predicate is F.rlike:
-            return match_patterns(df, text_col, pairs, prefix)
-        return _match_inline(df, text_col, pairs, predicate, prefix)
-    found = (
-        df.select(col(key).alias("_key"), col(text_col).alias("_text"))
-        .join(catalog, predicate(F.col("_text"), F.col("pattern")))
-        .groupBy("_key")
-        .agg(F.collect_set("description").alias("_found"))
-    )
-    joined = df.join(found, col(key) == F.col("_key"), "left").drop("_key")
-    return _with_terms(joined, F.col("_found"), prefix).drop("_found")
+    catalog = catalog.where("pattern is not null").select(described, "pattern")
+    first = [tuple(row) for row in catalog.limit(inline_rows + 1).collect()]
+    if len(first) <= inline_rows:
+        return _match_inline(df, text_col, _usable(df, first, predicate), predicate, prefix)
+    entries = (tuple(row) for row in catalog.toLocalIterator())
+    df = df.withColumn("_found", F.array().cast("array<string>"))
+    while pairs := list(islice(entries, inline_rows)):
+        terms = _terms_by_name(text_col, _usable(df, pairs, predicate), predicate)
+        hits = F.array(*[F.when(hit, F.lit(term)) for term, hit in terms.items()]).cast("array<string>")
+        df = materialize(df.withColumn("_found", F.array_union("_found", F.array_compact(hits))))
+    return _with_terms(df, F.col("_found"), prefix).drop("_found")
+
+
+def _usable(df: DataFrame, pairs: list[tuple[str, str]], predicate: Predicate) -> list[tuple[str, str]]:
+    """Entries without those whose regular expression is not valid."""
+    if predicate is not F.rlike:
+        return pairs
+    valid = set(valid_patterns(df.sparkSession, [p for _, p in pairs]))
+    return [(term, p) for term, p in pairs if p in valid]
+
+
+def _terms_by_name(text_col: str, pairs: Iterable[tuple[str, str]], predicate: Predicate) -> dict[str, Column]:
+    """One condition per term, terms in the order of the joined list."""
+    found: dict[str, Column] = {}
+    for term, pattern in sorted(set(pairs)):
+        hit = predicate(col(text_col), F.lit(pattern))
+        found[term] = found[term] | hit if term in found else hit
+    return found
 
 
 def _match_inline(
     df: DataFrame, text_col: str, pairs: Iterable[tuple[str, str]], predicate: Predicate, prefix: str
 ) -> DataFrame:
-    """One condition per term, in the order of the joined list, so nothing is sorted per row."""
-    by_term: dict[str, Column] = {}
-    for term, pattern in dict.fromkeys(pairs):
-        hit = predicate(col(text_col), F.lit(pattern))
-        by_term[term] = by_term[term] | hit if term in by_term else hit
-    terms = F.concat_ws("|", *[F.when(by_term[t], F.lit(t)) for t in sorted(by_term)])
+    """Terms are joined in the order of their conditions, so nothing is sorted per row."""
+    by_term = _terms_by_name(text_col, pairs, predicate)
     flagged = F.col("_terms") != ""
     if "" in by_term:
         flagged = flagged | F.coalesce(by_term[""], F.lit(False))
-    listed = df.withColumn("_terms", terms)
+    listed = df.withColumn("_terms", F.concat_ws("|", *[F.when(hit, F.lit(t)) for t, hit in by_term.items()]))
     columns = {f"{prefix}_flag": flagged.cast("int"), f"{prefix}_terms": F.col("_terms")}
     return listed.withColumns(columns).drop("_terms")
 
@@ -158,7 +167,7 @@ def apply_screens(
     """Apply any of ``pains``, ``chelators`` and ``druglikeness``, or ``"all"``; none leaves ``df`` as is.
 
     The two alert screens are given as functions that add their columns, for instance
-    ``lambda d: match_catalog(d, "id", "Smiles", catalog, "PAINS")``.
+    ``lambda d: match_catalog(d, "Smiles", catalog, "PAINS")``.
     """
     chosen = SCREENS if screens == "all" else tuple([screens] if isinstance(screens, str) else screens)
     unknown = set(chosen) - set(SCREENS)

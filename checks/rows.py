@@ -243,13 +243,13 @@ def _catalog(spark):
 @query("catalog_matched", CATALOG_SQL)
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return screens.match_catalog(docs, "doc_id", "text", _catalog(spark), "PAINS").drop("text")
+    return screens.match_catalog(docs, "text", _catalog(spark), "PAINS").drop("text")
 
 
-@query("catalog_matched_joined", CATALOG_SQL)
+@query("catalog_matched_in_rounds", CATALOG_SQL)
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return screens.match_catalog(docs, "doc_id", "text", _catalog(spark), "PAINS", inline_rows=2).drop("text")
+    return screens.match_catalog(docs, "text", _catalog(spark), "PAINS", inline_rows=2).drop("text")
 
 
 @query(

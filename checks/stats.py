@@ -142,7 +142,7 @@ def gappy(spark, d):
         F.when(col("l_tax") != 0, col("l_extendedprice")).alias("price"),
         F.when(col("l_discount") != 0, col("l_quantity")).alias("quantity"),
         col("l_tax").alias("tax"),
-        (col("l_shipdate") < F.lit("1998-01-01").cast("timestamp")).alias("old"),
+        (col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("old"),
     )
 
 

@@ -219,18 +219,18 @@ def matched(df):
 def test_catalog(spark):
     df = spark.createDataFrame(TEXTS, "id int, t string")
     catalog = spark.createDataFrame(CATALOG, "pattern string, description string")
-    assert matched(screens.match_catalog(df, "id", "t", catalog, "P")) == MATCHED
-    valid = catalog.where("pattern <> '['")
-    assert matched(screens.match_catalog(df, "id", "t", valid, "P", inline_rows=1)) == MATCHED
+    assert matched(screens.match_catalog(df, "t", catalog, "P")) == MATCHED
+    for rows in (1, 2, 4):
+        assert matched(screens.match_catalog(df, "t", catalog, "P", inline_rows=rows)) == MATCHED
     contains = spark.createDataFrame([("a", "A"), ("[", "B")], "pattern string, description string")
-    out = screens.match_catalog(df, "id", "t", contains, "P", predicate=F.contains)
+    out = screens.match_catalog(df, "t", contains, "P", predicate=F.contains)
     assert matched(out)[1] == (1, "A")
 
 
 def test_inline_catalog_needs_no_shuffle(spark):
     df = spark.createDataFrame(TEXTS, "id int, t string")
     catalog = spark.createDataFrame(CATALOG, "pattern string, description string")
-    plan = screens.match_catalog(df, "id", "t", catalog, "P")._jdf.queryExecution().executedPlan().toString()
+    plan = screens.match_catalog(df, "t", catalog, "P")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylane import fixed
 from assaylane.operators.columns import col
 from assaylane.operators.enrich import expand_vector
-from assaylane.operators.split import split_table_wide
 from assaylane.plans.ensembles import BoostedConfig, ForestConfig
 from assaylane.plans.predict import predict
 from assaylane.plans.search import compare, random_search, search
@@ -41,10 +41,17 @@ def compounds(spark, d) -> DataFrame:
     ).withColumnRenamed("vec_id", "row_idx")
 
 
+@cache
 def prepared(spark, d):
+    """Labelled and split once per session and folder, as most queries here start from it."""
     return label_and_split(compounds(spark, d))
 
 
+@cache
+def forest(spark, d):
+    return fit_model(prepared(spark, d), FOREST)
+
+
 def history_frame(spark, model):
     rows = [(h["trees"], h["val_auc"]) for h in model.history]
     return spark.createDataFrame(rows, "trees int, val_auc double")
@@ -52,7 +59,7 @@ def history_frame(spark, model):
 
 @query("forest_grown")
 def _(spark, d):
-    return history_frame(spark, fit_model(prepared(spark, d), FOREST))
+    return history_frame(spark, forest(spark, d))
 
 
 @query("boosting_stopped")
@@ -77,7 +84,7 @@ def _(spark, d):
 
 @query("feature_importances")
 def _(spark, d):
-    return top_importances(fit_model(prepared(spark, d), FOREST), 20)
+    return top_importances(forest(spark, d), 20)
 
 
 @query("model_stored_and_loaded")
@@ -104,17 +111,17 @@ def _(spark, d):
 
 @query("scored")
 def _(spark, d):
-    return fit_model(prepared(spark, d), FOREST).predict(compounds(spark, d), keep=["row_idx"])
+    return forest(spark, d).predict(compounds(spark, d), keep=["row_idx"])
 
 
 @query("predicted_results")
 def _(spark, d):
-    return predict(compounds(spark, d), fit_model(prepared(spark, d), FOREST)).results
+    return predict(compounds(spark, d), forest(spark, d)).results
 
 
 @query("predicted_report")
 def _(spark, d):
-    return predict(compounds(spark, d), fit_model(prepared(spark, d), FOREST)).report
+    return predict(compounds(spark, d), forest(spark, d)).report
 
 
 @query("random_search")
@@ -129,4 +136,4 @@ def _(spark, d):
 
 def flagship(spark, d) -> DataFrame:
     """Train a small forest on the vectors and return the ranked result table."""
-    return predict(compounds(spark, d), fit_model(prepared(spark, d), FOREST)).results
+    return predict(compounds(spark, d), forest(spark, d)).results

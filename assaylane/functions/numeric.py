@@ -11,13 +11,12 @@ from assaylane.functions.text import safe_float
 
 def numeric(col: Column) -> Column:
     """Like ``safe_float`` with NaN as null: one kind of missing value."""
-    value = safe_float(col)
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(safe_float(col), F.lit(None).cast("double"))
 
 
 def first_available(*cols: Column) -> Column:
     """First source that yields a value; NaN counts as no value."""
-    return F.coalesce(*[F.when(~F.isnan(c.cast("double")), c.cast("double")) for c in cols])
+    return F.coalesce(*[F.nanvl(c.cast("double"), F.lit(None).cast("double")) for c in cols])
 
 
 def classify(prob: Column, threshold: float = 0.5) -> Column:

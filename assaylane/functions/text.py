@@ -18,8 +18,7 @@ def strip(col: Column) -> Column:
 def safe_float(col: Column) -> Column:
     """Number in a text, else null. Takes decimal notation only, so not ``1.5d`` or ``0x1p3``."""
     text = strip(col.cast("string"))
-    infinite = F.lower(text).isin("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
-    return F.when(~text.rlike("[dDfFxX]") | infinite, text.try_cast("double"))
+    return F.when(text.rlike(r"^([^dDfFxX]*|[+-]?(?i:inf|infinity))$"), text.try_cast("double"))
 
 
 def normalize_relation(col: Column) -> Column:

@@ -26,8 +26,7 @@ def number(df: DataFrame, name: str) -> Column:
     """A column as doubles, without NaN. Text is read as numbers, numeric columns are only cast."""
     if isinstance(df.schema[name].dataType, T.StringType):
         return numeric(col(name))
-    value = col(name).cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
 
 
 def detect_column(df: DataFrame, candidates: Sequence[str], fragment: str | None = None) -> str:

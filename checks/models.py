@@ -15,7 +15,6 @@ from assaylane.plans.search import compare, random_search, search
 from assaylane.plans.store import load_model, top_importances
 from assaylane.plans.train import (
     cross_validate,
-    evaluate_splits,
     fit_model,
     label_and_split,
     train,

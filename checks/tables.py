@@ -9,7 +9,7 @@ from assaylane.operators.columns import col
 from assaylane.plans.prepare import prepare
 from assaylane.plans.screen import screen
 from assaylane.plans.search import compare, leaderboard
-from assaylane.operators import metrics, split
+from assaylane.operators import metrics
 from assaylane.operators.screens import match_patterns
 from assaylane.session import scratch_path
 from assaylane.sources import files

@@ -4,7 +4,6 @@ import pytest
 
 from assaylane import fixed
 from assaylane.operators import report
-from assaylane.sources.files import read_delimited
 
 ROWS = [
     (0, "A ", "CCO", 0.9, "1", "a|b", 1, "thiol", 0.0, 0.0),

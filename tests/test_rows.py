@@ -257,3 +257,11 @@ def test_screen_selection(spark):
     with pytest.raises(ValueError):
         screens.apply_screens(df, ["other"])
     assert len(fixed.CHELATOR_PATTERNS) == 6
+
+
+def test_filter_reaches_the_scan(spark, assay, tmp_path):
+    assay.write.parquet(str(tmp_path / "t"))
+    kept = filter_assay(spark.read.parquet(str(tmp_path / "t"))).select("row_idx")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(`Target ChEMBL ID`,CHEMBL332)" in plan or "EqualTo(Target ChEMBL ID,CHEMBL332)" in plan
+    assert "Smiles" not in plan

@@ -259,9 +259,10 @@ def test_screen_selection(spark):
     assert len(fixed.CHELATOR_PATTERNS) == 6
 
 
-def test_filter_reaches_the_scan(spark, assay, tmp_path):
+def test_filter_reaches_the_scan(spark, assay, tmp_path, capsys):
     assay.write.parquet(str(tmp_path / "t"))
-    kept = filter_assay(spark.read.parquet(str(tmp_path / "t"))).select("row_idx")
-    plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(`Target ChEMBL ID`,CHEMBL332)" in plan or "EqualTo(Target ChEMBL ID,CHEMBL332)" in plan
-    assert "Smiles" not in plan
+    filter_assay(spark.read.parquet(str(tmp_path / "t"))).select("row_idx").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(`Target ChEMBL ID`,CHEMBL332)" in plan
+    schema = next(line for line in plan.splitlines() if line.startswith("ReadSchema"))
+    assert "Standard Units" in schema and "Smiles" not in schema

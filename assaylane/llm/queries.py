@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylane.llm import bpe, counting, decontaminate, packing, topk
+from assaylane.llm import bpe, counting, decontaminate, near, packing, ppm, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,13 @@ def packed_tokens(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counting.count_tokens(read(spark, folder, "documents"), WORD_BPE, limit=2_048)
+
+
+@query("op4_language")
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.predict_documents(read(spark, folder, "documents"))
+
+
+@query("op10_near_duplicates")
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(read(spark, folder, "documents"))

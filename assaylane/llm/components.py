@@ -3,53 +3,35 @@ but two numbers per round."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylane.session import materialize
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
-
-
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = _both(edges)
-    joined = both.join(_least(both), "u").select("u", "v", F.least("u", "m").alias("m"))
-    return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Every greater neighbour of a node is linked to the least of its neighbours and itself."""
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = F.least("u", F.min("v").over(Window.partitionBy("u")))
+    return both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    joined = down.join(_least(down), "u")
-    near = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = joined.select("u", F.col("m").alias("v"))
-    return near.union(own)
-
-
-def _clean(edges: DataFrame) -> DataFrame:
-    return materialize(edges.where(F.col("u") != F.col("v")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.select(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    """A node and its smaller neighbours are linked to the least of them."""
+    down = edges.where("u != v").withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return down.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link to another one; the root is the least node of the component.
 
-    ``links`` has the columns u and v.
+    ``links`` has the columns u and v. A round is one table; a window holds the links of one node.
     """
-    edges = _clean(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    mark = _mark(edges)
-    while mark[0]:
-        edges = _clean(_small_star(_clean(_large_star(edges))))
-        now = _mark(edges)
-        if now == mark:
-            break
+    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges, mark = materialize(down.where("u != v").distinct()), None
+    while True:
+        now = tuple(edges.select(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == mark or not now[0]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        edges = materialize(_small_star(_large_star(edges)).where("u != v").distinct())

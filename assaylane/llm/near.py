@@ -319,7 +319,8 @@ def near_duplicates(
         F.explode(F.when(F.col("major"), F.array(block)).otherwise(everywhere)).alias("block"),
     ).select("key", "block", "node", "root", "sig", "major", (F.col("home") == F.col("block")).alias("own"))
     second = proven(spread.groupBy("key", "block").applyInArrow(_between(least), "u long, v long"))
-    final = components(first.union(second))
+    known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    final = roots if second.isEmpty() else components(known.union(second))
     classes = materialize(
         nodes.select("c1", "c2", "node").join(final, "node", "left").select("c1", "c2", F.coalesce("root", "node").alias("class_id"))
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylane.llm import bpe, counting, decontaminate, near, packing, ppm, topk
+from assaylane.llm import bpe, counting, decontaminate, near, packing, ppm, repeats, secrets, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,14 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_near_duplicates")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(read(spark, folder, "documents"))
+
+
+@query("op8_secrets")
+def secrets_found(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, folder, "documents"))
+
+
+@query("op6_repeated_passages")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.repeated_passages(read(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -9,7 +9,7 @@ offsets 0 to 168 before it, in nodes of offsets, and the identifier of a node is
 identifiers at later offsets. What all windows of a node have in common is compared, and what they
 cover together: if the first occurs nowhere else, none of the windows does; if the second does, all
 do; else the node is divided and its parts are refined in turn with the same identifiers, down to
-single windows. Each round is a count by identifier and a join with the counts.
+single windows. One member of each kind that is decided stays to compare the others with. Each round is a count by identifier and a join with the counts.
 
 Equal texts are kept once, in a table bucketed by the hash of the text, so that rounds read texts
 without moving them; the bytes of a text that occurs twice are all repeated. Identifiers have 64 bits
@@ -150,6 +150,16 @@ def _divide(size: int):
     return divide
 
 
+def _open(marked: DataFrame, group: str) -> DataFrame:
+    """Rows to refine: those without a decision and, to compare them with, one of each kind that was decided."""
+    undecided = marked.where("id IS NULL")
+    needed = materialize(undecided.select(F.col(group).alias("needed")).distinct())
+    kinds = marked.where("id IS NOT NULL").dropDuplicates(["whole"])
+    kinds = kinds.join(needed, kinds[group] == needed["needed"], "left_semi")
+    columns = ("k1", "k2", "bucket", "at", "low", "high")
+    return undecided.select(*columns).union(kinds.select(*columns))
+
+
 def _twice(rows: DataFrame, *keys: str) -> DataFrame:
     """Identifiers that more than one row has."""
     every = F.explode(F.array(*keys)).alias("id") if len(keys) > 1 else F.col(keys[0]).alias("id")
@@ -211,7 +221,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
         twice = _twice(rows, "whole")
         marked = rows.join(twice, rows["whole"] == twice["id"], "left")
         done = [materialize(marked)]
-        left = done[0].where("id IS NULL")
+        left = _open(done[0], "bucket")
         for size in NODES:
             opened = left.groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.array("bucket", "at", "low", "high"))).alias("open"))
             nodes = materialize(
@@ -223,7 +233,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
             ends = F.lit(True) if size == 1 else F.col("id").isNotNull()
             alive = alive.join(twice, alive["whole"] == twice["id"], "left").select(*nodes.columns, F.when(ends, 1).alias("id"))
             done.append(materialize(alive))
-            left = done[-1].where("id IS NULL")
+            if size > 1:
+                left = _open(done[-1], "common")
         starts = None
         for part in done:
             own = part.where("id IS NOT NULL").select(

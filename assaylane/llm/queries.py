@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylane.llm import bpe, counting, decontaminate, near, packing, ppm, repeats, secrets, topk
+from assaylane.llm import bpe, counting, decontaminate, near, packing, ppm, quality, repeats, secrets, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,3 +89,8 @@ def secrets_found(spark: SparkSession, folder: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.repeated_passages(read(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op2_quality")
+def quality_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))

@@ -1,13 +1,73 @@
-"""A training corpus in stages; see ``STAGES``. Every stage is written as Parquet and read again."""
+"""A training corpus in stages: language, near duplicates, benchmark passages, secrets, token ids.
+
+Every stage takes (spark, docs, sf_dir), is written as Parquet and read again as the next one's docs.
+All but the last return the columns of ``documents``. SQL cannot express the stages, so ``ORACLE_SQL``
+is None and the tests compare with brute-force versions.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from assaylane.llm import bpe, decontaminate, near, ppm, secrets
 from assaylane.session import materialize
 
-STAGES: list = []
-ORACLE_SQL: str | None = None
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those without letters, and those that no language fits better than all
+    others together, go."""
+    columns = tuple(docs.columns)
+    model = ppm.fit(docs.where(~ppm.held_out(F.col("doc_id"))))
+    told = ppm.predict(docs, model, keep=columns)
+    return told.where((F.col("lang_pred") != ppm.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class, the one with the least id; of repeated rows one."""
+    found = near.near_duplicates(docs)
+    kept = materialize(found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id").distinct())
+    return docs.dropDuplicates(["doc_id", "text"]).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    columns = tuple(docs.columns)
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=columns)
+    return found.where("n_hit = 0").select(*columns)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of ids and decoded bytes."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(docs, path, keep=("doc_id", "lang", "source")), path)
+    return decoded.select(
+        "doc_id",
+        "lang",
+        "source",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("redacted", redacted),
+    ("encoded", encoded),
+]
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

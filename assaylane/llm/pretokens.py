@@ -15,7 +15,7 @@ import regex
 from assaylane.llm.common import mixed, worker_cache
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 
 
 def _classes() -> np.ndarray:

@@ -15,7 +15,7 @@ _CACHE = "_assaylane_llm_worker_cache"
 
 
 def worker_cache(key: Any, build: Callable[[], Any]) -> Any:
-    """``build()`` once per Python worker process. Kept in ``sys.modules``, as functions that are
+    """``build()`` once per Python worker process; ``key`` must name the content. Kept in ``sys.modules``, as functions that are
     shipped by value get new globals in every task."""
     store = sys.modules.setdefault(_CACHE, types.ModuleType(_CACHE)).__dict__.setdefault("values", {})
     if key not in store:

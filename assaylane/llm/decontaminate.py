@@ -17,6 +17,7 @@ count once by their id; other columns are ignored; empty tables give no hits or
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,10 +84,10 @@ def _shards(spark, windows: DataFrame, most: int) -> list[Broadcast]:
         held.append((bytes(row["window"]), [i for i in row["items"]]))
         size += len(row["window"]) + 16
         if size >= most:
-            shards.append(spark.sparkContext.broadcast(held))
+            shards.append(spark.sparkContext.broadcast((uuid.uuid4().hex, held)))
             held, size = [], 0
     if held or not shards:
-        shards.append(spark.sparkContext.broadcast(held))
+        shards.append(spark.sparkContext.broadcast((uuid.uuid4().hex, held)))
     return shards
 
 
@@ -112,7 +113,8 @@ def _scan(shard: Broadcast, schema: pa.Schema):
     """Adds to the words hit and the items found so far."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = worker_cache(("automaton", shard.id if hasattr(shard, "id") else id(shard)), lambda: _automaton(shard.value))
+        name, windows = shard.value
+        machine = worker_cache(("automaton", name), lambda: _automaton(windows))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n_words, runs, items = [], batch.column("runs").to_pylist(), batch.column("items").to_pylist()

@@ -26,7 +26,6 @@ from assaylane.plans.store import has_model, load_model, load_record, run_info,
 from assaylane.session import materialize
 from assaylane.sources.files import table_fingerprint, write_table
 
-CV_ROWS = (500, 5_000)
 CV_TREES = 800
 BASE_FOREST = ForestConfig(n_estimators=2500, patience=15)
 Y = "activo"
@@ -83,10 +82,10 @@ def evaluate_splits(model: Ensemble, table: DataFrame, threshold: float = 0.5, y
 
 
 def cross_validate(
-    df: DataFrame, features: list[str], key: str, cfg: Config, k: int = 5, y: str = Y
+    df: DataFrame, features: list[str], key: str, cfg: Config, k: int = 5, y: str = Y, trees: int = CV_TREES
 ) -> tuple[DataFrame, DataFrame]:
-    """Stratified k-fold check with a lighter model: per-fold scores, and their summary."""
-    light = replace(cfg, n_estimators=min(CV_TREES, cfg.n_estimators))
+    """Stratified k-fold check: per-fold scores, and their summary. Its models have at most ``trees`` trees."""
+    light = replace(cfg, n_estimators=min(trees, cfg.n_estimators))
     folded = materialize(stratified_folds(df, y, key, k, cfg.seed))
     rows = []
     for fold in range(k):
@@ -118,13 +117,13 @@ def train(
     path: str,
     cfg: Config = BASE_FOREST,
     retrain: bool = False,
-    cv_k: int | None = 5,
+    cv_k: int | None = None,
     data_hash: str | None = None,
     **options,
 ) -> Trained:
     """Train and store a model at ``path``, or load the one stored there unless ``retrain``.
 
-    Cross-validation runs when training on 500 to 5,000 rows, unless ``cv_k`` is ``None``. Stored
+    With ``cv_k``, cross-validation runs as well, whatever the number of rows. Stored
     beside the model: the run record, and the split of every id.
     """
     prepared = label_and_split(df, **options)
@@ -134,7 +133,7 @@ def train(
         model = load_model(spark, path)
         return Trained(model, evaluate_splits(model, prepared.table), splits, loaded=True)
     cv = None
-    if cv_k is not None and CV_ROWS[0] <= prepared.table.count() <= CV_ROWS[1]:
+    if cv_k is not None:
         _, summary = cross_validate(prepared.table, prepared.features, prepared.key, cfg, cv_k)
         cv = summary.first().asDict()
     model = fit_model(prepared, cfg)

@@ -89,19 +89,23 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*[typed(i, c) for i, c in enumerate(df.columns)])
 
 
+# cells are written as they are, blanks at their ends included
+CELLS = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a processed table: Parquet, or comma-separated text with a header."""
     writer = df.write.mode("overwrite")
     if fmt == "parquet":
         writer.parquet(path)
     elif fmt == "csv":
-        writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+        writer.csv(path, header=True, **CELLS)
     else:
         raise ValueError("fmt is 'parquet' or 'csv'")
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.parquet(path) if fmt == "parquet" else read_delimited(spark, path, sep=",", infer=True)
+    return spark.read.parquet(path) if fmt == "parquet" else read_delimited(spark, path, sep=",", infer=True, multi_line=True)
 
 
 def enrich_table(
@@ -131,7 +135,7 @@ def write_results(results: DataFrame, folder: str, date: str, prob: str = "Prob_
     path = f"{folder.rstrip('/')}/resultados_{date}.csv"
     shown = results.withColumn(prob, F.format_string("%.6f", col(prob).cast("double")))
     ordered = shown.orderBy(col(rank)) if rank in results.columns else shown
-    ordered.write.mode("overwrite").csv(path, sep=";", header=True, escape='"', emptyValue="")
+    ordered.write.mode("overwrite").csv(path, sep=";", header=True, **CELLS)
     return path
 
 

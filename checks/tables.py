@@ -118,12 +118,12 @@ def _(spark, d):
 
 @query(
     "results_written",
-    f"""SELECT CAST("Rank" AS VARCHAR) AS "Rank", trim("ID") AS "ID", printf('%.6f', "Prob_activo") AS "Prob_activo", "Prediccion", "Filtros"
+    f"""SELECT CAST("Rank" AS VARCHAR) AS "Rank", "ID", printf('%.6f', "Prob_activo") AS "Prob_activo", "Prediccion", "Filtros"
     FROM ({RANKED_SQL})""",
 )
 def _(spark, d):
     path = files.write_results(report.result_table(scored(spark, d)), scratch_path(spark, "results"), "20240101")
-    return files.read_delimited(spark, path).withColumn("ID", F.trim("ID"))
+    return files.read_delimited(spark, path)
 
 
 @query("latest_file", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks.registry import QUERIES, SQL
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -39,7 +40,7 @@ def rows_of(rows, order):
     )
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_agrees_with_sql(spark, data, duck, name):
     df = entry.queries()[name](spark, data)
     cursor = duck.execute(entry.oracle_sql()[name])
@@ -51,7 +52,7 @@ def test_query_agrees_with_sql(spark, data, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_has_rows(spark, data, name):
     if name in SLOW and not os.environ.get("SLOW"):
         pytest.skip("slow; its parts are tested in test_models.py")

@@ -9,8 +9,9 @@ all coordinates are hit, so the work is about one look per element; later times
 
 Bands of four coordinates are the keys of the join: at similarity 0.8, a pair shares none of the 24
 bands with a probability of 4e-6. Documents with equal weighted sets are one class from the start.
-Members of a key are compared by signature, in blocks; pairs whose agreement is less than four
-standard deviations below the threshold are checked exactly on the texts. First each block proposes
+Members of a key are compared in blocks, by their weights, which bound the similarity, and by a longer
+signature of 256 more coordinates; pairs whose agreement is less than four standard deviations below
+the threshold are checked exactly on their weighted sets. First each block proposes
 only a spanning forest of its best pairs. Components of the links so proven then spare all pairs
 inside them; what is left, pairs between different components, is compared in full, the members
 outside the largest component of a key against all blocks of it. So no link that joins two classes is
@@ -43,8 +44,10 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
+MORE = 256  # coordinates that only compare members of a key
 BLOCK = 256  # members of a key that are compared at once
 _CHUNK = 1 << 20
+_SMALL = 1 << 10  # pairs that are compared in one array
 
 
 def words_of(text: str) -> list[str]:
@@ -149,65 +152,97 @@ def _band_keys(table: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, two numbers that stand for its weighted set, one byte per coordinate, and the band keys."""
+    """doc, two numbers that stand for its weighted set, and the band keys."""
     for batch in batches:
         docs, texts = batch.column("doc"), [t or "" for t in batch.column("text").to_pylist()]
         for begin, end in chunks_by_size(map(len, texts), _CHUNK):
             own = texts[begin:end]
-            hashes, of = shingles(own)
-            cells, of = units(hashes, of)
+            cells, of = units(*shingles(own))
             table = signatures(cells, of, len(own))
             has = np.bincount(of, minlength=len(own)) > 0
             sums = np.zeros((2, len(own)), np.uint64)
             np.add.at(sums[0], of, cells)
             np.add.at(sums[1], of, mixed(cells ^ np.uint64(0x5DEECE66D)))
-            low = np.ascontiguousarray((table >> np.uint64(40)).astype(np.uint8))
             keys = _band_keys(table).astype(np.int64)
             yield pa.record_batch(
                 [
                     docs.slice(begin, end - begin),
                     pa.array(sums[0].astype(np.int64), mask=~has),
                     pa.array(sums[1].astype(np.int64), mask=~has),
-                    pa.array([r.tobytes() for r in low], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel())),
                 ],
-                names=["doc", "c1", "c2", "sig", "bands"],
+                names=["doc", "c1", "c2", "bands"],
             )
 
 
-_MEMBER = "key long, node long, root long, sig binary, major boolean, own boolean"
+_DETAIL = "node long, weight long, sig binary, cells array<long>"
+
+
+def _detail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What members of a key are compared by: the weight, one byte per coordinate of a longer signature, and the units
+    of weight in order."""
+    for batch in batches:
+        nodes, texts = batch.column("node"), [t or "" for t in batch.column("text").to_pylist()]
+        for begin, end in chunks_by_size(map(len, texts), _CHUNK):
+            own = texts[begin:end]
+            cells, of = units(*shingles(own))
+            cells = cells[np.lexsort((cells, of))]
+            weight = np.bincount(of, minlength=len(own))
+            parts = signatures(cells, of, len(own)), signatures(mixed(cells ^ np.uint64(0x2545F4914F6CDD1D)), of, len(own), MORE)
+            sig = np.ascontiguousarray((np.concatenate(parts, axis=1) >> np.uint64(40)).astype(np.uint8))
+            offsets = np.concatenate([[0], np.cumsum(weight)]).astype(np.int32)
+            yield pa.record_batch(
+                [
+                    nodes.slice(begin, end - begin),
+                    pa.array(weight, pa.int64()),
+                    pa.array([r.tobytes() for r in sig], pa.binary()),
+                    pa.ListArray.from_arrays(offsets, pa.array(cells.astype(np.int64))),
+                ],
+                names=["node", "weight", "sig", "cells"],
+            )
+
+
+def _signatures_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), COORDINATES + MORE)
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Coordinates in which rows agree, as sums over slices of the signature."""
+    if len(a) * len(b) <= _SMALL:
+        return (a[:, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int16)
     out = np.zeros((len(a), len(b)), np.int16)
     for c in range(a.shape[1]):
         out += a[:, c, None] == b[None, :, c]
     return out
 
 
+def _fits(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs of weights that leave room for the threshold."""
+    return np.minimum(a[:, None], b[None, :]) >= threshold * np.maximum(a[:, None], b[None, :]) - 1e-9
+
+
 def _least_agreement(threshold: float) -> int:
-    spread = 4 * math.sqrt(threshold * (1 - threshold) * COORDINATES)
-    return math.floor(threshold * COORDINATES - spread)
+    n = COORDINATES + MORE
+    return math.floor(threshold * n - 4 * math.sqrt(threshold * (1 - threshold) * n))
 
 
-def _forest(least: int):
+def _forest(threshold: float):
     """Best pairs that would join the members of a block."""
+    least = _least_agreement(threshold)
 
     def forest(key: tuple, table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(nodes), COORDINATES)
+        nodes, weight, sig = table.column("node").to_numpy(), table.column("weight").to_numpy(), _signatures_of(table)
         u, v = [], []
         for begin in range(0, len(nodes), 2 * BLOCK):  # a block by hash is seldom larger
             part = slice(begin, begin + 2 * BLOCK)
             own = nodes[part]
-            same = _agreement(sig[part], sig[part])
+            same = np.where(_fits(weight[part], weight[part], threshold), _agreement(sig[part], sig[part]), -1)
             # greatest spanning forest, grown from one member at a time
             best, by = same[0].copy(), np.zeros(len(own), np.int64)
             free = np.ones(len(own), bool)
             free[0] = False
             for _ in range(len(own) - 1):
-                at = int(np.where(free, best, -1).argmax())
+                at = int(np.where(free, best, -2).argmax())
                 free[at] = False
                 if best[at] >= least and own[at] != own[by[at]]:
                     u.append(int(own[at]))
@@ -219,20 +254,22 @@ def _forest(least: int):
     return forest
 
 
-def _between(least: int):
+def _between(threshold: float):
     """Pairs of a block and the members outside the largest component of the key, of different components."""
+    least = _least_agreement(threshold)
 
     def between(key: tuple, table: pa.Table) -> pa.Table:
-        nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
+        nodes, roots, weight = (table.column(c).to_numpy() for c in ("node", "root", "weight"))
         own = table.column("own").to_numpy(zero_copy_only=False)
         minor = ~table.column("major").to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(nodes), COORDINATES)
+        sig = _signatures_of(table)
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         of_block, others = np.flatnonzero(own), np.flatnonzero(minor)
         for begin in range(0, len(others), BLOCK):
             part = others[begin : begin + BLOCK]
             same = _agreement(sig[part], sig[of_block])
-            i, j = np.nonzero((same >= least) & (roots[part][:, None] != roots[of_block][None, :]))
+            differs = roots[part][:, None] != roots[of_block][None, :]
+            i, j = np.nonzero((same >= least) & differs & _fits(weight[part], weight[of_block], threshold))
             u.append(nodes[part][i])
             v.append(nodes[of_block][j])
         return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
@@ -240,23 +277,19 @@ def _between(least: int):
     return between
 
 
-def _similar(threshold: float, size: int):
-    """Exact check of pairs of texts."""
+def _similar(threshold: float):
+    """Exact check of pairs of weighted sets."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True))
-            keep = np.zeros(len(pairs), bool)
-            for begin, end in chunks_by_size((len(a) + len(b) for a, b in pairs), _CHUNK):
-                flat = [t for pair in pairs[begin:end] for t in pair]
-                cells, of = units(*shingles(flat, size))
-                weight = np.bincount(of, minlength=len(flat)).reshape(-1, 2)
-                pair = of // 2
-                order = np.lexsort((cells, pair))
-                cells, pair = cells[order], pair[order]
-                twice = (cells[1:] == cells[:-1]) & (pair[1:] == pair[:-1])
-                common = np.bincount(pair[1:][twice], minlength=len(weight))
-                keep[begin:end] = common >= threshold * (weight.sum(axis=1) - common) - 1e-9
+            keep = np.zeros(len(batch), bool)
+            sides = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("a", "b")]
+            (at_a, a), (at_b, b) = sides
+            for i in range(len(batch)):
+                both = np.concatenate([a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]])
+                both.sort()
+                common = np.count_nonzero(both[1:] == both[:-1])
+                keep[i] = common >= threshold * (len(both) - common) - 1e-9
             yield pa.record_batch([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep))], names=["u", "v"])
 
     return similar
@@ -273,52 +306,51 @@ def near_duplicates(
     """``key``, class_id and class_size of every row."""
     named = docs.select(F.col(key).alias("key"), _doc_id(key, text).alias("doc"), F.col(text).cast("string").alias("text"))
     # c1 and c2 are null for documents without words, which stay alone
-    signed = materialize(named.select("doc", "text").mapInArrow(_sign, "doc long, c1 long, c2 long, sig binary, bands array<long>"))
+    signed = materialize(named.select("doc", "text").mapInArrow(_sign, "doc long, c1 long, c2 long, bands array<long>"))
     nodes = materialize(
-        signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc").alias("node"), F.first("bands").alias("bands"))
     )
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = materialize(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = materialize(
-        banded.join(shared, "key").join(nodes.select("node", "sig"), "node").select(
-            "key", "node", "sig", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")
-        )
-    )
-    candidates = materialize(members.select("node").distinct())
-    texts = materialize(
-        named.select(F.col("doc").alias("node"), "text").join(candidates, "node", "left_semi").dropDuplicates(["node"])
+    keyed = materialize(banded.join(shared, "key").select("key", "node", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")))
+    candidates = keyed.select("node").distinct()
+    details = materialize(
+        named.select(F.col("doc").alias("node"), "text")
+        .join(candidates, "node", "left_semi")
+        .dropDuplicates(["node"])
+        .mapInArrow(_detail, _DETAIL)
     )
-    least = _least_agreement(threshold)
+    members = keyed.join(details.select("node", "weight", "sig"), "node")
 
     def proven(pairs: DataFrame) -> DataFrame:
         distinct = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        a = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
-        b = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
+        a = details.select(F.col("node").alias("u"), F.col("cells").alias("a"))
+        b = details.select(F.col("node").alias("v"), F.col("cells").alias("b"))
         both = distinct.join(a, "u").join(b, "v").select("u", "v", "a", "b")
-        return materialize(both.mapInArrow(_similar(threshold, WORDS), "u long, v long"))
+        return materialize(both.mapInArrow(_similar(threshold), "u long, v long"))
 
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     first = proven(
-        members.select("key", block.alias("block"), "node", "sig").groupBy("key", "block").applyInArrow(_forest(least), "u long, v long")
+        members.select("key", block.alias("block"), "node", "weight", "sig").groupBy("key", "block").applyInArrow(_forest(threshold), "u long, v long")
     )
     roots = materialize(components(first))
     labelled = materialize(
-        members.join(roots, "node", "left").select(
-            "key", "node", "sig", "blocks", F.coalesce("root", "node").alias("root")
-        )
+        keyed.join(roots, "node", "left").select("key", "node", "blocks", F.coalesce("root", "node").alias("root"))
     )
     by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
     # the largest component of each key that has several
     mixed_keys = materialize(
         by_root.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("roots > 1").select("key", "largest")
     )
-    left = labelled.join(mixed_keys, "key").withColumn("major", F.col("root") == F.col("largest"))
+    left = labelled.join(mixed_keys, "key").join(details.select("node", "weight", "sig"), "node")
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    spread = left.select(
-        "key", "node", "root", "sig", "major", block.alias("home"),
-        F.explode(F.when(F.col("major"), F.array(block)).otherwise(everywhere)).alias("block"),
-    ).select("key", "block", "node", "root", "sig", "major", (F.col("home") == F.col("block")).alias("own"))
-    second = proven(spread.groupBy("key", "block").applyInArrow(_between(least), "u long, v long"))
+    spread = (
+        left.withColumn("major", F.col("root") == F.col("largest"))
+        .withColumn("home", block)
+        .withColumn("block", F.explode(F.when(F.col("major"), F.array("home")).otherwise(everywhere)))
+        .select("key", "block", "node", "root", "weight", "sig", "major", (F.col("home") == F.col("block")).alias("own"))
+    )
+    second = proven(spread.groupBy("key", "block").applyInArrow(_between(threshold), "u long, v long"))
     known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     final = roots if second.isEmpty() else components(known.union(second))
     classes = materialize(

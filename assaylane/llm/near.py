@@ -295,7 +295,8 @@ def _similar(threshold: float):
     return similar
 
 
-def _doc_id(key: str, text: str) -> Column:
+def document_id(key: str, text: str) -> Column:
+    """The id, or where it is null a negative number that stands for the text."""
     made = -(F.shiftrightunsigned(F.xxhash64(F.lit("no id"), text), 2)) - 1
     return F.coalesce(F.col(key).cast("long"), made)
 
@@ -304,7 +305,7 @@ def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """``key``, class_id and class_size of every row."""
-    named = docs.select(F.col(key).alias("key"), _doc_id(key, text).alias("doc"), F.col(text).cast("string").alias("text"))
+    named = docs.select(F.col(key).alias("key"), document_id(key, text).alias("doc"), F.col(text).cast("string").alias("text"))
     # c1 and c2 are null for documents without words, which stay alone
     signed = materialize(named.select("doc", "text").mapInArrow(_sign, "doc long, c1 long, c2 long, bands array<long>"))
     nodes = materialize(

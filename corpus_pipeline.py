@@ -27,10 +27,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one with the least id; of repeated rows one."""
-    found = near.near_duplicates(docs)
-    kept = materialize(found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id").distinct())
-    return docs.dropDuplicates(["doc_id", "text"]).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each class, the one with the least id; of repeated rows one. Rows without an id go by their text."""
+    columns = docs.columns
+    name = "made_id"
+    while name.lower() in map(str.lower, columns):
+        name += "_"
+    named = docs.withColumn(name, near.document_id("doc_id", "text"))
+    kept = materialize(near.near_duplicates(named, key=name).where(F.col(name) == F.col("class_id")).select(name).distinct())
+    return named.dropDuplicates([name, "text"]).join(kept, name, "left_semi").select(*columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

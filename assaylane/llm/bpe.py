@@ -5,7 +5,7 @@ explodes its texts into pre-tokens with positions and sends every distinct word
 shard. A shard meets the words of all blocks, encodes each distinct word once, and answers every
 block in the order it asked. Blocks and answers are then joined, and the ids are reassembled by
 position. Words are matched by 64-bit hashes; every block compares the bytes of its result with the
-text, and a text that differs is encoded again on its own, so that the result is exact.
+texts, and a range of texts that differs is encoded again text by text, so that the result is exact.
 
 Decoding joins the ids with the token-byte table. That table has one row per token of the vocabulary
 file, so its size is bound by that file, and it is sent to all tasks.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,23 +79,28 @@ def token_bytes(path: str) -> TokenBytes:
 
 
 class Block:
-    """The pre-tokens of many texts: distinct words, and the texts as positions in them."""
+    """The pre-tokens of many texts: distinct words, and the texts as positions in them.
 
-    def __init__(self, texts: list[str], with_words: bool) -> None:
+    Texts stay in the Arrow column; those of one range at a time are strings.
+    """
+
+    def __init__(self, texts: pa.Array, with_words: bool) -> None:
         self.parts: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
-        self.words: dict[int, str] = {}
-        known = np.zeros(0, np.uint64)
-        for begin, end in chunks_by_size(map(len, texts), pretokens.CHUNK_CHARS):
-            split = pretokens.split(texts[begin:end])
+        known, hashes, words = np.zeros(0, np.uint64), [], [pa.array([], pa.large_string())]
+        for begin, end in chunks_by_size(pc.utf8_length(texts).to_numpy().tolist(), pretokens.CHUNK_CHARS):
+            split = pretokens.split(texts[begin:end].to_pylist())
             unique, where, codes = np.unique(split.hashes(), return_index=True, return_inverse=True)
             self.parts.append((begin, end, unique, codes.astype(np.int32), split.first))
             new = ~np.isin(unique, known, assume_unique=True)
             if with_words:
                 text, at = split.text, where[new]
-                places = zip(unique[new].tolist(), split.starts[at].tolist(), split.starts[at + 1].tolist(), strict=True)
-                self.words.update((h, text[a:b]) for h, a, b in places)
+                places = zip(split.starts[at].tolist(), split.starts[at + 1].tolist(), strict=True)
+                words.append(pa.array([text[a:b] for a, b in places], pa.large_string()))
+                hashes.append(unique[new])
             known = np.union1d(known, unique[new])
         self.distinct = known
+        if hashes:  # in the order of the distinct hashes
+            self.words = pa.concat_arrays(words).take(pa.array(np.argsort(np.concatenate(hashes))))
 
     def ids(self, counts: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For each range of texts: begin, end, ids of the range, and where each text starts in them.
@@ -131,8 +137,9 @@ def unpack(value: bytes) -> list[bytes]:
     return parts
 
 
-def _texts(table: pa.Table) -> list[str]:
-    return [t or "" for t in table.column("text").to_pylist()]
+def _texts(table: pa.Table) -> pa.Array:
+    """The texts in one array; a null is empty. Offsets have 64 bits, as a group may pass 2 GB."""
+    return pc.fill_null(table.column("text").cast(pa.large_string()).combine_chunks(), "")
 
 
 def _ask(shards: int):
@@ -143,8 +150,9 @@ def _ask(shards: int):
         shard = shard_of(block.distinct, shards)
         rows = []
         for s in np.unique(shard).tolist():
-            words = [block.words[h].encode() for h in block.distinct[shard == s].tolist()]
-            rows.append((s, key[0].as_py(), pack([np.array([len(w) for w in words], np.uint32), b"".join(words)])))
+            words = block.words.take(pa.array(np.flatnonzero(shard == s)))
+            sizes = pc.binary_length(words).to_numpy().astype(np.uint32)
+            rows.append((s, key[0].as_py(), pack([sizes, words.buffers()[2].to_pybytes()[: int(sizes.sum(dtype=np.int64))]])))
         columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.table(
             {
@@ -184,6 +192,11 @@ def _answer(path: str):
     return answer
 
 
+def _own_ids(path: str, text: str) -> bytes:
+    """The ids of one text by the encoder alone."""
+    return np.array(encoder(path).encode_ordinary(text), "<u4").tobytes()
+
+
 def _assemble(path: str, shards: int, schema: pa.Schema):
     """Texts of a block and the answers it got -> the ids of every text."""
 
@@ -207,18 +220,19 @@ def _assemble(path: str, shards: int, schema: pa.Schema):
             joined = joined[ragged_index(starts, counts)]
         else:
             joined = np.zeros(0, np.uint32)
-        table, column = token_bytes(path), [b""] * len(plain)
+        table, columns = token_bytes(path), [pa.array([], pa.binary())]
+        at = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset :]
+        data = np.frombuffer(plain.buffers()[2] or b"", np.uint8)
         for begin, end, of_range, first in block.ids(counts, joined):
             decoded, lengths = table.join(of_range)
             ends = np.concatenate([[0], np.cumsum(lengths)])[first]
-            raw = decoded.tobytes()
-            for i in range(begin, end):
-                a, b = first[i - begin], first[i - begin + 1]
-                value = of_range[a:b]
-                if raw[ends[i - begin] : ends[i - begin + 1]] != plain[i].encode():
-                    value = np.array(encoder(path).encode_ordinary(plain[i]), np.uint32)
-                column[i] = value.astype("<u4").tobytes()
-        out = texts.drop_columns(["block", "text"]).append_column("ids", pa.array(column, pa.binary()))
+            bounds = at[begin : end + 1]
+            if np.array_equal(ends, bounds - bounds[0]) and np.array_equal(decoded, data[bounds[0] : bounds[-1]]):
+                offsets, of_all = pa.array((first * 4).astype(np.int32)), pa.py_buffer(of_range.astype("<u4").tobytes())
+                columns.append(pa.Array.from_buffers(pa.binary(), end - begin, [None, offsets.buffers()[1], of_all]))
+            else:
+                columns.append(pa.array([_own_ids(path, t) for t in plain[begin:end].to_pylist()], pa.binary()))
+        out = texts.drop_columns(["block", "text"]).append_column("ids", pa.chunked_array(columns))
         return out.cast(schema)
 
     return assemble

@@ -21,13 +21,14 @@ CHUNK_CHARS = 1 << 19
 def _classes() -> np.ndarray:
     """Class of every code point."""
     table = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            first, last = ord(m[0][0]), ord(m[0][-1])
-            table[first : last + 1] = kind
-            if first < 0xD800 <= last:
-                table[0xD800:0xE000] = OTHER
+    for begin in range(0, 0x110000, 0x8000):  # bit by bit, to hold little at a time
+        every = "".join(chr(c) for c in range(begin, begin + 0x8000) if not 0xD800 <= c < 0xE000)
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                first, last = ord(m[0][0]), ord(m[0][-1])
+                table[first : last + 1] = kind
+                if first < 0xD800 <= last:
+                    table[0xD800:0xE000] = OTHER
     return table
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylane.llm import pretokens
-from assaylane.llm.common import chunks_by_size, parts_for, ragged_index, total_bytes, worker_cache
+from assaylane.llm.common import chunks_by_size, parts_for, ragged_index, tidy, total_bytes, worker_cache
 
 BLOCK_BYTES = 24 << 20
 SHARD_BYTES = 48 << 20  # bytes of text for each word shard
@@ -162,7 +162,7 @@ def _ask(shards: int):
             }
         )
 
-    return ask
+    return tidy(ask)
 
 
 def _answer(path: str):
@@ -189,7 +189,7 @@ def _answer(path: str):
             {"shard": table.column("shard"), "block": table.column("block"), "ids": pa.array(answers, pa.binary())}
         )
 
-    return answer
+    return tidy(answer)
 
 
 def _own_ids(path: str, text: str) -> bytes:
@@ -235,7 +235,7 @@ def _assemble(path: str, shards: int, schema: pa.Schema):
         out = texts.drop_columns(["block", "text"]).append_column("ids", pa.chunked_array(columns))
         return out.cast(schema)
 
-    return assemble
+    return tidy(assemble)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

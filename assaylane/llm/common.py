@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,28 @@ _CACHE = "_assaylane_llm_worker_cache"
 
 def worker_cache(key: Any, build: Callable[[], Any]) -> Any:
     """``build()`` once per Python worker process; ``key`` must name the content. Kept in ``sys.modules``, as functions that are
-    shipped by value get new globals in every task."""
+    shipped by value get new globals in every task. Of keys (kind, name) a worker holds the last one of each kind."""
     store = sys.modules.setdefault(_CACHE, types.ModuleType(_CACHE)).__dict__.setdefault("values", {})
-    if key not in store:
-        store[key] = build()
-    return store[key]
+    kind = key[0] if isinstance(key, tuple) else key
+    if kind not in store or store[kind][0] != key:
+        store.pop(kind, None)
+        store[kind] = (key, build())
+    return store[kind][1]
+
+
+def tidy(fn: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A grouped function of two arguments that hands freed memory back to the system when it is done, as idle Python workers stay for a while."""
+
+    def run(first, second):
+        out = fn(first, second)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        return out
+
+    return run
 
 
 def total_bytes(df: DataFrame, text: str | Column) -> int:

@@ -78,45 +78,54 @@ def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
 
 class Tree:
-    """Contexts of one language: symbol counts, their sum, and what the next longer context leaves of them."""
+    """Contexts of one language, as sorted arrays per length: the symbols after each, their sum and number, and what of
+    these a context leaves of the next shorter one."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
-        self.symbols: dict[tuple[int, int], dict[int, int]] = {}
-        for gram, n in zip(grams.tolist(), counts.tolist(), strict=True):
-            last, before = gram & 255, gram >> 8
-            for k in range(ORDER + 1):
-                node = self.symbols.setdefault((k, before & ((1 << 8 * k) - 1)), {})
-                node[last] = node.get(last, 0) + n
-        self.totals = {c: sum(s.values()) for c, s in self.symbols.items()}
-        self.left: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def remains(self, context: tuple[int, int], longer: tuple[int, int] | None) -> tuple[int, int]:
-        """Sum and number of the symbols of a context that the longer context does not hold."""
-        symbols = self.symbols[context]
-        if longer is None:
-            return self.totals[context], len(symbols)
-        if longer not in self.left:
-            held = self.symbols[longer]
-            self.left[longer] = self.totals[context] - sum(symbols[s] for s in held), len(symbols) - len(held)
-        return self.left[longer]
-
-    def bits(self, gram: int) -> float:
-        """Code length of the last byte of a gram after the bytes before it."""
-        last, before, cost, longer = gram & 255, gram >> 8, 0.0, None
+        self.symbols: list[tuple[np.ndarray, np.ndarray]] = []  # context and symbol, count
+        self.contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # context, sum, number of symbols
+        self.left: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+        for k in range(ORDER + 1):
+            parts, back = np.unique(grams & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            n = np.zeros(len(parts), np.int64)
+            np.add.at(n, back, counts)
+            context, first = np.unique(parts >> np.uint32(8), return_index=True)
+            self.symbols.append((parts, n))
+            self.contexts.append((context, np.add.reduceat(n, first) if len(first) else n, np.diff(np.append(first, len(parts)))))
+            if k:
+                shorter, held = self.symbols[k - 1], parts & np.uint32((1 << 8 * k) - 1)
+                here = np.searchsorted(self.contexts[k - 1][0], context & np.uint32((1 << 8 * (k - 1)) - 1))
+                total, distinct = (x[here] for x in self.contexts[k - 1][1:])
+                held = shorter[1][np.searchsorted(shorter[0], held)]
+                self.left.append((total - (np.add.reduceat(held, first) if len(first) else held), distinct - self.contexts[k][2]))
+
+    def bits(self, grams: np.ndarray | int) -> np.ndarray:
+        """Code length of the last byte of each gram after the bytes before it."""
+        grams = np.atleast_1d(np.asarray(grams, np.uint32))
+        cost, done = np.zeros(len(grams)), np.zeros(len(grams), bool)
+        longer = np.full(len(grams), -1)  # the next longer context, which is known if any longer one is
         for k in range(ORDER, -1, -1):
-            context = (k, before & ((1 << 8 * k) - 1))
-            symbols = self.symbols.get(context)
-            if symbols is None:
-                continue
-            total, distinct = self.remains(context, longer)
-            longer = context
-            if distinct == 0:
-                continue
-            n = symbols.get(last)
-            if n is not None:
-                return cost - math.log2(n / (total + distinct))
-            cost -= math.log2(distinct / (total + distinct))
-        return cost + math.log2(256 - len(self.symbols[longer]) if longer else 256)
+            context, total, distinct = self.contexts[k]
+            at, known = _places(context, (grams & np.uint32((1 << 8 * (k + 1)) - 1)) >> np.uint32(8))
+            own_total, own_distinct = np.where(known, total[at], 0), np.where(known, distinct[at], 0)
+            if k < ORDER:
+                less = longer >= 0
+                own_total[less], own_distinct[less] = (x[longer[less]] for x in self.left[k + 1])
+            symbol, found = _places(self.symbols[k][0], grams & np.uint32((1 << 8 * (k + 1)) - 1))
+            live = ~done & known & (own_distinct > 0)
+            end, escape = live & found, live & ~found
+            cost[end] -= np.log2(self.symbols[k][1][symbol[end]] / (own_total + own_distinct)[end])
+            cost[escape] -= np.log2(own_distinct[escape] / (own_total + own_distinct)[escape])
+            done |= end
+            longer = np.where(known, at, -1)
+        cost[~done] += math.log2(256 - int(self.contexts[0][2][0])) if not done.all() else 0.0
+        return cost
+
+
+def _places(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value is in a sorted array that is not empty, and whether it is."""
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
 
 
 class Model:
@@ -136,31 +145,41 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[int, int] = {}
+        self.known = 0
         self.grams = np.zeros(1 << 12, np.uint32)
         self.costs = np.zeros((1 << 12, len(self.trees)), np.float32)
+        self.sorted, self.row_of = np.zeros(0, np.uint32), np.zeros(0, np.int32)
         self.slots = np.zeros(_SLOTS, np.int32)
 
-    def _row(self, gram: int) -> int:
-        row = self.index.get(gram)
-        if row is None:
-            row = self.index[gram] = len(self.index)
-            if row == len(self.grams):
-                self.grams = np.concatenate([self.grams, np.zeros_like(self.grams)])
-                self.costs = np.concatenate([self.costs, np.zeros_like(self.costs)])
-            self.grams[row] = gram
-            self.costs[row] = [t.bits(gram) for t in self.trees]
-        return row
+    def _rows_of(self, grams: np.ndarray) -> np.ndarray:
+        """Rows of distinct sorted grams; those that are not known get new ones."""
+        at = np.searchsorted(self.sorted, grams)
+        new = np.ones(len(grams), bool)
+        if len(self.sorted):
+            new = self.sorted[np.minimum(at, len(self.sorted) - 1)] != grams
+        rows = np.zeros(len(grams), np.int32)
+        rows[~new] = self.row_of[at[~new]]
+        rows[new] = np.arange(self.known, self.known + np.count_nonzero(new))
+        self.known += np.count_nonzero(new)
+        while self.known > len(self.grams):
+            self.grams = np.concatenate([self.grams, np.zeros_like(self.grams)])
+            self.costs = np.concatenate([self.costs, np.zeros_like(self.costs)])
+        if new.any():
+            self.grams[rows[new]] = grams[new]
+            for i, tree in enumerate(self.trees):
+                self.costs[rows[new], i] = tree.bits(grams[new])
+            self.sorted, self.row_of = np.insert(self.sorted, at[new], grams[new]), np.insert(self.row_of, at[new], rows[new])
+        return rows
 
     def rows(self, grams: np.ndarray) -> np.ndarray:
-        if len(self.index) > _KNOWN:
+        if self.known > _KNOWN:
             self.reset()
         place = (grams * np.uint32(2654435761)) >> np.uint32(10)
         rows = self.slots[place]
-        missed = np.flatnonzero(self.grams[rows] != grams)
-        if len(missed) or not self.index:
+        missed = np.flatnonzero(self.grams[rows] != grams) if self.known else np.arange(len(grams))
+        if len(missed):
             new, where, back = np.unique(grams[missed], return_index=True, return_inverse=True)
-            found = np.array([self._row(g) for g in new.tolist()], np.int32)
+            found = self._rows_of(new)
             self.slots[place[missed[where]]] = found
             rows[missed] = found[back]
         return rows

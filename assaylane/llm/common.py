@@ -27,21 +27,36 @@ def worker_cache(key: Any, build: Callable[[], Any]) -> Any:
     return store[kind][1]
 
 
+def release_memory() -> None:
+    """Hands freed memory back to the system, as idle Python workers stay for a while."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(fn: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
-    """A grouped function of two arguments that hands freed memory back to the system when it is done, as idle Python workers stay for a while."""
+    """A grouped function of two arguments that releases memory when it is done."""
 
     def run(first, second):
         out = fn(first, second)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        release_memory()
         return out
 
     return run
 
 
+def tidy_batches(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that releases memory after the last one."""
+
+    def run(batches):
+        yield from fn(batches)
+        release_memory()
+
+    return run
+
+
 def total_bytes(df: DataFrame, text: str | Column) -> int:
     """UTF-8 bytes in a text column; one pass, one number to the driver."""
     column = F.col(text) if isinstance(text, str) else text

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from assaylane.llm.common import total_bytes, worker_cache
+from assaylane.llm.common import tidy_batches, total_bytes, worker_cache
 
 WINDOW = 10
 AUTOMATON_BYTES = 64 << 20  # of windows in one automaton
@@ -196,7 +196,7 @@ def find_contamination(
     schema = to_arrow_schema(named.schema)
     scanned = named
     for shard in _shards(spark, item_windows(items, size, item_id, item_text), automaton_bytes):
-        scanned = scanned.mapInArrow(_scan(shard, schema), named.schema)
+        scanned = scanned.mapInArrow(tidy_batches(_scan(shard, schema)), named.schema)
     located = scanned.mapInArrow(
         _locate, named.drop("runs").withColumns({"n_hit": F.lit(0).cast("long"), "spans": F.array().cast("array<int>")}).schema
     )

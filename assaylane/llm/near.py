@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylane.llm.common import chunks_by_size, mixed
+from assaylane.llm.common import chunks_by_size, mixed, tidy_batches
 from assaylane.llm.components import components
 from assaylane.llm.pretokens import LETTER, NUMBER, char_classes
 from assaylane.session import materialize
@@ -307,7 +307,7 @@ def near_duplicates(
     """``key``, class_id and class_size of every row."""
     named = docs.select(F.col(key).alias("key"), document_id(key, text).alias("doc"), F.col(text).cast("string").alias("text"))
     # c1 and c2 are null for documents without words, which stay alone
-    signed = materialize(named.select("doc", "text").mapInArrow(_sign, "doc long, c1 long, c2 long, bands array<long>"))
+    signed = materialize(named.select("doc", "text").mapInArrow(tidy_batches(_sign), "doc long, c1 long, c2 long, bands array<long>"))
     nodes = materialize(
         signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc").alias("node"), F.first("bands").alias("bands"))
     )
@@ -319,7 +319,7 @@ def near_duplicates(
         named.select(F.col("doc").alias("node"), "text")
         .join(candidates, "node", "left_semi")
         .dropDuplicates(["node"])
-        .mapInArrow(_detail, _DETAIL)
+        .mapInArrow(tidy_batches(_detail), _DETAIL)
     )
     members = keyed.join(details.select("node", "weight", "sig"), "node")
 
@@ -328,7 +328,7 @@ def near_duplicates(
         a = details.select(F.col("node").alias("u"), F.col("cells").alias("a"))
         b = details.select(F.col("node").alias("v"), F.col("cells").alias("b"))
         both = distinct.join(a, "u").join(b, "v").select("u", "v", "a", "b")
-        return materialize(both.mapInArrow(_similar(threshold), "u long, v long"))
+        return materialize(both.mapInArrow(tidy_batches(_similar(threshold)), "u long, v long"))
 
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     first = proven(

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from assaylane.llm.common import chunks_by_size, worker_cache
+from assaylane.llm.common import chunks_by_size, tidy_batches, worker_cache
 
 ORDER = 3
 SAMPLE_BYTES = 2 << 20  # of training text for each language
@@ -258,7 +258,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 [c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
             )
 
-    predicted = named.mapInArrow(run, out.schema)
+    predicted = named.mapInArrow(tidy_batches(run), out.schema)
     return predicted.select(
         *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "lang_pred", "score", "bits_per_byte"
     )

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from assaylane.llm import pretokens
 from assaylane.llm.common import chunks_by_size, parts_for, ragged_index, tidy, total_bytes, worker_cache
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 48 << 20  # bytes of text for each word shard
 
 
@@ -123,7 +123,7 @@ def pack(arrays: list[np.ndarray | bytes]) -> bytes:
     """Arrays as one compressed value."""
     raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
     head = np.array([len(raw), *map(len, raw)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(raw))
 
 
 def unpack(value: bytes) -> list[bytes]:
@@ -137,6 +137,17 @@ def unpack(value: bytes) -> list[bytes]:
     return parts
 
 
+def narrow(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Numbers in as few bytes as all of them fit in, and before them the type."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return kind.str.encode(), values.astype(kind)
+
+
+def widened(parts: list[bytes]) -> list[np.ndarray]:
+    """The arrays that ``narrow`` was given, from types and numbers by turns."""
+    return [np.frombuffer(raw, kind.decode()).astype(np.uint32) for kind, raw in zip(parts[::2], parts[1::2], strict=True)]
+
+
 def _texts(table: pa.Table) -> pa.Array:
     """The texts in one array; a null is empty. Offsets have 64 bits, as a group may pass 2 GB."""
     return pc.fill_null(table.column("text").cast(pa.large_string()).combine_chunks(), "")
@@ -184,7 +195,7 @@ def _answer(path: str):
                     got = known[word] = one(word)
                 counts.append(len(got))
                 ids += got
-            answers.append(pack([np.array(counts, np.uint32), np.array(ids, np.uint32)]))
+            answers.append(pack([x for values in (counts, ids) for x in narrow(np.array(values, np.uint32))]))
         return pa.table(
             {"shard": table.column("shard"), "block": table.column("block"), "ids": pa.array(answers, pa.binary())}
         )
@@ -208,7 +219,7 @@ def _assemble(path: str, shards: int, schema: pa.Schema):
         order = []
         for s, packed in zip(answers.column("shard").to_pylist(), answers.column("ids"), strict=True):
             own = np.flatnonzero(shard == s)
-            got, of_words = (np.frombuffer(x, np.uint32) for x in unpack(packed.as_py()))
+            got, of_words = widened(unpack(packed.as_py()))
             counts[own] = got
             order.append(own)
             ids.append(of_words)

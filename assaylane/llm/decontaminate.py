@@ -114,7 +114,7 @@ def _scan(shard: Broadcast, schema: pa.Schema):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, windows = shard.value
-        machine = worker_cache(("automaton", name), lambda: _automaton(windows))
+        machine = worker_cache(("automaton", name), lambda: _automaton(windows), large=True)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n_words, runs, items = [], batch.column("runs").to_pylist(), batch.column("items").to_pylist()

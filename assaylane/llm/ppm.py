@@ -237,7 +237,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, languages, counts = sent.value
-        scorer = worker_cache(("ppm", name), lambda: Scorer(counts)) if languages else None
+        scorer = worker_cache(("ppm", name), lambda: Scorer(counts), large=True) if languages else None
         for batch in batches:
             texts = [t if t and any(map(str.isalpha, t)) else "" for t in batch.column("text").to_pylist()]
             raw = [t.encode() for t in texts]

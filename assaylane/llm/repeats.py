@@ -85,6 +85,9 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, ...]:
     if not parts:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     at, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+    # the windows of one anchor may lie on both sides of a cut: a position gives one row
+    begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    at, first, last = at[begins], first[begins], last[np.append(begins[1:], len(at)) - 1]
     ids = gram_ids(text)
     whole = np.zeros(len(at), np.int64)
     fits = (at >= SPAN - 1) & (at + LENGTH <= len(text))

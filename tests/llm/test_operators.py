@@ -130,6 +130,20 @@ def test_repeats(docs, none, rows):
     assert repeats.repeated_passages(none).collect() == []
 
 
+def test_repeats_across_pieces(spark):
+    passage = prose(11, 120_000)
+    assert len(passage) > 600_000
+    texts = [prose(12, 120_000), "one " + passage + prose(13, 40), prose(14, 70) + passage]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = repeats.repeated_passages(table).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    want = repeats.brute_force([t.encode() for t in texts])
+    assert want[0][1] == 0 and want[1][1] >= len(passage)
+    assert {tuple(r) for r in found} == {(i, *w) for i, w in enumerate(want)}
+    for t in texts:
+        at = repeats.anchors(np.frombuffer(t.encode(), np.uint8))[1]
+        assert (np.diff(at) > 0).all()
+
+
 def test_top_k(spark):
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(120)]

@@ -398,9 +398,8 @@ def _(spark, d):
     FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7Fà-üÀ-Ü]', '', 'g') AS text FROM documents)""",
 )
 def _(spark, d):
-    # characters outside plain and Latin-1 text are removed first, as SQL can only strip accents
-    latin = F.regexp_replace("text", r"[^\x00-\x7Fà-üÀ-Ü]", "")
-    return table(spark, d, "documents").select("doc_id", clean_text(latin).alias("text"))
+    # whole texts; the SQL holds for plain text and for Latin-1 letters, as it can only strip accents
+    return table(spark, d, "documents").select("doc_id", clean_text(col("text")).alias("text"))
 
 
 def clean_sql(c: str) -> str:

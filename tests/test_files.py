@@ -85,3 +85,28 @@ def test_hashes(spark, tmp_path):
     df = spark.range(100).withColumn("t", F.when(col("id") % 2 == 0, "x"))
     assert files.table_fingerprint(df).first() == files.table_fingerprint(df.repartition(7)).first()
     assert files.table_fingerprint(df).first() != files.table_fingerprint(df.where("id > 0")).first()
+
+
+def test_tabs_at_cell_ends(spark, data, monkeypatch):
+    from checks.registry import QUERIES
+    from checks.standins import assay
+
+    read, whole = files.read_delimited, []
+    monkeypatch.setattr(files, "read_delimited", lambda *a, **k: whole.append(read(*a, **k)) or whole[-1])
+    names = ["row_idx", "Standard Relation"]
+    QUERIES["delimited_read"](spark, data)
+    got = {tuple(r) for r in whole[0].select(*names).collect()}
+    assert got == {(str(i), v) for i, v in assay(spark, data).select(*names).collect()}
+    assert any((v or "").startswith("\t") for _, v in got)
+
+
+def test_hashes_of_every_table(spark, data):
+    from checks.registry import QUERIES
+
+    want = {}
+    for folder, _, names in os.walk(data):
+        for name in names:
+            with open(os.path.join(folder, name), "rb") as f:
+                want[name] = hashlib.sha256(f.read()).hexdigest()
+    got = {os.path.basename(r["path"]): r["sha256"] for r in QUERIES["file_hashes"](spark, data).collect()}
+    assert "lineitem.parquet" in got and got == {n: want[n] for n in got} and len(got) == len(want)

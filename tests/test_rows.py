@@ -168,6 +168,19 @@ def test_clean_text(spark):
     assert values(df.select(clean_text(col("v")).alias("v"))) == ["Acido", "", "plain", "fix", ""]
 
 
+def test_text_cleaned_takes_whole_texts(spark, tmp_path):
+    from checks.registry import QUERIES
+
+    given = [
+        ("Łódź ő ű", "odz o u"), ("ﬁne ² ½ Ⅳ １２", "fine 2 12 IV 12"), ("日本 abc Ж", "abc"), ("Æ × ÷ ß ø", ""),
+        ("\u2003ñandú\r\n€5 ", "nandu  5"), ("e\u0301t\u00e9", "ete"), ("Việt Nam", "Viet Nam"), ("", ""), (None, ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(given)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in QUERIES["text_cleaned"](spark, str(tmp_path)).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(given)}
+
+
 def test_detect_column(spark):
     df = spark.createDataFrame([(1, 2)], "`Canonical SMILES text` int, other int")
     assert columns.structure_column(df) == "Canonical SMILES text"

@@ -20,8 +20,8 @@ skipped, and no key is expanded into all its pairs.
 Result: one row per document with its class, the least id in it, and the size of the class.
 
 Defined results: null texts and texts without words are alone; a text of fewer than five words is one
-shingle; repeated rows share a class; rows that share an id count as versions of one document; rows
-with a null id take a negative id derived from the text for ``class_id``; other columns are ignored;
+shingle; repeated rows share a class; rows that share an id count as versions of one document and
+join their classes; rows with a null id take a negative id derived from the text for ``class_id``; other columns are ignored;
 an empty table gives an empty table.
 """
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylane.llm.common import chunks_by_size, mixed, tidy_batches
+from assaylane.llm.common import chunks_by_size, content_key, mixed, tidy_batches
 from assaylane.llm.components import components
 from assaylane.llm.pretokens import LETTER, NUMBER, char_classes
 from assaylane.session import materialize
@@ -152,9 +152,9 @@ def _band_keys(table: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, two numbers that stand for its weighted set, and the band keys."""
+    """doc, the key of its text, two numbers that stand for its weighted set, and the band keys."""
     for batch in batches:
-        docs, texts = batch.column("doc"), [t or "" for t in batch.column("text").to_pylist()]
+        kept, texts = [batch.column(c) for c in ("doc", "k1", "k2")], [t or "" for t in batch.column("text").to_pylist()]
         for begin, end in chunks_by_size(map(len, texts), _CHUNK):
             own = texts[begin:end]
             cells, of = units(*shingles(own))
@@ -166,12 +166,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = _band_keys(table).astype(np.int64)
             yield pa.record_batch(
                 [
-                    docs.slice(begin, end - begin),
+                    *(c.slice(begin, end - begin) for c in kept),
                     pa.array(sums[0].astype(np.int64), mask=~has),
                     pa.array(sums[1].astype(np.int64), mask=~has),
                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel())),
                 ],
-                names=["doc", "c1", "c2", "bands"],
+                names=["doc", "k1", "k2", "c1", "c2", "bands"],
             )
 
 
@@ -306,19 +306,20 @@ def near_duplicates(
 ) -> DataFrame:
     """``key``, class_id and class_size of every row."""
     named = docs.select(F.col(key).alias("key"), document_id(key, text).alias("doc"), F.col(text).cast("string").alias("text"))
+    keyed_texts = named.select("doc", *content_key(F.col("text")), "text")
     # c1 and c2 are null for documents without words, which stay alone
-    signed = materialize(named.select("doc", "text").mapInArrow(tidy_batches(_sign), "doc long, c1 long, c2 long, bands array<long>"))
-    nodes = materialize(
-        signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc").alias("node"), F.first("bands").alias("bands"))
-    )
+    signed = materialize(keyed_texts.mapInArrow(tidy_batches(_sign), "doc long, k1 long, k2 long, c1 long, c2 long, bands array<long>"))
+    # a node is a weighted set, with one of its texts; an id may have several
+    sets = signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc", "k1", "k2")).alias("one"), F.first("bands").alias("bands"))
+    nodes = materialize(sets.select("c1", "c2", "one.*", "bands", F.monotonically_increasing_id().alias("node")))
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = materialize(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     keyed = materialize(banded.join(shared, "key").select("key", "node", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")))
     candidates = keyed.select("node").distinct()
     details = materialize(
-        named.select(F.col("doc").alias("node"), "text")
-        .join(candidates, "node", "left_semi")
-        .dropDuplicates(["node"])
+        keyed_texts.join(nodes.select("node", "doc", "k1", "k2").join(candidates, "node", "left_semi"), ["doc", "k1", "k2"])
+        .dropDuplicates(["doc", "k1", "k2"])
+        .select("node", "text")
         .mapInArrow(tidy_batches(_detail), _DETAIL)
     )
     members = keyed.join(details.select("node", "weight", "sig"), "node")
@@ -355,13 +356,17 @@ def near_duplicates(
     known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     final = roots if second.isEmpty() else components(known.union(second))
     classes = materialize(
-        nodes.select("c1", "c2", "node").join(final, "node", "left").select("c1", "c2", F.coalesce("root", "node").alias("class_id"))
-    )
-    rows = named.select("key", "doc")
-    # every row of an id gets the class of the id
-    by_doc = materialize(
-        signed.select("doc", "c1", "c2").join(classes, ["c1", "c2"], "left").groupBy("doc").agg(F.min(F.coalesce("class_id", "doc")).alias("class_id"), F.count("*").alias("n"))
+        nodes.select("c1", "c2", "node").join(final, "node", "left").select("c1", "c2", F.coalesce("root", "node").alias("root"))
     )
-    sizes = materialize(by_doc.groupBy("class_id").agg(F.sum("n").alias("class_size")))
-    by_doc = by_doc.join(sizes, "class_id")
-    return rows.join(by_doc, "doc").select(F.col("key").alias(key), "class_id", "class_size")
+    rooted = materialize(signed.select("doc", "c1", "c2").join(classes, ["c1", "c2"], "left").groupBy("doc", "root").agg(F.count("*").alias("n")))
+    by_doc = materialize(rooted.groupBy("doc").agg(F.min("root").alias("root"), F.max("root").alias("last"), F.sum("n").alias("n")))
+    # the texts of an id are versions of one document and join their classes
+    several = by_doc.where("last > root").select("doc", F.col("root").alias("v"))
+    if not several.isEmpty():
+        links = materialize(rooted.join(several, "doc").where("root > v").select(F.col("root").alias("u"), "v").distinct())
+        joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("least"))
+        by_doc = materialize(by_doc.join(joined, "root", "left").select("doc", F.coalesce("least", "root").alias("root"), "n"))
+    told = by_doc.where("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("class_id"), F.sum("n").alias("class_size"))
+    alone = by_doc.where("root IS NULL").select("doc", F.col("doc").alias("class_id"), F.col("n").alias("class_size"))
+    every = by_doc.join(materialize(told), "root").select("doc", "class_id", "class_size").union(alone)
+    return named.select("key", "doc").join(every, "doc").select(F.col("key").alias(key), "class_id", "class_size")

@@ -183,6 +183,18 @@ def test_near_duplicates(docs, none, rows):
     assert near.near_duplicates(none).collect() == []
 
 
+def test_near_duplicates_of_versions(spark):
+    first, second, third, other = prose(21, 200), prose(22, 200), prose(23, 200), prose(24, 200)
+    near_copy = lambda text, word: " ".join([*text.split()[:-1], word])
+    rows = [
+        (1, first), (1, second), (2, near_copy(first, "end")), (3, near_copy(second, "end")), (4, other), (None, None), (5, ""),
+        (6, third), (10, third), (10, near_copy(other, "end")), (12, prose(25, 200)), (13, None), (13, prose(25, 200).upper()),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near.near_duplicates(table).collect() if r.doc_id is not None}
+    assert got == {i: (1, 4) for i in (1, 2, 3)} | {i: (4, 4) for i in (4, 6, 10)} | {5: (5, 1)} | {i: (12, 3) for i in (12, 13)}
+
+
 def test_signatures_estimate_similarity():
     a, b = prose(1, 400), prose(1, 400)[:-200] + prose(8, 60)
     cells, of = near.units(*near.shingles([a, b]))

@@ -17,13 +17,20 @@ from assaylane.session import materialize
 LEAST_SCORE = 0.5
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with made-up names, which clash with no result of an operator, and the made-up name of each column."""
+    names = [f"column_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters, and those that no language fits better than all
     others together, go."""
-    columns = tuple(docs.columns)
     model = ppm.fit(docs.where(~ppm.held_out(F.col("doc_id"))))
-    told = ppm.predict(docs, model, keep=columns)
-    return told.where((F.col("lang_pred") != ppm.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    named, names = _renamed(docs)
+    told = ppm.predict(named, model, text=names["text"], keep=tuple(named.columns))
+    told = told.where((F.col("lang_pred") != ppm.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return told.select(*named.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +46,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    columns = tuple(docs.columns)
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=columns)
-    return found.where("n_hit = 0").select(*columns)
+    named, names = _renamed(docs)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_contamination(named, items, text=names["text"], keep=tuple(named.columns))
+    return found.where("n_hit = 0").select(*named.columns).toDF(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -277,3 +277,16 @@ def test_pipeline(spark, data):
     root = similar([(k, t, None) for k, t in text.items()])
     kept = {r.doc_id for r in before.collect()}
     assert len({root[k] for k in kept}) == len(kept)
+
+
+def test_stages_keep_columns_of_any_name(spark, data):
+    import corpus_pipeline
+
+    plain = spark.read.parquet(f"{data}/documents.parquet")
+    clashing = plain.selectExpr("*", "0L AS n_hit", "'x' AS items", "0.0 AS score", "'und' AS lang_pred", "1L AS n_words")
+    for stage in (corpus_pipeline.language, corpus_pipeline.near_duplicates, corpus_pipeline.decontaminated, corpus_pipeline.redacted):
+        got = stage(spark, clashing, data)
+        assert got.columns == clashing.columns
+        want = Counter(map(tuple, stage(spark, plain, data).select("doc_id", "text").collect()))
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+        assert {(r.n_hit, r.items, r.score, r.lang_pred, r.n_words) for r in got.collect()} == {(0, "x", 0, "und", 1)}

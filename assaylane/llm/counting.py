@@ -36,7 +36,10 @@ def _tokenizer(path: str):
 
 def _stem(word: str) -> tuple[str, int]:
     """A word that is counted in its place, and the tokens to add: a comma or point after an ASCII letter or
-    digit is a token of its own, and ASCII capitals count as small letters."""
+    digit is a token of its own, and ASCII capitals count as small letters. Special tokens are matched in small letters
+    only, so what may hold one is left as it is."""
+    if "<|" in word:
+        return word, 0
     if word[-1:] in (",", ".") and word[-2:-1].isascii() and word[-2:-1].isalnum():
         return (word[:-1].lower() if word.isascii() else word[:-1]), 1
     return (word.lower() if word.isascii() else word), 0

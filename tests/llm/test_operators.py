@@ -74,6 +74,14 @@ def test_token_counts(docs, none, rows):
     assert counting.count_tokens(none, WORD_BPE, 10).collect() == []
 
 
+def test_token_counts_of_special_strings(spark):
+    texts = ["<|ENDOFTEXT|>", "<|endoftext|>", "a <|StartOfText|> B", "x<|startoftext|>y, <|EndOfText|>.", "<|endoftext|>END, <|OTHER|>"]
+    tokenizer = counting._tokenizer(WORD_BPE)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in counting.count_tokens(table, WORD_BPE, 10).collect()}
+    assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_packing_is_lossless(docs, none, rows):
     packed = packing.pack_tokens(docs.where("doc_id <> 9 AND doc_id IS NOT NULL"), BYTE_BPE, 50_256, length=64).collect()
     pieces = {}

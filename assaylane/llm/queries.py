@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylane.llm import bpe, counting, decontaminate, near, packing, ppm, quality, repeats, secrets, topk
+from assaylane.llm import (
+    bpe, collocations, counting, decontaminate, importance, near, ngram_join, packing, ppm, quality, repeats, secrets, topk,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,3 +96,18 @@ def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_quality")
 def quality_kept(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op11_collocations", collocations.COLLOCATIONS_SQL)
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"))
+
+
+@query("op12_importance")
+def importance_drawn(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op13_ngram_join")
+def ngram_components(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_join(read(spark, folder, "documents"))

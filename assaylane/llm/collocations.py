@@ -40,7 +40,7 @@ from assaylane.session import materialize
 
 LONGEST, LEAST, BEST = 5, 100, 2_000
 UNKNOWN = "und"
-CHUNK = 16 << 20  # bytes of text whose counts are added up at once
+CHUNK = 5 << 20  # bytes of text whose counts are added up at once
 RANGE_ROWS = 500_000
 SAMPLE_ROWS = 100  # for each range, to place its bounds
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -55,7 +55,7 @@ def _pieces(words: Words) -> np.ndarray:
     n = len(words.starts)
     if not n:
         return np.zeros(0, np.int64)
-    cut = np.cumsum(PUNCTUATION[words.data])
+    cut = np.cumsum(PUNCTUATION[words.data], dtype=np.int32)
     last = np.ones(n, bool)
     last[:-1] = cut[words.starts[1:]] != cut[words.ends[:-1] - 1]
     last[words.first[1:][words.counts > 0] - 1] = True

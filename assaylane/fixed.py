@@ -115,3 +115,4 @@ BOOSTED_SPACE_EXTENDED = {
 }
 
 SEED = 1234
+ROW_INDEX = "row_idx"

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from math import floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylane.fixed import SEED
-from assaylane.functions.seeds import seed_hash
+from assaylane.fixed import ROW_INDEX, SEED
 from assaylane.operators.columns import col, number
-from assaylane.operators.hashcuts import hash_cuts
-from assaylane.operators.ordering import values_at_ranks
+from assaylane.operators.ordering import order_statistics
+from assaylane.operators.selection import order_key, rank_cuts
+from assaylane.session import materialize
+from assaylane.sources.rows import with_row_index
 
-MAX_CLASSES = 1_000
+_MADE = "_made_row_index"
 
 
 def label_by_fraction(
@@ -23,32 +24,37 @@ def label_by_fraction(
     fraction: float = 0.5,
     seed: int = SEED,
     out: str = "activo",
+    ties: str | None = None,
     **limits: int,
 ) -> DataFrame:
     """Label the ``fraction`` of rows with the lowest values 1, all others 0.
 
     Exactly ``clamp(floor(fraction * n), 1, n)`` of the ``n`` rows with a value get 1. Among rows
-    tied at the cut, the seeded hash of the unique ``id_col`` decides. The cut value and the cut
-    hash are found by counting passes, so labelling itself is a projection without a shuffle.
+    tied at the cut, the seeded hash of ``id_col`` decides, and between rows with one id the row
+    index ``ties`` (``row_idx`` where the table has it, else one is made when needed). Labelling
+    itself is a projection without a shuffle.
     """
     if not 0.0 < fraction <= 1.0:
         raise ValueError("fraction must be in (0, 1]")
+    ties = ties or (ROW_INDEX if ROW_INDEX in df.columns else None)
     number_ = number(df, value)
-    frame = df.select(number_.alias("v"), seed_hash(col(id_col), seed=seed).alias("h"))
+    frame = materialize(df.select(number_.alias("v"), order_key(id_col, ties, seed).alias("key")))
     wanted = lambda n: [max(1, min(floor(fraction * n), n))]
-    counts, values = values_at_ranks(frame, ["v"], wanted, **limits)
-    if not values["v"]:
+    counts, found = order_statistics(frame, ["v"], wanted, **limits)
+    if not found["v"]:
         return df.withColumn(out, F.lit(0))
-    cut, k = values["v"][0], wanted(counts["v"])[0]
-    seen = frame.agg(
-        F.count_if(F.col("v") < cut).alias("below"), F.count_if(F.col("v") == cut).alias("tied")
-    ).first()
-    active = number_ <= cut
-    if k - seen["below"] < seen["tied"]:
-        tied = frame.where(F.col("v") == cut).select(F.lit(0).alias("g"), "h")
-        cuts = hash_cuts(tied, "g", "h", {0: [k - seen["below"]]}, {0: seen["tied"]})
-        chosen = seed_hash(col(id_col), seed=seed) <= cuts[0][0]
-        active = (number_ < cut) | ((number_ == cut) & chosen)
+    at = found["v"][0]
+    left = wanted(counts["v"])[0] - at.below
+    active = number_ <= at.value
+    if left < at.equal:
+        group = F.lit(0).alias("g")
+        ranks = frame.sparkSession.range(1).select(group, F.lit(0).alias("slot"), F.lit(left).alias("rank"))
+        cut = rank_cuts(frame.where(F.col("v") == at.value).select(group, "key"), ranks, at.equal).first()
+        if cut["tied"]:
+            indexed = with_row_index(df, _MADE)
+            return label_by_fraction(indexed, value, id_col, fraction, seed, out, _MADE, **limits).drop(_MADE)
+        chosen = order_key(id_col, ties, seed) <= cut["cut"]
+        active = (number_ < at.value) | ((number_ == at.value) & chosen)
     return df.withColumn(out, F.coalesce(active, F.lit(False)).cast("int"))
 
 
@@ -61,28 +67,20 @@ def class_distribution(df: DataFrame, y: str = "activo") -> DataFrame:
     return df.groupBy(col(y)).agg(F.count("*").alias("n")).orderBy(col(y))
 
 
-def class_counts(df: DataFrame, y: str) -> dict:
-    """Rows per class, on the driver. A label has few classes; more than ``MAX_CLASSES`` is an error."""
-    rows = df.groupBy(col(y).alias("y")).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{y} has over {MAX_CLASSES} distinct values, so it is no class label")
-    if any(r["y"] is None for r in rows):
+def class_sizes(df: DataFrame, y: str) -> DataFrame:
+    """``g, k``: rows per class, written once, for any number of classes. A missing label is an error."""
+    counted = materialize(df.groupBy(col(y).alias("g")).agg(F.count("*").alias("k")))
+    if not counted.where("g IS NULL").isEmpty():
         raise ValueError(f"{y} has missing labels")
-    return {r["y"]: r["n"] for r in sorted(rows, key=lambda r: r["y"])}
+    return counted
 
 
 def with_class_weight(df: DataFrame, y: str = "activo", out: str = "weight") -> DataFrame:
-    """Balanced weight ``n / (classes * n_class)`` per row."""
-    counts = class_counts(df, y)
-    n = sum(counts.values())
-    return df.withColumn(out, _per_class(y, {c: n / (len(counts) * size) for c, size in counts.items()}))
-
-
-def _per_class(y: str, values: dict) -> Column:
-    if not values:
-        return F.lit(None).cast("double")
-    chain = None
-    for label, value in values.items():
-        step = col(y) == F.lit(label)
-        chain = F.when(step, F.lit(value)) if chain is None else chain.when(step, F.lit(value))
-    return chain
+    """Balanced weight ``n / (classes * n_class)`` per row, joined by class."""
+    sizes = class_sizes(df, y)
+    whole = sizes.agg(F.sum("k").alias("n"), F.count("*").alias("classes")).first()
+    if not whole["n"]:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    weight = F.lit(float(whole["n"])) / (F.lit(whole["classes"]) * F.col("k"))
+    weights = sizes.select(F.col("g").alias("_class"), weight.alias(out))
+    return df.drop(out).join(weights, col(y) == F.col("_class")).drop("_class")

@@ -7,15 +7,17 @@ ranges before it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylane.operators.columns import col
+from assaylane.operators.columns import col, quoted
 from assaylane.session import materialize
 
 ROWS_PER_TASK = 1_000_000
@@ -129,148 +131,163 @@ def running_totals(
     )
 
 
+@dataclass
+class Found:
+    """An order statistic: the value, the rows below it and the rows that have it."""
+
+    value: float
+    below: int
+    equal: int
+
+
 @dataclass
 class _Bracket:
-    """Where one wanted rank of one column can lie: values ``lo..hi``, ``below`` rows under them."""
+    """Where one wanted rank of one column can lie: codes ``lo..hi``, ``below`` rows under them, ``inside`` in them."""
 
-    column: str
+    column: int
     rank: int
-    lo: float
-    hi: float
+    lo: int
+    hi: int
     below: int
     inside: int
-    value: float | None = None
+    found: Found | None = None
 
     @property
-    def shape(self) -> tuple[str, float, float, int]:
-        return self.column, self.lo, self.hi, self.below
+    def shape(self) -> tuple[int, int, int]:
+        return self.column, self.lo, self.hi
 
 
-_HISTOGRAM_BINS = 1024
-_LARGEST = 1.7976931348623157e308
+_BINS = 4096
+FINAL_ROWS = 10_000  # values of a bracket that the driver may see
 
 
-def values_at_ranks(
-    df: DataFrame,
-    columns: Sequence[str],
-    ranks_of: Callable[[int], list[int]],
-    final_rows: int | None = None,
-    sample_rows: int | None = None,
-) -> tuple[dict[str, int], dict[str, list[float]]]:
-    """Exact order statistics of many columns at once.
+def _codes(values: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the numbers, infinities included."""
+    bits = (values + 0.0).view(np.int64)  # -0.0 is 0.0
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
+
+
+def _number(code: int) -> float:
+    bits = code ^ 0x7FFFFFFFFFFFFFFF if code < 0 else code
+    return float(np.array([bits], np.int64).view(np.float64)[0])
+
+
+def _column_codes(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    column = batch.column(i)
+    values = column.drop_null().to_numpy(zero_copy_only=False) if column.null_count else column.to_numpy(zero_copy_only=False)
+    return _codes(values[~np.isnan(values)])
+
 
-    ``ranks_of(n)`` gives the wanted 1-based ranks for a column with ``n`` values. Returns the
-    value counts and, per column, the values at those ranks. Each pass counts a histogram around
-    every wanted rank and keeps the one bin that holds it; a sample places the first histogram. The
-    driver sees bin counts only, and the last bin of at most ``final_rows`` rows is sorted in Spark.
+def order_statistics(
+    df: DataFrame, columns: Sequence[str], ranks_of: Callable[[int], list[int]], final_rows: int | None = None
+) -> tuple[dict[str, int], dict[str, list[Found]]]:
+    """Exact order statistics of many columns at once; null and NaN are no values.
+
+    ``ranks_of(n)`` gives the wanted 1-based ranks for a column with ``n`` values. Numbers are taken as integer codes
+    in the same order. A pass counts, for all columns together, a histogram of equal bins over each bracket of codes
+    that holds a wanted rank; the histograms of the tasks are added up bin by bin, and each bracket shrinks to one of
+    its bins. Six passes end any distribution; a bracket of ``final_rows`` values is read instead. The table keeps its
+    width: rows are never turned into cells.
     """
-    final_rows = final_rows if final_rows is not None else ROWS_PER_TASK
-    cells = _cells(df, columns)
-    profile = cells.groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    found = {r["c"]: r for r in profile.collect()}  # one row per column
-    counts = {c: found[c]["n"] if c in found else 0 for c in columns}
+    final = final_rows if final_rows is not None else FINAL_ROWS
+    wide = df.select([F.col(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    profile = {r["c"]: r for r in _profile(wide, len(columns))}  # one row per column
+    counts = {c: profile[i]["n"] if i in profile else 0 for i, c in enumerate(columns)}
     brackets = [
-        _Bracket(c, rank, found[c]["lo"], found[c]["hi"], 0, counts[c])
-        for c in columns
-        if c in found
-        for rank in ranks_of(counts[c])
+        _Bracket(i, rank, profile[i]["lo"], profile[i]["hi"], 0, profile[i]["n"])
+        for i in profile
+        for rank in ranks_of(profile[i]["n"])
     ]
-    open_ = [b for b in brackets if b.inside > final_rows and b.lo < b.hi]
-    if open_:
-        _place_by_sample(df, open_, counts, sample_rows or SAMPLE_ROWS)
-    while open_:
-        _refine(cells, open_)
-        # (a width of zero: neighbouring tiny numbers, too close to be cut into bins)
-        open_ = [b for b in open_ if b.inside > final_rows and b.value is None and b.hi / 2 > b.lo / 2]
-    _finish(cells, [b for b in brackets if b.value is None])
-    values: dict[str, list[float]] = {c: [] for c in columns}
+    while open_ := [b for b in brackets if b.inside > final and b.lo < b.hi]:
+        _narrow(wide, open_)
+    _finish(wide, [b for b in brackets if b.lo < b.hi])
+    out: dict[str, list[Found]] = {c: [] for c in columns}
     for b in brackets:
-        edge = float("inf") if abs(b.value) == _LARGEST else abs(b.value)
-        values[b.column].append(edge if b.value >= 0 else -edge)
-    return counts, values
+        out[columns[b.column]].append(b.found or Found(_number(b.lo), b.below, b.inside))
+    return counts, out
+
 
+def values_at_ranks(
+    df: DataFrame, columns: Sequence[str], ranks_of: Callable[[int], list[int]], final_rows: int | None = None
+) -> tuple[dict[str, int], dict[str, list[float]]]:
+    """As ``order_statistics``, the values alone."""
+    counts, found = order_statistics(df, columns, ranks_of, final_rows)
+    return counts, {c: [f.value for f in fs] for c, fs in found.items()}
 
-def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long form ``(c, v)`` of the columns, without missing values; infinities as the largest number."""
-    numbers = df.select([col(c).cast("double").alias(c) for c in columns])
-    long = numbers.unpivot([], [col(c) for c in columns], "c", "v").where("v is not null and not isnan(v)")
-    return long.withColumn("v", F.greatest(F.least("v", F.lit(_LARGEST)), F.lit(-_LARGEST)))
 
+def _profile(wide: DataFrame, n: int) -> list:
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(n, np.int64)
+        lo, hi = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+        for batch in batches:
+            for i in range(n):
+                codes = _column_codes(batch, i)
+                if len(codes):
+                    seen[i] += len(codes)
+                    lo[i], hi[i] = min(lo[i], codes.min()), max(hi[i], codes.max())
+        has = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(has, pa.int32()), pa.array(seen[has]), pa.array(lo[has]), pa.array(hi[has])], names=["c", "n", "lo", "hi"])
 
-def _place_by_sample(df: DataFrame, brackets: list[_Bracket], counts: dict[str, int], rows: int) -> None:
-    """Narrow the first histogram to where a sample says the rank is, six standard errors wide."""
-    share = min(1.0, rows / max(counts.values()))
-    ranges = []
-    for b in brackets:
-        n = counts[b.column]
-        p = b.rank / n
-        spread = 6 * (max(p * (1 - p), 1e-6) / max(n * share, 1)) ** 0.5
-        ranges.append((max(0.0, p - spread), min(1.0, p + spread)))
-    steps = sorted({p for pair in ranges for p in pair})
-    cells = _cells(df.sample(share, seed=1), sorted({b.column for b in brackets}))
-    drawn = cells.groupBy("c").agg(F.percentile_approx("v", steps, 10_000).alias("q")).collect()
-    quantiles = {r["c"]: r["q"] for r in drawn}
-    for b, (low, high) in zip(brackets, ranges):
-        if b.column in quantiles:
-            b.lo, b.hi = (quantiles[b.column][steps.index(p)] for p in (low, high))
-
-
-def _with_shapes(cells: DataFrame, shapes: list[tuple]) -> DataFrame:
-    """Each cell next to the brackets of its column, two per column at most."""
-    frame = cells.sparkSession.createDataFrame(
-        [(i, *shape) for i, shape in enumerate(shapes)], "s int, c string, lo double, hi double, below long"
-    )
-    return cells.join(F.broadcast(frame), "c")
+    parts = wide.mapInArrow(profile, "c int, n long, lo long, hi long")
+    return parts.groupBy("c").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
 
 
-def _refine(cells: DataFrame, brackets: list[_Bracket]) -> None:
-    """One pass: histogram of every bracket, with all rows under and over it as two more bins."""
+def _width(lo: int, hi: int) -> int:
+    return (hi - lo) // _BINS + 1
+
+
+def _narrow(wide: DataFrame, brackets: list[_Bracket]) -> None:
+    """One pass: a histogram of every bracket, of which the bin that holds the rank is kept."""
     shapes = sorted({b.shape for b in brackets})
-    # halves keep the width of the widest bracket finite
-    step = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2) * _HISTOGRAM_BINS
-    inner = F.least(F.floor(F.coalesce(step, F.lit(0.0))).cast("int"), F.lit(_HISTOGRAM_BINS - 1))
-    bin_ = F.when(F.col("v") < F.col("lo"), -1).when(F.col("v") > F.col("hi"), _HISTOGRAM_BINS).otherwise(inner)
-    bins = (
-        _with_shapes(cells, shapes)
-        .select("s", bin_.alias("bin"), "v")
-        .groupBy("s", "bin")
-        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .collect()  # at most 1026 rows per bracket
-    )
-    by_shape: dict[tuple, list] = {}
-    for row in sorted(bins, key=lambda r: (r["s"], r["bin"])):
-        by_shape.setdefault(shapes[row["s"]], []).append(row)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(shapes), _BINS), np.int64)
+        for batch in batches:
+            codes: dict[int, np.ndarray] = {}
+            for s, (c, lo, hi) in enumerate(shapes):
+                if c not in codes:
+                    codes[c] = _column_codes(batch, c)
+                own = codes[c][(codes[c] >= lo) & (codes[c] <= hi)]
+                # the difference may pass 63 bits, so it is taken without a sign
+                away = own.view(np.uint64) - np.array(lo, np.int64).view(np.uint64)
+                total[s] += np.bincount((away // np.uint64(_width(lo, hi))).astype(np.int64), minlength=_BINS)
+        s, b = np.nonzero(total)
+        yield pa.record_batch([pa.array(s, pa.int32()), pa.array(b, pa.int32()), pa.array(total[s, b])], names=["s", "b", "n"])
+
+    counted = wide.mapInArrow(count, "s int, b int, n long").groupBy("s", "b").agg(F.sum("n").alias("n"))
+    bins: dict[int, list[tuple[int, int]]] = {}
+    for row in counted.collect():  # at most _BINS rows per bracket
+        bins.setdefault(row["s"], []).append((row["b"], row["n"]))
     for b in brackets:
-        below = 0
-        for row in by_shape[b.shape]:
-            if below + row["n"] >= b.rank:
-                b.lo, b.hi, b.below, b.inside = row["lo"], row["hi"], below, row["n"]
+        width, low = _width(b.lo, b.hi), b.lo
+        for place, n in sorted(bins[shapes.index(b.shape)]):
+            if b.below + n >= b.rank:
+                b.lo, b.hi, b.inside = low + place * width, min(low + (place + 1) * width - 1, b.hi), n
                 break
-            below += row["n"]
-        if b.lo == b.hi or b.rank == b.below + 1:
-            b.value = b.lo
-        elif b.rank == b.below + b.inside:
-            b.value = b.hi
+            b.below += n
 
 
-def _finish(cells: DataFrame, brackets: list[_Bracket]) -> None:
-    """Read the wanted ranks off the values left inside the brackets."""
+def _finish(wide: DataFrame, brackets: list[_Bracket]) -> None:
+    """Read the wanted ranks off the values left inside the brackets, at most ``final_rows`` for each."""
     if not brackets:
         return
     shapes = sorted({b.shape for b in brackets})
-    wanted = [(shapes.index(b.shape), b.rank - b.below) for b in brackets]
-    ranks = cells.sparkSession.createDataFrame(sorted(set(wanted)), "s int, rank long")
-    order = Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (
-        _with_shapes(cells, shapes)
-        .where("v between lo and hi")
-        .groupBy("s", "v")
-        .agg(F.count("*").alias("n"))
-        .withColumn("cum", F.sum("n").over(order))
-        .join(F.broadcast(ranks), "s")
-        .where("rank <= cum and rank > cum - n")
-        .collect()  # one row per wanted rank
-    )
-    values = {(r["s"], r["rank"]): r["v"] for r in rows}
-    for b, key in zip(brackets, wanted):
-        b.value = values[key]
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, held = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            for s, (c, lo, hi) in enumerate(shapes):
+                codes = _column_codes(batch, c)
+                codes = codes[(codes >= lo) & (codes <= hi)]
+                which.append(np.full(len(codes), s, np.int32))
+                held.append(codes)
+            yield pa.record_batch([pa.array(np.concatenate(which)), pa.array(np.concatenate(held))], names=["s", "code"])
+
+    table = wide.mapInArrow(left, "s int, code long").toArrow()
+    which, codes = table.column("s").to_numpy(), table.column("code").to_numpy()
+    for s, shape in enumerate(shapes):
+        own = np.sort(codes[which == s])
+        for b in (b for b in brackets if b.shape == shape):
+            code = own[b.rank - b.below - 1]
+            first, last = np.searchsorted(own, code, "left"), np.searchsorted(own, code, "right")
+            b.found = Found(_number(int(code)), b.below + int(first), int(last - first))

@@ -1,53 +1,61 @@
 """Seeded stratified splits, folds and samples.
 
-Rows of a class are ordered by the seeded hash of their id, and a split is a range of that order.
-Only the hashes at the range ends are looked up, so the rows themselves are never shuffled.
+Rows of a class are ordered by the seeded hash of their id, rows with one id by their index, and a split is a range
+of that order. Only the keys at the range ends are looked up, for all classes together; adding the column is then a
+join with one row per class.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from math import floor
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylane.fixed import SEED
+from assaylane.fixed import ROW_INDEX, SEED
 from assaylane.functions.seeds import seed_hash
 from assaylane.operators.columns import col
-from assaylane.operators.hashcuts import hash_cuts
-from assaylane.operators.labels import class_counts
+from assaylane.operators.labels import class_sizes
 from assaylane.operators.ordering import ordered_index
+from assaylane.operators.selection import ABOVE_ALL, BELOW_ALL, order_key, rank_cuts
+from assaylane.session import materialize
+from assaylane.sources.rows import with_row_index
 
 SPLITS = ("train", "val", "test")
+_MADE = "_made_row_index"
 
 
-def allocate(counts: Mapping, size: int) -> dict:
-    """Share ``size`` rows over classes in proportion, leftovers to the largest remainders."""
-    n = sum(counts.values())
-    exact = {c: size * k / n for c, k in counts.items()} if n else {c: 0.0 for c in counts}
-    given = {c: floor(x) for c, x in exact.items()}
-    left = size - sum(given.values())
-    by_remainder = sorted(counts, key=lambda c: (-(exact[c] - given[c]), c))
-    for c in by_remainder[:left]:
-        given[c] += 1
-    return given
+def allocated(classes: DataFrame, rows: str, size: Column, out: str) -> DataFrame:
+    """Share ``size`` rows over classes of ``rows`` rows in proportion, leftovers to the largest remainders.
 
+    ``classes`` has one row per class ``g``; ``size`` may use the total ``n``.
+    """
+    whole = Window.partitionBy(F.lit(0))
+    share = F.try_divide(F.col("size") * F.col(rows), F.col("n"))
+    shares = (
+        classes.withColumn("n", F.sum(rows).over(whole))
+        .withColumn("size", size)
+        .withColumn("share", F.coalesce(share, F.lit(0.0)))
+        .withColumn("given", F.floor("share").cast("long"))
+    )
+    by_remainder = Window.partitionBy(F.lit(0)).orderBy((F.col("share") - F.col("given")).desc(), F.col("g"))
+    ranked = shares.withColumn("nth", F.row_number().over(by_remainder)).withColumn("placed", F.sum("given").over(whole))
+    extra = (F.col("nth") <= F.col("size") - F.col("placed")).cast("long")
+    return ranked.select(*classes.columns, (F.col("given") + extra).alias(out))
 
-def split_sizes(counts: Mapping, train: float, val: float) -> dict:
-    """Rows per class and split: train first, then the rest by ``val / (val + test)``."""
+
+def split_sizes(sizes: DataFrame, train: float, val: float) -> DataFrame:
+    """Rows per class and split (``n_train``, ``n_val``): train first, then the rest by ``val / (val + test)``."""
     if not 0 < train < 1:
         raise ValueError("train must be in (0, 1)")
     if not 0 <= val < 1:
         raise ValueError("val must be in [0, 1)")
     if not train + val < 1:
         raise ValueError("train + val must be below 1")
-    n = sum(counts.values())
-    in_train = allocate(counts, floor(train * n))
-    rest = {c: k - in_train[c] for c, k in counts.items()}
     test = 1.0 - train - val
-    in_val = allocate(rest, floor(val / (val + test) * sum(rest.values())))
-    return {c: (in_train[c], in_val[c], rest[c] - in_val[c]) for c in counts}
+    in_train = allocated(sizes, "k", F.floor(F.lit(train) * F.col("n")).cast("long"), "n_train")
+    rest = in_train.withColumn("rest", F.col("k") - F.col("n_train"))
+    return allocated(rest, "rest", F.floor(F.lit(val / (val + test)) * F.col("n")).cast("long"), "n_val").drop("rest")
 
 
 def stratified_split(
@@ -58,47 +66,54 @@ def stratified_split(
     val: float = 0.15,
     seed: int = SEED,
     out: str = "split",
+    ties: str | None = None,
 ) -> DataFrame:
-    """Add ``split`` (train, val or test) with exact class shares."""
-    counts = class_counts(df, y)
-    sizes = split_sizes(counts, train, val)
-    ends = {c: [a, a + b] for c, (a, b, _) in sizes.items()}
-    return _assign(df, y, id_col, counts, ends, list(SPLITS), seed, out, "string")
+    """Add ``split`` (train, val or test) with exact class shares, for any number of classes.
+
+    ``ties`` tells rows with one id apart: ``row_idx`` where the table has it, else an index made when needed.
+    """
+    sizes = split_sizes(class_sizes(df, y), train, val)
+    ends = [F.col("n_train"), F.col("n_train") + F.col("n_val")]
+    return _assign(df, y, id_col, sizes, ends, list(SPLITS), seed, out, ties)
 
 
 def stratified_folds(
-    df: DataFrame, y: str, id_col: str, k: int = 5, seed: int = SEED, out: str = "fold"
+    df: DataFrame, y: str, id_col: str, k: int = 5, seed: int = SEED, out: str = "fold", ties: str | None = None
 ) -> DataFrame:
     """Add ``fold`` 0..k-1; the folds of a class differ by one row at most."""
     if k < 2:
         raise ValueError("k must be 2 or more")
-    counts = class_counts(df, y)
-    ends = {c: [n * j // k for j in range(1, k)] for c, n in counts.items()}
-    return _assign(df, y, id_col, counts, ends, list(range(k)), seed, out, "int")
+    ends = [F.floor(F.col("k") * j / k).cast("long") for j in range(1, k)]
+    return _assign(df, y, id_col, class_sizes(df, y), ends, list(range(k)), seed, out, ties)
 
 
 def _assign(
-    df: DataFrame, y: str, id_col: str, counts: dict, ends: dict, names: list, seed: int, out: str, kind: str
-) -> DataFrame:
-    """``names[i]`` for the rows of a class whose hash rank lies after end ``i-1`` and up to end ``i``."""
-    hashed = df.withColumn("_hash", seed_hash(col(id_col), seed=seed))
-    if not counts:
-        return df.withColumn(out, F.lit(None).cast(kind))
-    ranks = {c: sorted({r for r in rs if 0 < r < counts[c]}) for c, rs in ends.items()}
-    keys = hashed.select(col(y).alias("g"), F.col("_hash").alias("h"))
-    found = hash_cuts(keys, "g", "h", ranks, counts)
-    cut_of = {c: dict(zip(ranks[c], found[c])) for c in counts}
-    chain: Column | None = None
-    for c, rs in ends.items():
-        for name, end in zip(names, rs):
-            if end <= 0:
-                continue
-            here = col(y) == F.lit(c)
-            if end < counts[c]:
-                here = here & (F.col("_hash") <= F.lit(cut_of[c][end]))
-            chain = F.when(here, F.lit(name)) if chain is None else chain.when(here, F.lit(name))
-    last = F.lit(names[-1])
-    return hashed.withColumn(out, (chain.otherwise(last) if chain is not None else last).cast(kind)).drop("_hash")
+    df: DataFrame, y: str, id_col: str, sizes: DataFrame, ends: Sequence[Column], names: list, seed: int, out: str,
+    ties: str | None,
+) -> DataFrame:
+    """``names[i]`` for the rows of a class whose rank lies after end ``i-1`` and up to end ``i``."""
+    ties = ties or (ROW_INDEX if ROW_INDEX in df.columns else None)
+    key = order_key(id_col, ties, seed)
+    kind = "string" if isinstance(names[0], str) else "int"
+    ranks = F.array(*[F.struct(F.lit(i).alias("slot"), e.alias("rank")) for i, e in enumerate(ends)])
+    wanted = materialize(sizes.select("g", "k", F.explode(ranks).alias("w")).select("g", "k", "w.slot", "w.rank"))
+    largest = wanted.agg(F.max("k")).first()[0] or 0
+    inner = wanted.where("rank > 0 AND rank < k").select("g", "slot", "rank")
+    found = rank_cuts(df.select(col(y).alias("g"), key.alias("key")), inner, largest)
+    if not found.where("tied").isEmpty():  # the cut falls between rows with one id
+        indexed = with_row_index(df, _MADE)
+        return _assign(indexed, y, id_col, sizes, ends, names, seed, out, _MADE).drop(_MADE)
+    edge = F.when(F.col("rank") <= 0, BELOW_ALL).when(F.col("rank") >= F.col("k"), ABOVE_ALL).otherwise(F.col("cut"))
+    cuts = (
+        wanted.join(found, ["g", "slot"], "left")
+        .groupBy(F.col("g").alias("_class"))
+        .agg(*[F.max(F.when(F.col("slot") == i, edge)).alias(f"_cut{i}") for i in range(len(ends))])
+    )
+    chosen = F.lit(names[-1])
+    for i in reversed(range(len(ends))):
+        chosen = F.when(F.col("_key") <= F.col(f"_cut{i}"), F.lit(names[i])).otherwise(chosen)
+    placed = df.drop(out).withColumn("_key", key).join(materialize(cuts), col(y) == F.col("_class"))
+    return placed.withColumn(out, chosen.cast(kind)).select(*[col(c) for c in df.columns if c != out], out)
 
 
 def sample_n(df: DataFrame, id_col: str, n: int = 500, seed: int = SEED) -> DataFrame:

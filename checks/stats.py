@@ -33,7 +33,7 @@ def _(spark, d):
 
 @query("labelled_lowest_third", label_sql("0.33e0"))
 def _(spark, d):
-    return labelled(spark, d, 0.33, final_rows=100, sample_rows=500)
+    return labelled(spark, d, 0.33, final_rows=100)
 
 
 @query("label_cutoff", f"SELECT max(value) AS cutoff FROM ({label_sql('0.5e0')}) WHERE activo = 1")
@@ -164,7 +164,7 @@ def _(spark, d):
 
 @query("median_imputed_by_passes", f"WITH g AS ({GAPPY_SQL}) {IMPUTED_SQL}")
 def _(spark, d):
-    return _imputed(spark, d, final_rows=50, sample_rows=1000)
+    return _imputed(spark, d, final_rows=50)
 
 
 def totals_sql(source: str, keys: str = "") -> str:

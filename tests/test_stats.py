@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from assaylane.functions import seed_hash
-from assaylane.operators import impute, labels, metrics, ordering, split
+from assaylane.operators import impute, labels, metrics, ordering, selection, split
 from assaylane.operators.columns import col
 
 
@@ -53,7 +53,7 @@ def test_label_without_values(spark):
 def test_label_with_a_hot_tied_value_in_many_passes(spark):
     rng = random.Random(3)
     numbers = [5.0 if rng.random() < 0.6 else rng.lognormvariate(1, 3) for _ in range(5000)]
-    got, cut = label(spark, numbers, 0.5, final_rows=20, sample_rows=200)
+    got, cut = label(spark, numbers, 0.5, final_rows=20)
     assert sum(got.values()) == 2500 and cut == 5.0
     df = spark.createDataFrame(list(enumerate(numbers)), "id int, v double").withColumn("h", seed_hash("id"))
     want = {r["id"] for r in df.orderBy("v", "h").limit(2500).collect()}
@@ -76,8 +76,7 @@ def test_split_shares(spark):
     df = spark.range(1003).select("id", (col("id") < 300).cast("int").alias("y"))
     rows = split.stratified_split(df, "y", "id").groupBy("y", "split").count().collect()
     got = {(r["y"], r["split"]): r["count"] for r in rows}
-    sizes = split.split_sizes({0: 703, 1: 300}, 0.75, 0.15)
-    assert got == {(y, s): n for y, parts in sizes.items() for s, n in zip(split.SPLITS, parts)}
+    assert got == {(0, "train"): 527, (1, "train"): 225, (0, "val"): 105, (1, "val"): 45, (0, "test"): 71, (1, "test"): 30}
     assert sum(n for (_, s), n in got.items() if s == "train") == 752
     assert all(abs(got[y, s] - share * n) <= 1.5 for y, n in ((0, 703), (1, 300))
                for s, share in (("train", 0.75), ("val", 0.15), ("test", 0.1)))
@@ -92,18 +91,36 @@ def test_split_checks(spark):
     assert {r["split"]: r["count"] for r in counted} == {"train": 10, "test": 10}
 
 
-def test_split_needs_unique_ids_and_labels(spark):
-    df = spark.range(100).select(F.lit(1).alias("id"), F.lit(0).alias("y"))
-    with pytest.raises(ValueError):
-        split.stratified_split(df, "y", "id")
-    with pytest.raises(ValueError):
-        labels.class_counts(spark.createDataFrame([(None,)], "y int"), "y")
-    with pytest.raises(ValueError):
-        labels.class_counts(spark.range(1001), "id")
+def test_split_needs_labels(spark):
+    for add in (lambda d: split.stratified_split(d, "y", "id"), lambda d: labels.with_class_weight(d, "y")):
+        with pytest.raises(ValueError):
+            add(spark.createDataFrame([(1, None), (2, 1)], "id int, y int"))
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_rows_with_one_id_are_labelled_and_split(spark, indexed):
+    df = spark.range(400).select(F.lit("one").alias("id"), (col("id") % 2).alias("y"), F.lit(1.5).alias("v"), col("id").alias("row_idx"))
+    df = df if indexed else df.drop("row_idx")
+    out = split.stratified_split(df, "y", "id", 0.5, 0.25)
+    counts = {(r["y"], r["split"]): r["count"] for r in out.groupBy("y", "split").count().collect()}
+    assert counts == {(y, s): n for y in (0, 1) for s, n in (("train", 100), ("val", 50), ("test", 50))}
+    assert out.columns == [*df.columns, "split"]
+    labelled = labels.label_by_fraction(df, "v", "id", 0.25)
+    assert labelled.where("activo = 1").count() == 100 and labelled.columns == [*df.columns, "activo"]
+    if indexed:  # the index decides, so a part of one id is the same rows every time
+        assert {r["row_idx"] for r in labelled.where("activo = 1").collect()} == set(range(100))
+
+
+def test_many_classes(spark):
+    df = spark.range(9000).select("id", (col("id") % 1500).cast("string").alias("y"))
+    out = split.stratified_folds(df, "y", "id", 3).groupBy("y", "fold").count().collect()
+    assert len(out) == 4500 and {r["count"] for r in out} == {2}
+    shares = split.stratified_split(df, "y", "id").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in shares} == {"train": 6750, "val": 1350, "test": 900}
 
 
-def test_split_of_large_classes_in_many_passes(spark, monkeypatch):
-    monkeypatch.setattr("assaylane.operators.hashcuts.hash_cuts.__defaults__", (5,))  # rows looked at one by one
+def test_selection_in_many_passes(spark, monkeypatch):
+    monkeypatch.setattr(selection, "ROWS_PER_PREFIX", 3)
     df = spark.range(4000).select("id", (col("id") % 3 == 0).cast("int").alias("y"))
     out = split.stratified_folds(df, "y", "id", 4).withColumn("h", seed_hash("id"))
     for y in (0, 1):
@@ -112,6 +129,9 @@ def test_split_of_large_classes_in_many_passes(spark, monkeypatch):
         assert folds == sorted(folds)
         sizes = [folds.count(i) for i in range(4)]
         assert max(sizes) - min(sizes) <= 1
+    same = df.select(F.lit("x").alias("id"), "y", col("id").alias("row_idx"))
+    counts = split.stratified_split(same, "y", "id", 0.5, 0.25).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in counts} == {"train": 2000, "val": 1000, "test": 1000}
 
 
 def test_class_weights(spark):
@@ -120,7 +140,7 @@ def test_class_weights(spark):
     assert weights == {(1, 2.0), (0, 4 / 6)}
 
 
-@pytest.mark.parametrize("limits", [{}, {"final_rows": 3, "sample_rows": 10}])
+@pytest.mark.parametrize("limits", [{}, {"final_rows": 3}])
 def test_medians(spark, limits):
     rng = random.Random(1)
     columns = {
@@ -152,7 +172,7 @@ def test_medians(spark, limits):
 def test_values_at_ranks_property(spark, numbers, final_rows):
     df = spark.createDataFrame([(float(n),) for n in numbers], "v double")
     ranks = lambda n: [1, (n + 1) // 2, n]
-    _, got = ordering.values_at_ranks(df, ["v"], ranks, final_rows=final_rows, sample_rows=5)
+    _, got = ordering.values_at_ranks(df, ["v"], ranks, final_rows=final_rows)
     assert got["v"] == [sorted(numbers)[r - 1] for r in ranks(len(numbers))]
 
 

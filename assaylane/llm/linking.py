@@ -70,12 +70,35 @@ def _similar(share: tuple[int, int]):
     return similar
 
 
+def _may_be_similar(share: tuple[int, int]):
+    """Leaves out pairs whose weights or parity bits rule them out."""
+    num, den = share
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+            keep = fits(a, b, share)
+            p, q = (batch.column(c).to_pylist() for c in ("p", "q"))
+            for i in np.flatnonzero(keep):
+                x, y = (np.frombuffer(v[i], np.uint64).reshape(1, -1) for v in (p, q))
+                words = min(x.shape[1], y.shape[1])
+                differ = int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum())
+                keep[i] = differ * (den + num) <= (den - num) * int(a[i] + b[i])
+            yield pa.record_batch([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep))], names=["u", "v"])
+
+    return may
+
+
 def proven(pairs: DataFrame, details: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs u, v of nodes whose sets reach the threshold, each once."""
+    """The pairs u, v of nodes whose sets reach the threshold, each once. Whole sets meet only where the parity bits
+    leave it open."""
     once = pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    a = details.select(F.col("node").alias("u"), F.col("weight").alias("a"), F.col("parity").alias("p"))
+    b = details.select(F.col("node").alias("v"), F.col("weight").alias("b"), F.col("parity").alias("q"))
+    open_ = materialize(once.join(a, "u").join(b, "v").mapInArrow(tidy_batches(_may_be_similar(share)), "u long, v long"))
     a = details.select(F.col("node").alias("u"), F.col("cells").alias("a"))
     b = details.select(F.col("node").alias("v"), F.col("cells").alias("b"))
-    both = materialize(once).join(a, "u").join(b, "v").select("u", "v", "a", "b")
+    both = open_.join(a, "u").join(b, "v").select("u", "v", "a", "b")
     return materialize(both.mapInArrow(tidy_batches(_similar(share)), "u long, v long"))
 
 

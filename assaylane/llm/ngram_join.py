@@ -10,8 +10,9 @@ there are follows from the power of two in the set's size; a set that may have p
 indexed by that one's rule as well.
 
 Frequencies only choose order and classes, so any count of them gives the same links. They are counted over all
-documents as sorted streams of truncated hashes, shuffled as differences of 16 bits, and the most frequent ``FREQUENT``
-tokens at most go to the tasks. Equal sets are one node from the start. Sets that share a key are verified exactly;
+documents as sorted streams of truncated hashes, shuffled as differences of 16 bits. The most frequent ``FREQUENT``
+tokens at most go to the tasks, and a bitmap of bounded size of all that two sets or more hold: what is not in it comes
+first in the order, is in one set only and makes no keys, so a set with many tokens of its own has none. Equal sets are one node from the start. Sets that share a key are verified exactly;
 see ``linking`` for common keys. Only the keys, not the sets, are shuffled for all documents.
 
 Words stand as 64-bit numbers and shingles as numbers made of those; equal sets are recognised by 128 bits.
@@ -25,6 +26,7 @@ table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from math import ceil
 
@@ -40,7 +42,8 @@ from assaylane.llm.words import NOT_SPACE, find_words, run_numbers, text_chunks,
 from assaylane.session import materialize
 
 SHINGLE, SHARE = 4, (85, 100)
-FREQUENT = 1 << 21  # tokens that are known to be frequent; 16 MB
+FREQUENT = 1 << 21  # tokens that are known to be frequent; 32 MB with their counts
+SHARED_BITS = 28  # the bitmap of tokens that several sets hold has 2^28 bits at most; 32 MB
 RARE, COMMON = 32, 1_024  # from so many sets on, a token is indexed in pairs, or in threes
 PER_GROUP = 8
 COUNT_CHUNK = 32 << 20  # bytes of text of one sorted stream
@@ -138,38 +141,85 @@ def first_of(keys: np.ndarray, seen: set, most: int = 1 << 19) -> np.ndarray:
     return out
 
 
-def _frequent(bits: int, parts: int, rare: int):
+def _frequent(bits: int, parts: int, rare: int, shared_bits: int):
+    """Per part: the frequent numbers and their counts, and a bitmap of the numbers that two sets or more hold, by
+    their first ``shared_bits`` bits, from byte ``at`` on."""
+
     def frequent(key: tuple, table: pa.Table) -> pa.Table:
         begin = (key[0].as_py() << bits) // parts
         ids = np.sort(np.concatenate([unpacked_differences(b, begin) for b in table.column("ids").to_pylist()]))
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(ids)))
+        shared = ids[first][n >= 2] >> (bits - shared_bits)
+        at = int(shared[0]) >> 3 if len(shared) else 0
+        marks = np.zeros(((int(shared[-1]) >> 3) - at + 1) * 8 if len(shared) else 0, np.uint8)
+        marks[shared - 8 * at] = 1
         keep = n >= rare
-        return pa.table({"id": ids[first][keep], "n": n[keep].astype(np.int64)})
+        return pa.table(
+            {
+                "at": pa.array([at], pa.int64()),
+                "shared": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary()),
+                "ids": pa.array([ids[first][keep]], pa.list_(pa.int64())),
+                "counts": pa.array([n[keep].astype(np.int64)], pa.list_(pa.int64())),
+            }
+        )
 
     return frequent
 
 
-def frequent_tokens(docs: DataFrame, size: int, rare: int = RARE, most: int = FREQUENT, part_bytes: int = COUNT_PART) -> tuple[int, np.ndarray, np.ndarray]:
-    """(bits, ids, counts): tokens, cut to their first bits, that ``rare`` sets or more hold, at most ``most`` of them.
+@dataclass
+class Frequencies:
+    """Tokens cut to their first ``bits`` bits: the most frequent ones and their counts, and a bitmap, by the first
+    ``shared_bits`` bits, of all that two sets or more hold. A token that is not in the bitmap is in one set only."""
+
+    bits: int
+    ids: np.ndarray
+    counts: np.ndarray
+    shared_bits: int
+    shared: np.ndarray
+
+    def is_shared(self, tokens: np.ndarray) -> np.ndarray:
+        slot = (tokens >> np.uint64(64 - self.shared_bits)).astype(np.int64)
+        return (self.shared[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+    def found(self, tokens: np.ndarray) -> np.ndarray:
+        """1 + the place of each token among the frequent ones, 0 for the others."""
+        if not len(self.ids):
+            return np.zeros(len(tokens), np.int64)
+        cut = (tokens >> np.uint64(64 - self.bits)).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.ids, cut), len(self.ids) - 1)
+        return np.where(self.ids[at] == cut, at + 1, 0)
+
+
+def token_frequencies(docs: DataFrame, size: int, rare: int = RARE, most: int = FREQUENT, part_bytes: int = COUNT_PART) -> Frequencies:
+    """Frequencies of the tokens of all texts, of ``size`` bytes together.
 
-    Copies of a set count once for each task that meets them.
+    At most ``most`` tokens that ``rare`` sets or more hold, the most frequent ones, and a bitmap of ``SHARED_BITS``
+    bits at most go to the driver and the tasks. Copies of a set count once for each task that meets them.
     """
     parts = parts_for(size, part_bytes)
     bits = min(max(24, size.bit_length() + 6), 60)
+    shared_bits = min(bits, max(20, size.bit_length() - 1), SHARED_BITS)
     blobs = docs.select("text").mapInArrow(tidy_batches(_streams(bits, parts)), "part int, ids binary")
-    counted = materialize(blobs.groupBy("part").applyInArrow(_frequent(bits, parts, rare), "id long, n long"))
+    schema = "at long, shared binary, ids array<long>, counts array<long>"
+    counted = materialize(blobs.groupBy("part").applyInArrow(_frequent(bits, parts, rare, shared_bits), schema))
+    shared = np.zeros((1 << shared_bits) // 8, np.uint8)
+    for row in counted.select("at", "shared").toLocalIterator():
+        piece = np.frombuffer(row["shared"], np.uint8)
+        shared[row["at"] : row["at"] + len(piece)] |= piece
+    each = counted.select(F.explode(F.arrays_zip("ids", "counts")).alias("t")).select(F.col("t.ids").alias("id"), F.col("t.counts").alias("n"))
     # the most frequent ones: how many there are of each power of two tells where to cut
-    levels = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()
+    levels = each.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()
     total, least = 0, None
     for level, n in sorted(levels, reverse=True):
         if total + n > most:
             break
         total, least = total + n, level
     if least is None:
-        return bits, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    table = counted.where(F.floor(F.log2("n")) >= least).orderBy("id").toArrow()
-    return bits, table.column("id").to_numpy(), table.column("n").to_numpy()
+        none = np.zeros(0, np.int64)
+        return Frequencies(bits, none, none, shared_bits, shared)
+    table = each.where(F.floor(F.log2("n")) >= least).orderBy("id").toArrow()
+    return Frequencies(bits, table.column("id").to_numpy(), table.column("n").to_numpy(), shared_bits, shared)
 
 
 # --- keys
@@ -188,20 +238,22 @@ def _groups(level: int, share: tuple[int, int]) -> int:
 
 
 def prefix_keys(tokens: np.ndarray, classes: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """Keys of a set: ``tokens`` in the global order, ``classes`` 1 to 3 of each."""
+    """Keys of a set: ``tokens`` in the global order, ``classes`` of each: 0 for those that no other set has, which
+    make no keys, 1 for the rare ones, 2 and 3 for those that are combined."""
     n = len(tokens)
     spare = n - _least_common(n, share)
-    if (classes[: spare + 1] == 1).all():
-        return tokens[: spare + 1]
+    first = classes[: spare + 1]
+    if (first <= 1).all():
+        return tokens[: spare + 1][first == 1]
     level = n.bit_length() - 1
     levels = [level]
     if level and _least_common(n, share) < 1 << level:
         levels.append(level - 1)
-    singles, out = spare + 1, []
+    alone, out = np.zeros(n, bool), []
     for lv in levels:
         groups = _groups(lv, share)
         if not groups:
-            out.append(tokens[: spare + 1])
+            alone[: spare + 1] |= first > 0
             continue
         group = np.where(classes > 1, (tokens >> np.uint64(7)) % np.uint64(groups), 0).astype(np.int64)
         kind = np.where(classes > 1, 2 * group + classes - 1, 0)
@@ -214,15 +266,14 @@ def prefix_keys(tokens: np.ndarray, classes: np.ndarray, share: tuple[int, int])
             if now <= need:
                 break
             need = now
-        singles = max(singles, reach)
+        alone[:reach] |= classes[:reach] == 1
         mark = np.uint64(lv + 1) * _SECOND
         for k in np.flatnonzero(held) + 1:
             own = mixed(tokens[:reach][kind[:reach] == k] ^ mark)
             size = 2 if k % 2 else 3
             if len(own) >= size:
                 out.append(_combined(own, size))
-    rare = tokens[:singles]
-    return np.unique(np.concatenate([rare[classes[:singles] == 1], *out]))
+    return np.unique(np.concatenate([tokens[alone], *out]))
 
 
 def _combined(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -234,10 +285,9 @@ def _combined(tokens: np.ndarray, size: int) -> np.ndarray:
 _SIGNED = "doc long, n long, c1 long, c2 long, keys array<long>"
 
 
-def _sign(bits: int, ids: np.ndarray, counts: np.ndarray, common: int, share: tuple[int, int]):
+def _sign(known: Frequencies, common: int, share: tuple[int, int]):
     """Per text: the size and the key of its set, and the keys of its prefix."""
-    kinds = np.where(counts >= common, 3, 2).astype(np.int8)
-    ranks = counts.astype(np.int64)
+    kinds = np.where(known.counts >= common, 3, 2).astype(np.int8)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -246,27 +296,26 @@ def _sign(bits: int, ids: np.ndarray, counts: np.ndarray, common: int, share: tu
                 tokens, sizes = shingle_sets(chunk.column("text"))
                 c1, c2 = set_keys(tokens, sizes)
                 new = first_of(c1, seen)
-                found = np.zeros(len(tokens), np.int64)
-                if len(ids):
-                    cut = (tokens >> np.uint64(64 - bits)).astype(np.int64)
-                    at = np.minimum(np.searchsorted(ids, cut), len(ids) - 1)
-                    found = np.where(ids[at] == cut, at + 1, 0)
-                begin, keys, lengths = 0, [np.zeros(0, np.uint64)], []
-                for size, fresh in zip(sizes.tolist(), new.tolist(), strict=True):
-                    own, hit = tokens[begin : begin + size], found[begin : begin + size]
-                    begin += size
-                    if not fresh or not size:
+                shared = known.is_shared(tokens)
+                begins = np.cumsum(sizes) - sizes
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                # tokens of one set come first in the order and no other set has them: the prefix holds the others
+                # only if there are too few of those
+                single = sizes - np.bincount(of[shared], minlength=len(sizes))
+                keys, lengths = [np.zeros(0, np.uint64)], []
+                for i, (size, begin) in enumerate(zip(sizes.tolist(), begins.tolist(), strict=True)):
+                    need = size - _least_common(size, share) + 1 if size else 0
+                    if not new[i] or single[i] >= need:
                         lengths.append(0)
                         continue
-                    need = size - _least_common(size, share) + 1
-                    rare = own[hit == 0]
-                    if len(rare) >= need:  # as a rule, the prefix holds rare tokens alone
-                        mine = rare[:need]
-                    else:
-                        rank = np.where(hit > 0, ranks[hit - 1], 0) if len(ids) else hit
-                        order = np.lexsort((own, rank))
-                        kind = np.where(hit > 0, kinds[hit - 1], 1) if len(ids) else np.ones(size, np.int8)
-                        mine = prefix_keys(own[order], kind[order], share)
+                    own, mark = tokens[begin : begin + size], shared[begin : begin + size]
+                    hit = known.found(own)
+                    rank, kind = np.where(mark, 1, 0), np.where(mark, 1, 0).astype(np.int8)
+                    if hit.any():
+                        rank = np.where(mark & (hit > 0), known.counts[hit - 1], rank)
+                        kind = np.where(mark & (hit > 0), kinds[hit - 1], kind)
+                    order = np.lexsort((own, rank))
+                    mine = prefix_keys(own[order], kind[order], share)
                     keys.append(mine)
                     lengths.append(len(mine))
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
@@ -311,8 +360,8 @@ def ngram_join(
 ) -> DataFrame:
     """``key``, n_shingles and component_id of every row. ``share``: the least similarity as a fraction."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    bits, ids, counts = frequent_tokens(rows, total_bytes(rows, "text"), rare, most, part_bytes)
-    signed = materialize(rows.mapInArrow(tidy_batches(_sign(bits, ids, counts, common, share)), _SIGNED))
+    known = token_frequencies(rows, total_bytes(rows, "text"), rare, most, part_bytes)
+    signed = materialize(rows.mapInArrow(tidy_batches(_sign(known, common, share)), _SIGNED))
     sets = signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.max("n").alias("weight"), F.max("keys").alias("keys"))
     nodes = materialize(sets.select("c1", "c2", "weight", "keys", F.monotonically_increasing_id().alias("node")))
     every = nodes.select("node", "weight", F.explode("keys").alias("key"))
@@ -320,7 +369,7 @@ def ngram_join(
     keyed = materialize(every.join(shared, "key").select("key", "node", "weight"))
     candidates = materialize(nodes.select("c1", "c2", "node").join(keyed.select("node").distinct(), "node", "left_semi"))
     found = rows.mapInArrow(tidy_batches(_detail(bitmap_of(candidates, "c1"))), f"c1 long, c2 long, {DETAILS}")
-    details = materialize(found.join(candidates, ["c1", "c2"]).dropDuplicates(["node"]).drop("c1", "c2"))
+    details = materialize(found.dropDuplicates(["c1", "c2"]).join(candidates, ["c1", "c2"]).drop("c1", "c2"))
     roots = linked(keyed, details, share, **limits)
     rooted = nodes.select("c1", "c2", "node").join(roots, "node", "left").select("c1", "c2", F.coalesce("root", "node").alias("root"))
     placed = materialize(signed.select("doc", "n", "c1", "c2").join(rooted, ["c1", "c2"], "left").select("doc", "n", "root"))

@@ -47,7 +47,7 @@ def screen_structure_column(df: DataFrame) -> str:
     return detect_column(df, fixed.SCREEN_STRUCTURE_CANDIDATES)
 
 
-def pick_id(df: DataFrame, row_index: str = "row_idx") -> str:
+def pick_id(df: DataFrame, row_index: str = fixed.ROW_INDEX) -> str:
     """Id column by the usual names, else the row index column."""
     return next((c for c in fixed.ID_CANDIDATES if c in df.columns), row_index)
 

@@ -7,9 +7,9 @@ group in the same pass. A true class is 1, anything else is 0.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylane.operators.columns import col
@@ -17,11 +17,57 @@ from assaylane.operators.ordering import running_totals
 
 
 def score_totals(
-    df: DataFrame, y: str, score: str, keys: Sequence[str] = (), rows_per_task: int | None = None
+    df: DataFrame, y: str, score: str, keys: Sequence[str] = (), rows_per_task: int | None = None, range_name: str | None = None
 ) -> DataFrame:
-    """Per distinct score, from the highest: positives and negatives, and both sums down to it."""
+    """Per distinct score, from the highest: positives and negatives, and both sums down to it.
+
+    A row without a score is an error, as leaving it out would flatter the model.
+    """
+    value = col(score).cast("double")
+    missing = F.raise_error(F.lit(f"rows without a score in {score}")).cast("double")
+    checked = df.withColumn(score, F.when(value.isNull() | F.isnan(value), missing).otherwise(value))
     amounts = {"pos": (col(y) == 1).cast("long"), "neg": (col(y) != 1).cast("long")}
-    return running_totals(df, score, amounts, keys, descending=True, rows_per_task=rows_per_task)
+    return running_totals(checked, score, amounts, keys, descending=True, rows_per_task=rows_per_task, range_name=range_name)
+
+
+def thinned_totals(df: DataFrame, y: str, score: str, keys: Sequence[str], corner: Callable, **limits) -> DataFrame:
+    """The rows of ``score_totals`` that are corners of a curve: ``corner(before, here, after)`` of the running sums.
+
+    The neighbours of a row at the border of a value range come from the ranges beside it, so ranges stay apart.
+    Before the first row lies the point without any hit; the last row stays.
+    """
+    rng = "_value_range"
+    totals = score_totals(df, y, score, keys, range_name=rng, **limits)
+    group = [col(k) for k in keys]
+    point = F.struct(F.col("cum_neg").cast("decimal(19,0)").alias("x"), F.col("cum_pos").cast("decimal(19,0)").alias("y"))
+    inside = Window.partitionBy(*group, rng).orderBy(col(score).desc())
+    names = [f"_k{i}" for i in range(len(keys))]
+    across = Window.partitionBy(*names).orderBy(F.col("_r").desc())
+    borders = (
+        totals.groupBy(*[k.alias(n) for k, n in zip(group, names)], F.col(rng).alias("_r"))
+        .agg(F.max_by(point, col(score)).alias("first"), F.min_by(point, col(score)).alias("last"))
+        .select(*names, "_r", F.lag("last").over(across).alias("_last"), F.lead("first").over(across).alias("_first"))
+    )
+    same = F.col(rng) == F.col("_r")
+    for k, n in zip(group, names):
+        same = same & k.eqNullSafe(F.col(n))
+    beside = totals.select("*", F.lag(point).over(inside).alias("_before"), F.lead(point).over(inside).alias("_after")).join(borders, same)
+    origin = F.struct(*[F.lit(0).cast("decimal(19,0)").alias(n) for n in "xy"])
+    before, after = F.coalesce("_before", "_last", origin), F.coalesce("_after", "_first")
+    kept = beside.where(after.isNull() | corner(before, point, after))
+    return kept.select(*[c for c in totals.columns if c != rng])
+
+
+def _bends(before: Column, here: Column, after: Column) -> Column:
+    """Not on the line through its neighbours."""
+    step = lambda a, b, c: b[c] - a[c]
+    return step(before, here, "x") * step(here, after, "y") != step(before, here, "y") * step(here, after, "x")
+
+
+def _turns(before: Column, here: Column, after: Column) -> Column:
+    """A corner in precision and recall: between points of one recall, or without a miss so far, lies a line."""
+    level = (before["y"] == here["y"]) & (here["y"] == after["y"])
+    return ~(level | (after["x"] == 0))
 
 
 def _auc() -> Column:
@@ -75,9 +121,13 @@ def confusion_matrix(df: DataFrame, y: str, pred: str) -> DataFrame:
     return cells.select(F.inline(F.array(*rows)))
 
 
-def roc_curve(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), **limits) -> DataFrame:
-    """Points ``fpr, tpr, threshold`` per distinct score, plus the origin at an infinite threshold."""
-    points = _with_class_totals(score_totals(df, y, score, keys, **limits), keys)
+def roc_curve(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), thin: bool = False, **limits) -> DataFrame:
+    """Points ``fpr, tpr, threshold`` per distinct score, plus the origin at an infinite threshold.
+
+    With ``thin``, points on a line between their neighbours are left out: the same curve in fewer rows.
+    """
+    totals = thinned_totals(df, y, score, keys, _bends, **limits) if thin else score_totals(df, y, score, keys, **limits)
+    points = _with_class_totals(totals, keys)
     group = [col(k) for k in keys]
     curve = points.select(
         *group,
@@ -90,9 +140,10 @@ def roc_curve(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), **lim
     return origin.unionByName(curve)
 
 
-def pr_curve(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), **limits) -> DataFrame:
-    """Points ``precision, recall, threshold`` per distinct score, plus (1, 0) without a threshold."""
-    points = _with_class_totals(score_totals(df, y, score, keys, **limits), keys)
+def pr_curve(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), thin: bool = False, **limits) -> DataFrame:
+    """Points ``precision, recall, threshold`` per distinct score, plus (1, 0) without a threshold. ``thin`` as above."""
+    totals = thinned_totals(df, y, score, keys, _turns, **limits) if thin else score_totals(df, y, score, keys, **limits)
+    points = _with_class_totals(totals, keys)
     group = [col(k) for k in keys]
     hits = F.col("cum_pos")
     curve = points.select(
@@ -113,8 +164,8 @@ def _ratio_or_null(part: Column, whole: Column) -> Column:
 
 
 def _with_class_totals(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the class totals of each group to its points."""
-    sums = [F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")]
+    """Add the class totals of each group to its points: the running sums at the last one."""
+    sums = [F.max("cum_pos").alias("all_pos"), F.max("cum_neg").alias("all_neg")]
     if not keys:
         row = totals.agg(*sums).first()
         return totals.select("*", *[F.lit(row[n]).cast("long").alias(n) for n in ("all_pos", "all_neg")])

@@ -21,7 +21,6 @@ from assaylane.operators.columns import col, quoted
 from assaylane.session import materialize
 
 ROWS_PER_TASK = 1_000_000
-MAX_RANGES = 10_000
 SAMPLE_ROWS = 1_000_000
 
 
@@ -30,18 +29,20 @@ def ordered_index(df: DataFrame, order: Sequence[Column], name: str, start: int
 
     The range-sorted rows are written once: range bounds come from a sample, so they must not be
     drawn again between counting the ranges and numbering the rows. ``order`` should tell all rows
-    apart; a hot value is then split between ranges by the later order columns.
+    apart; a hot value is then split between ranges by the later order columns. The number of ranges
+    follows from the number of rows. Give narrow rows: whatever is in ``df`` moves.
     """
     part, pos, offset = "_range", "_pos", "_offset"
     in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = max(1, ceil(df.count() / ROWS_PER_TASK))
     ranged = (
-        df.repartitionByRange(*order)
+        df.repartitionByRange(ranges, *order)
         .sortWithinPartitions(*order)
         .select("*", F.spark_partition_id().alias(part), in_range.alias(pos))
     )
     stored = materialize(ranged)
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range: at most spark.sql.shuffle.partitions rows
+    # one row per range, so one for each million rows
     offsets = stored.groupBy(part).agg(F.count("*").alias("_n")).select(
         part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(offset)
     )
@@ -60,7 +61,7 @@ def range_bounds(df: DataFrame, value: Column, rows_per_task: int | None = None)
     rows_per_task = rows_per_task or ROWS_PER_TASK
     frame = df.select(value.cast("double").alias("v"))
     n = frame.count()
-    ranges = min(ceil(n / rows_per_task), MAX_RANGES)
+    ranges = ceil(n / rows_per_task)
     if ranges <= 1:
         return []
     share = min(1.0, max(SAMPLE_ROWS, 100 * ranges) / n)
@@ -76,12 +77,14 @@ def running_totals(
     keys: Sequence[str] = (),
     descending: bool = True,
     rows_per_task: int | None = None,
+    range_name: str | None = None,
 ) -> DataFrame:
     """Per distinct ``value``: the sums of ``amounts``, and their running sums ``cum_<name>``.
 
     Rows with equal values are added up before the sort, so a hot value is one row by then. Large
     inputs are cut into value ranges; a running sum is the one inside the range plus the totals of
-    the ranges before it. ``keys`` gives one running sum per group. Null values are left out.
+    the ranges before it. ``keys`` gives one running sum per group. Null values are left out. The
+    number of the value range stays as ``range_name`` if given.
     """
     frame = df.select(
         *[col(k) for k in keys],
@@ -104,8 +107,9 @@ def running_totals(
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     per_value = frame.groupBy(*group, rng, col(value)).agg(*sums)
     per_value = per_value.select("*", *[F.sum(n).over(inside).alias(f"cum_{n}") for n in amounts])
+    kept = [F.col(rng).alias(range_name)] if range_name else []
     if not bounds:
-        return per_value.drop(rng)
+        return per_value.select(*[c for c in per_value.columns if c != rng], *kept)
 
     before = Window.partitionBy(*group).orderBy(direction(F.col(rng)))
     before = before.rowsBetween(Window.unboundedPreceding, -1)
@@ -128,6 +132,7 @@ def running_totals(
         col(value),
         *[F.col(n) for n in amounts],
         *[(F.col(f"cum_{n}") + F.col(f"_before_{n}")).alias(f"cum_{n}") for n in amounts],
+        *kept,
     )
 
 

@@ -92,33 +92,41 @@ def decision(pred: Column, pains: Column, chelator: Column) -> Column:
 
 
 def rank_predictions(
-    df: DataFrame, prob: str = "prob_activo", ties: Sequence[str] = ("row_idx",), out: str = "Rank"
+    df: DataFrame, prob: str = "prob_activo", ties: Sequence[str] = (fixed.ROW_INDEX,), out: str = "Rank"
 ) -> DataFrame:
     """Rank 1..n from the highest probability down, ties in the given order.
 
-    Predicted class first and probability second is the same order, as the class is a step of it.
+    Predicted class first and probability second is the same order, as the class is a step of it. Only probability and
+    ties are sorted; the ranks are joined to the rows by them. So ``ties`` must tell all rows apart.
     """
-    return ordered_index(df, [col(prob).desc(), *[col(t) for t in ties]], out)
+    names = [f"_t{i}" for i in range(len(ties))]
+    narrow = df.select(col(prob).alias("_p"), *[col(t).alias(n) for t, n in zip(ties, names)])
+    ranked = ordered_index(narrow, [F.col("_p").desc(), *[F.col(n) for n in names]], "_rank")
+    same = None
+    for t, n in zip(ties, names):
+        match = col(t).eqNullSafe(F.col(n))
+        same = match if same is None else same & match
+    joined = df.join(ranked.select(*names, "_rank"), same)
+    return joined.select(*[col(c) for c in df.columns if c != out], F.col("_rank").alias(out))
 
 
 def result_table(
     scored: DataFrame,
     prob: str = "prob_activo",
     threshold: float = 0.5,
-    ties: Sequence[str] = ("row_idx",),
+    ties: Sequence[str] = (fixed.ROW_INDEX,),
     id_col: str | None = None,
 ) -> DataFrame:
-    """Ranked results: ``Rank, ID, Prob_activo, Prediccion, Filtros``. Rows come unsorted."""
+    """Ranked results: ``Rank, ID, Prob_activo, Prediccion, Filtros``. Rows come unsorted, texts are made last."""
     id_name = id_col or pick_id(scored, ties[0])
-    narrow = scored.select(
-        *[col(t).alias(f"_t{i}") for i, t in enumerate(ties)],
+    ranked = rank_predictions(scored, prob, ties, "_Rank")
+    return ranked.select(
+        F.col("_Rank").alias("Rank"),
         col(id_name).cast("string").alias("ID"),
         col(prob).alias("Prob_activo"),
         class_text(classify(col(prob), threshold)).alias("Prediccion"),
         alert_summary(scored).alias("Filtros"),
     )
-    ranked = rank_predictions(narrow, "Prob_activo", [f"_t{i}" for i in range(len(ties))])
-    return ranked.select("Rank", "ID", "Prob_activo", "Prediccion", "Filtros")
 
 
 def top_predictions(
@@ -126,7 +134,7 @@ def top_predictions(
     n: int = 10,
     prob: str = "prob_activo",
     threshold: float = 0.5,
-    ties: Sequence[str] = ("row_idx",),
+    ties: Sequence[str] = (fixed.ROW_INDEX,),
     id_col: str | None = None,
 ) -> DataFrame:
     """Best ``n`` rows of the result table. A top-k over the input: nothing else is ranked."""
@@ -138,7 +146,7 @@ def final_report(
     scored: DataFrame,
     prob: str = "prob_activo",
     threshold: float = 0.5,
-    ties: Sequence[str] = ("row_idx",),
+    ties: Sequence[str] = (fixed.ROW_INDEX,),
     id_col: str | None = None,
     sort: bool = True,
 ) -> DataFrame:
@@ -155,22 +163,27 @@ def final_report(
         decision(pred, pains, chelator),
     ]
     named = [cell.alias(name) for cell, name in zip(cells, fixed.REPORT_HEADERS)]
-    if not sort:
-        return scored.select(*named)
-    order = [col(prob).alias("_prob"), *[col(t).alias(f"_t{i}") for i, t in enumerate(ties)]]
-    ranked = scored.select(*order, *named).orderBy(
-        F.col("_prob").desc(), *[F.col(f"_t{i}") for i in range(len(ties))]
-    )
-    return ranked.drop("_prob", *[f"_t{i}" for i in range(len(ties))])
+    used = {prob, id_name, "canonical_smiles", *ties, *fixed.SCREEN_COLUMNS}
+    needed = scored.select(*[col(c) for c in scored.columns if c in used])
+    # the columns are sorted as they are, and the cells made afterwards
+    ordered = needed.orderBy(col(prob).desc(), *[col(t) for t in ties]) if sort else needed
+    return ordered.select(*named)
 
 
 def prediction_summary(scored: DataFrame, prob: str = "prob_activo", threshold: float = 0.5) -> DataFrame:
     """One row: rows, predicted classes, and rows with any alert (null without screen columns)."""
     pred = classify(col(prob), threshold)
-    alerts = F.count_if(alert_summary(scored) != fixed.NO_ALERTS) if has_screens(scored) else F.lit(None).cast("long")
+    alerts = F.count_if(has_alert(scored)) if has_screens(scored) else F.lit(None).cast("long")
     return scored.agg(
         F.count("*").alias("n"),
         F.count_if(pred == 1).alias("n_active"),
         F.count_if(F.coalesce(pred, F.lit(0)) != 1).alias("n_inactive"),
         alerts.alias("n_with_alerts"),
     )
+
+
+def has_alert(df: DataFrame) -> Column:
+    """Whether the alert line of a row says more than that there are none; no text is made for it."""
+    flagged = _flag(df, "PAINS_flag") | _flag(df, "Chelator_flag")
+    broken = [F.coalesce(_count(df, n) > 0, F.lit(False)) for n in ("Lipinski_violations", "Veber_violations")]
+    return flagged | broken[0] | broken[1]

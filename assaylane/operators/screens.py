@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from itertools import islice
 
+import ahocorasick
 import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaylane.functions.literals import required_literal
 from assaylane.functions.rules import lipinski_violations, veber_violations
 from assaylane.operators.columns import col
-from assaylane.session import materialize
 
-# Catalogue entries turned into conditions of one projection.
-INLINE_CATALOG_ROWS = 2_000
+LITERAL_BYTES = 16 << 20  # literals of a catalogue that are searched at once
 
 Predicate = Callable[[Column, Column], Column]
 
@@ -39,27 +38,80 @@ def match_catalog(
     catalog: DataFrame,
     prefix: str,
     predicate: Predicate = F.rlike,
-    inline_rows: int = INLINE_CATALOG_ROWS,
+    literal_bytes: int = LITERAL_BYTES,
 ) -> DataFrame:
     """Match a ``(pattern, description)`` table; the result is as in ``match_patterns``.
 
-    ``predicate(text, pattern)`` is a regular-expression match unless another is given (such as
-    ``F.contains``). The catalogue is turned into conditions, ``inline_rows`` entries at a time. One
-    that fits in a single round is a plain projection; a larger one takes a pass over the table per
-    round, and the terms found so far are stored in between. Rows are never paired up with entries.
+    ``predicate(text, pattern)`` is a regular-expression match unless another is given (such as ``F.contains``). What
+    every match of an entry must hold is a literal of an inverted index from literals to entries. One search over a
+    text finds its literals, and only the entries of those are verified. Entries without a literal are conditions that
+    all rows are tested with. It is a projection over the one text column for a catalogue of any size: no join, no
+    shuffle, no pass per entry; an index of more than ``literal_bytes`` is searched in several pieces.
     """
     described = F.coalesce("description", F.lit(f"{prefix}_match")).alias("description")
-    catalog = catalog.where("pattern is not null").select(described, "pattern")
-    first = [tuple(row) for row in catalog.limit(inline_rows + 1).collect()]
-    if len(first) <= inline_rows:
-        return _match_inline(df, text_col, _usable(df, first, predicate), predicate, prefix)
-    entries = (tuple(row) for row in catalog.toLocalIterator())
-    df = df.withColumn("_found", F.array().cast("array<string>"))
-    while pairs := list(islice(entries, inline_rows)):
-        terms = _terms_by_name(text_col, _usable(df, pairs, predicate), predicate)
-        hits = F.array(*[F.when(hit, F.lit(term)) for term, hit in terms.items()]).cast("array<string>")
-        df = materialize(df.withColumn("_found", F.array_union("_found", F.array_compact(hits))))
-    return _with_terms(df, F.col("_found"), prefix).drop("_found")
+    rows = catalog.where("pattern is not null").select(described, "pattern").distinct().collect()
+    pairs = _usable(df, sorted((r["description"], r["pattern"]) for r in rows), predicate)
+    needed = [_literal_of(pattern, predicate) for _, pattern in pairs]
+    plain = [pair for pair, literal in zip(pairs, needed) if not literal]
+    indexed = [(*pair, literal) for pair, literal in zip(pairs, needed) if literal]
+    if not indexed:
+        return _match_inline(df, text_col, plain, predicate, prefix)
+    found = [F.when(hit, F.lit(term)) for term, hit in _terms_by_name(text_col, plain, predicate).items()]
+    terms = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    text = col(text_col).cast("string")
+    for piece in _pieces(indexed, literal_bytes):
+        descriptions = F.lit([d for d, _, _ in piece])
+        patterns = F.lit([p for _, p, _ in piece])
+        candidates = _entries_with_literals([literal for _, _, literal in piece])(text)
+        verified = F.filter(candidates, lambda i: predicate(text, F.get(patterns, i)))
+        terms = F.concat(terms, F.transform(verified, lambda i: F.get(descriptions, i)))
+    return _with_terms(df, terms, prefix)
+
+
+def _literal_of(pattern: str, predicate: Predicate) -> str:
+    if predicate is F.rlike:
+        return required_literal(pattern)
+    return pattern if predicate is F.contains else ""
+
+
+def _pieces(entries: Sequence[tuple[str, str, str]], most: int) -> Iterator[list[tuple[str, str, str]]]:
+    """Entries in lists with literals of at most ``most`` bytes together."""
+    held, size = [], 0
+    for entry in entries:
+        n = len(entry[2].encode())
+        if held and size + n > most:
+            yield held
+            held, size = [], 0
+        held.append(entry)
+        size += n
+    yield held
+
+
+def _entries_with_literals(literals: Sequence[str]):
+    """A function of texts that lists the places of the literals that occur in each, found in one search."""
+
+    @F.pandas_udf("array<int>")
+    def entries(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places: dict[str, list[int]] = {}
+        for i, literal in enumerate(literals):
+            places.setdefault(literal, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for literal, own in places.items():
+            automaton.add_word(literal, own)
+        automaton.make_automaton()
+
+        def search(text: object) -> list[int] | None:
+            if not isinstance(text, str):
+                return None
+            hits: set[int] = set()
+            for _, own in automaton.iter(text):
+                hits.update(own)
+            return sorted(hits)
+
+        for batch in batches:
+            yield batch.map(search)
+
+    return entries
 
 
 def _usable(df: DataFrame, pairs: list[tuple[str, str]], predicate: Predicate) -> list[tuple[str, str]]:

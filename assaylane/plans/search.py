@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from itertools import product
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -15,31 +14,49 @@ from assaylane import fixed
 from assaylane.functions.seeds import seed_hash
 from assaylane.operators.columns import col
 from assaylane.operators.impute import fit_median
-from assaylane.plans.ensembles import Ensemble, assemble, config_from, fit_once
+from assaylane.plans.ensembles import MAX_DEPTH, Ensemble, assemble, config_from, fit_once, training_table
 from assaylane.plans.train import Y, Prepared, evaluate_splits
 
 METRICS = ("roc_auc", "pr_auc", "f1", "precision", "recall")
 
 
 def sample_configs(spark: SparkSession, space: Mapping[str, Sequence], n: int, seed: int = fixed.SEED) -> DataFrame:
-    """``n`` different parameter sets of a grid, drawn by seeded hash: ``position, cfg`` (JSON text)."""
-    grid = [json.dumps(dict(zip(space, values))) for values in product(*space.values())]
-    frame = spark.createDataFrame([(cfg,) for cfg in grid], "cfg string").withColumn("_hash", seed_hash("cfg", seed=seed))
-    drawn = frame.orderBy("_hash", "cfg").limit(n).collect()
+    """``n`` different parameter sets of a grid, drawn by seeded hash: ``position, cfg`` (JSON text).
+
+    Depths that grow the same trees are one: no limit and ``MAX_DEPTH`` or more. The grid is numbered, not built: a
+    number is read as one digit per parameter.
+    """
+    space = {k: distinct_values(k, values) for k, values in space.items()}
+    parts, stride = [], 1
+    for name, values in reversed(space.items()):
+        digit = F.pmod(F.floor(F.col("id") / F.lit(stride)), F.lit(len(values))).cast("int")
+        texts = F.array(*[F.lit(json.dumps(v)) for v in values])
+        parts.insert(0, F.concat(F.lit(f"{json.dumps(name)}: "), F.get(texts, digit)))
+        stride *= len(values)
+    cfg = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    grid = spark.range(stride).select(cfg.alias("cfg")).withColumn("_hash", seed_hash("cfg", seed=seed))
+    drawn = grid.orderBy("_hash", "cfg").limit(n).collect()
     return spark.createDataFrame([(i, r["cfg"]) for i, r in enumerate(drawn)], "position int, cfg string")
 
 
+def distinct_values(name: str, values: Sequence) -> list:
+    """The values of a parameter that make a difference."""
+    if name != "max_depth":
+        return list(values)
+    return list(dict.fromkeys(None if v is None or v >= MAX_DEPTH else v for v in values))
+
+
 def run_trials(
     prepared: Prepared, algo: str, configs: Sequence[dict], seed: int = fixed.SEED, parallelism: int = 2
 ) -> list[tuple]:
     """Fit every configuration and score all splits; trials run side by side as separate Spark jobs.
 
-    Only numbers are kept of each trial, not the fitted trees.
+    They share one written table of training vectors. Only numbers are kept of each trial, not the fitted trees.
     """
     table, features = prepared.table, prepared.features
     train = table.where("split = 'train'")
     medians = fit_median(train, features)
-    vectors = assemble(train, features, medians, [Y]).persist()
+    vectors = training_table(assemble(train, features, medians, [Y]), config_from(algo, {}), Y)
 
     def trial(values: dict) -> tuple:
         cfg = config_from(algo, {**values, "seed": seed})
@@ -48,11 +65,8 @@ def run_trials(
         numbers = [scores.get(s, {}).get(m) for s in ("train", "val", "test") for m in METRICS]
         return (algo, json.dumps(values), *numbers)
 
-    try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            return list(pool.map(inheritable_thread_target(table.sparkSession)(trial), configs))
-    finally:
-        vectors.unpersist()
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(inheritable_thread_target(table.sparkSession)(trial), configs))
 
 
 def search(

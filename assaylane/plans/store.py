@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from dataclasses import asdict
 from datetime import datetime
 
@@ -11,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylane.plans.ensembles import Ensemble, config_from
-from assaylane.sources.files import _exists
+from assaylane.sources import versions
+from assaylane.sources.files import write_table
 
 INFO_SCHEMA = "section string, key string, value string"
 
 
-def save_model(model: Ensemble, path: str, meta: dict | None = None) -> None:
-    """Store the MLlib models and a one-row table with features, medians, configuration and ``meta``."""
+def save_model(model: Ensemble, path: str, meta: dict | None = None, tables: Mapping[str, DataFrame] | None = None) -> None:
+    """Store the MLlib models, a one-row record (features, medians, configuration, history, ``meta``) and further
+    tables beside them, as one new version of ``path``."""
     spark = SparkSession.getActiveSession()
-    PipelineModel(model.models).write().overwrite().save(f"{path}/models")
     record = {
         "features": model.features,
         "medians": model.medians,
@@ -29,23 +31,41 @@ def save_model(model: Ensemble, path: str, meta: dict | None = None) -> None:
         "meta": meta or {},
     }
     text = spark.createDataFrame([(json.dumps(record, ensure_ascii=False),)], "record string")
-    text.coalesce(1).write.mode("overwrite").parquet(f"{path}/record")
+
+    def write(folder: str) -> None:
+        PipelineModel(model.models).write().save(f"{folder}/models")
+        text.coalesce(1).write.parquet(f"{folder}/record")
+        for name, table in (tables or {}).items():
+            write_table(table, f"{folder}/{name}")
+
+    versions.replace(spark, path, write)
 
 
 def has_model(spark: SparkSession, path: str) -> bool:
-    return _exists(spark, f"{path}/models/metadata") and _exists(spark, f"{path}/record")
+    return versions.is_versioned(spark, path)
+
+
+def _version(spark: SparkSession, path: str) -> str:
+    folder = versions.current(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"no stored model at {path}")
+    return folder
 
 
 def load_record(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.parquet(f"{path}/record").first()["record"])
+    return json.loads(spark.read.parquet(f"{_version(spark, path)}/record").first()["record"])
+
+
+def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table stored beside the model: ``info``, ``splits``, ``roc_points``, ``pr_points``, ``confusion``, ..."""
+    return spark.read.parquet(f"{_version(spark, path)}/{name}")
 
 
 def load_model(spark: SparkSession, path: str) -> Ensemble:
-    if not has_model(spark, path):
-        raise FileNotFoundError(f"no stored model at {path}")
-    record = load_record(spark, path)
+    folder = _version(spark, path)
+    record = json.loads(spark.read.parquet(f"{folder}/record").first()["record"])
     config = config_from(record["algo"], record["config"])
-    models = PipelineModel.load(f"{path}/models").stages
+    models = PipelineModel.load(f"{folder}/models").stages
     return Ensemble(record["features"], record["medians"], models, config, record["history"])
 
 

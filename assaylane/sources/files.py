@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaylane.fixed import MISSING_MARKERS
 from assaylane.functions.text import safe_float, strip
 from assaylane.operators.columns import col
 from assaylane.session import scratch_path
+from assaylane.sources import versions
+from assaylane.sources.rows import index_placed, placed
 
 DELIMITERS = [",", ";", "\t", "|"]
 
@@ -22,7 +29,7 @@ _CP1252 = {raw: real for raw, real in _CP1252.items() if real}
 def latest_file(spark: SparkSession, folder: str, suffix: str = ".csv") -> str:
     """Newest file with the suffix (any case) in the folder itself; equal times go by path."""
     glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
-    if not _exists(spark, folder):
+    if not versions.exists(spark, folder):
         raise FileNotFoundError(f"no such folder: {folder}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     newest = files.select("path", "modificationTime").orderBy(F.desc("modificationTime"), "path").limit(1).collect()
@@ -37,27 +44,63 @@ def read_delimited(
     sep: str | None = None,
     infer: bool = False,
     multi_line: bool = False,
+    row_index: str | None = None,
 ) -> DataFrame:
-    """Read a delimited export with a header line; columns are text unless ``infer`` is set.
+    """Read a delimited export, a file or a folder of files with a header line each.
 
-    The delimiter is the most frequent candidate in the header. Files that are not valid UTF-8 are
-    read as Windows-1252. Missing-value texts become null. Set ``multi_line`` for quoted line
-    breaks; such files cannot be read in parts.
+    Columns are text unless ``infer`` is set. Every file has a dialect of its own: the delimiter is the most frequent
+    candidate in its header, and files that are not valid UTF-8 are read as Windows-1252. Files of one dialect and
+    header are read together, and the tables are put under one another by column name; what a file does not have is
+    null. Missing-value texts become null. Set ``multi_line`` for quoted line breaks; such files cannot be read in
+    parts. ``row_index`` adds a stable number of the rows, see ``with_row_index``; the rows are then stored.
     """
-    lines = spark.read.text(path)
-    utf8 = lines.agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).first()["ok"]
-    header = lines.limit(1).collect()
-    first_line = header[0]["value"].lstrip("\ufeff") if header else ""
-    sep = sep or max(DELIMITERS, key=lambda d: (first_line.count(d), -DELIMITERS.index(d)))
-    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+    dialects = _dialects(spark, path)
+    parts = [_read_dialect(spark, d, sep, multi_line) for d in dialects]
+    if not parts:
+        raise FileNotFoundError(f"no file with a header line: {path}")
+    if row_index is not None:
+        parts = [placed(part) for part in parts]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if row_index is not None:
+        df = index_placed(df, row_index)
+    return infer_types(df) if infer else df
+
+
+@dataclass(frozen=True)
+class Dialect:
+    """What is needed to read some files: their paths, the header line, and whether they are UTF-8."""
+
+    paths: tuple[str, ...]
+    header: str
+    utf8: bool
+
+    @property
+    def sep(self) -> str:
+        return max(DELIMITERS, key=lambda d: (self.header.count(d), -DELIMITERS.index(d)))
+
+
+def _dialects(spark: SparkSession, path: str) -> list[Dialect]:
+    """The dialects of the files under a path, found in one pass over their lines; one row per dialect is read."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("at"),
+        "value",
+    )
+    by_file = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    # lines of another encoding are read as the reader does, so that names come out as in the data
+    header = F.when(F.col("utf8"), F.col("header")).otherwise(F.decode(F.col("header").cast("binary"), "ISO-8859-1"))
+    found = by_file.groupBy(F.ltrim(header, F.lit("\ufeff")).alias("header"), "utf8").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [Dialect(tuple(r["paths"]), r["header"], r["utf8"]) for r in found.orderBy(F.col("paths")[0]).collect()]
+
+
+def _read_dialect(spark: SparkSession, dialect: Dialect, sep: str | None, multi_line: bool) -> DataFrame:
+    reader = spark.read.option("header", True).option("sep", sep or dialect.sep).option("quote", '"').option("escape", '"')
     reader = reader.option("multiLine", multi_line).option("nanValue", "").option("emptyValue", "")
-    df = reader.option("encoding", "UTF-8" if utf8 is not False else "ISO-8859-1").csv(path)
+    df = reader.option("encoding", "UTF-8" if dialect.utf8 else "ISO-8859-1").csv(list(dialect.paths))
     names = [name.lstrip("\ufeff") for name in df.columns]
-    if utf8 is False:
+    if not dialect.utf8:
         names = [name.translate(str.maketrans(_CP1252)) for name in names]
-    cells = [_cell(col(raw), utf8 is not False).alias(name) for raw, name in zip(df.columns, names)]
-    df = df.select(*cells)
-    return infer_types(df) if infer else df
+    return df.select(*[_cell(col(raw), dialect.utf8).alias(name) for raw, name in zip(df.columns, names)])
 
 
 def _cell(text: Column, utf8: bool) -> Column:
@@ -104,81 +147,168 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         raise ValueError("fmt is 'parquet' or 'csv'")
 
 
+_STAGED, _OLD = "__staged", "__old"
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table as written by ``write_table`` or ``write_version``."""
+    path = path.rstrip("/")
+    if versions.is_versioned(spark, path):
+        path = versions.current(spark, path)
+    elif not versions.exists(spark, path) and versions.exists(spark, f"{path}{_OLD}"):
+        path = f"{path}{_OLD}"  # a swap was cut short
     return spark.read.parquet(path) if fmt == "parquet" else read_delimited(spark, path, sep=",", infer=True, multi_line=True)
 
 
+def write_version(df: DataFrame, root: str, fmt: str = "parquet") -> None:
+    """Write ``df`` as the new version of a versioned table; readers see the old one until it is whole."""
+    versions.replace(df.sparkSession, root, lambda folder: write_table(df, folder, fmt))
+
+
 def enrich_table(
     spark: SparkSession, path: str, fn: Callable[[DataFrame], DataFrame], fmt: str = "parquet"
 ) -> DataFrame:
     """Replace a stored table by ``fn(table)``.
 
-    The new table is written next to the old one, which is moved aside and only then replaced; if
-    the last step fails, the old table is put back.
+    A versioned table gets a new version. The folder of a plain one is swapped: the new table is written next to it,
+    the old one moved aside, and ``read_table`` finds that one should the job stop between the two moves.
     """
     path = path.rstrip("/")
-    staged, old = f"{path}__staged", f"{path}__old"
+    if versions.is_versioned(spark, path):
+        write_version(fn(read_table(spark, path, fmt)), path, fmt)
+        return read_table(spark, path, fmt)
+    staged, old = f"{path}{_STAGED}", f"{path}{_OLD}"
     write_table(fn(read_table(spark, path, fmt)), staged, fmt)
-    _delete(spark, old)
-    _rename(spark, path, old)
-    try:
-        _rename(spark, staged, path)
-    except OSError:
-        _rename(spark, old, path)
-        raise
-    _delete(spark, old)
+    if versions.exists(spark, path):
+        versions.delete(spark, old)
+        versions.rename(spark, path, old)
+    versions.rename(spark, staged, path)
+    versions.delete(spark, old)
     return read_table(spark, path, fmt)
 
 
 def write_results(results: DataFrame, folder: str, date: str, prob: str = "Prob_activo", rank: str = "Rank") -> str:
-    """Write the ranked results as ``resultados_<date>``: ``;`` separated, six decimals, in rank order."""
+    """Write the ranked results as ``resultados_<date>``: ``;`` separated, six decimals, in rank order.
+
+    Every file starts with a byte order mark, so that spreadsheets read it as UTF-8; readers here drop it.
+    """
     path = f"{folder.rstrip('/')}/resultados_{date}.csv"
     shown = results.withColumn(prob, F.format_string("%.6f", col(prob).cast("double")))
     ordered = shown.orderBy(col(rank)) if rank in results.columns else shown
-    ordered.write.mode("overwrite").csv(path, sep=";", header=True, **CELLS)
+    marked = ordered.toDF("\ufeff" + ordered.columns[0], *ordered.columns[1:])
+    marked.write.mode("overwrite").csv(path, sep=";", header=True, **CELLS)
     return path
 
 
-def file_sha256(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file under ``path`` (whole files, so up to 2 GB each)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+WHOLE_FILE = 256 << 20  # bytes of a file that is hashed in one piece
+_PIECE = 8 << 20
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free checksum of all values: equal tables in any row order agree."""
-    cells = [F.coalesce(col(c).cast("string"), F.lit("\\N")) for c in df.columns]
-    digits = F.substring(F.md5(F.concat_ws("\x1f", *cells)), 1, 15)
-    number = F.conv(digits, 16, 10).cast("decimal(38,0)")
-    return df.agg(
-        F.count("*").alias("n_rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("checksum")
+def file_sha256(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """``path, sha256`` of every file under ``path``, whatever its size.
+
+    Files of more than ``whole`` bytes are read in parts by many tasks; the parts of a file are put in order and
+    feed one digest piece by piece, so no task holds a file. (Such files must not be compressed, and hold a line
+    break at least every 2 GB.) Files without any byte do not show, as Spark's readers leave them out.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    large = [r["path"] for r in listed.where(F.col("length") > whole).collect()]
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= whole)
+    small = files.select("path", F.sha2("content", 256).alias("sha256"))
+    return small.union(_streamed_sha256(spark, large)) if large else small
+
+
+def _streamed_sha256(spark: SparkSession, paths: list[str]) -> DataFrame:
+    lines = spark.read.text(paths, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").cast("binary").alias("line"),
     )
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines of a part put together, each with its line break."""
+        of, held, size, nth = None, [], 0, 0
+
+        def piece() -> pa.RecordBatch:
+            values = [[of[0]], [of[1]], [of[2]], [nth], [b"".join(held)]]
+            return pa.record_batch([pa.array(v, t) for v, t in zip(values, _PIECE_TYPES)], names=["path", "size", "block", "nth", "data"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "block", "line"))):
+                if held and (row[:3] != of or size > _PIECE):
+                    yield piece()
+                    held, size, nth = [], 0, nth + 1
+                of = row[:3]
+                held.append(row[3] + b"\n")
+                size += len(held[-1])
+        if held:
+            yield piece()
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pieces of a task's files come in order; a piece is kept back, as the last line may have no break."""
+        of, digest, marked, size, seen, last = None, None, None, 0, 0, b""
+
+        def finish() -> pa.RecordBatch:
+            # lines and breaks against the size of the file: a break too many, a byte order mark left out
+            over = seen - size
+            if over not in (0, 1, -3, -2):
+                raise ValueError(f"{of}: cannot be read in parts")
+            chosen = marked if over < 0 else digest
+            chosen.update(last[:-1] if over in (1, -2) else last)
+            return pa.record_batch([pa.array([of]), pa.array([chosen.hexdigest()])], names=["path", "sha256"])
+
+        for batch in batches:
+            for path, length, data in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "data"))):
+                if path != of:
+                    if of is not None:
+                        yield finish()
+                    of, digest, size, seen, last = path, hashlib.sha256(), length, 0, b""
+                    marked = hashlib.sha256(b"\xef\xbb\xbf")
+                digest.update(last)
+                marked.update(last)
+                seen += len(data)
+                last = data
+        if of is not None:
+            yield finish()
+
+    parts = lines.mapInArrow(pieces, "path string, size long, block long, nth long, data binary")
+    ordered = parts.repartition(max(1, len(paths)), "path").sortWithinPartitions("path", "block", "nth")
+    return ordered.mapInArrow(digests, "path string, sha256 string")
+
+
+_PIECE_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+
+def table_fingerprint(df: DataFrame) -> DataFrame:
+    """Row count and an order-free checksum of all values: equal tables in any row order agree.
+
+    Every cell is written with its kind and length, so null, an empty text and any marker text differ. The checksum
+    is the sum of the 128-bit hashes of the rows, as two sums of 64 bits; repeated rows count each.
+    """
+    digest = F.md5(F.concat_ws("", *[_tagged(col(f.name), f.dataType) for f in df.schema.fields]))
+    half = lambda at: F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(38,0)"))
+    text = lambda total: F.coalesce(total, F.lit(0)).cast("string")
+    return df.agg(F.count("*").alias("n_rows"), F.concat_ws("-", text(half(1)), text(half(17))).alias("checksum"))
+
+
+def _tagged(value: Column, kind: T.DataType) -> Column:
+    """A cell as text that tells its kind, its length and its content; ``n`` for null."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        tag, text = "f", value.cast("double").cast("string")
+    elif isinstance(kind, T.IntegralType):
+        tag, text = "i", value.cast("string")
+    elif isinstance(kind, T.BinaryType):
+        tag, text = "x", F.hex(value)
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        tag, text = "j", F.to_json(value)
+    else:
+        tag, text = "s" if isinstance(kind, T.StringType) else "o", value.cast("string")
+    return F.coalesce(F.concat(F.lit(tag), F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
 
 def scratch_copy(df: DataFrame, fmt: str = "parquet", **options: str) -> str:
     """Write ``df`` to a fresh scratch path and return the path."""
     path = scratch_path(df.sparkSession, fmt)
     df.write.options(**options).format(fmt).save(path)
     return path
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
-
-
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    fs, p = _fs(spark, source)
-    if not fs.rename(p, _fs(spark, target)[1]):
-        raise OSError(f"could not move {source} to {target}")

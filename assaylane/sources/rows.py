@@ -24,30 +24,32 @@ def with_row_index(df: DataFrame, out: str = "row_idx", start: int = 0) -> DataF
     if out in df.columns:
         raise ValueError(f"there is a column {out!r} already")
     try:
-        placed = materialize(_placed(df))
-        splits = _splits(placed)
-        if not splits.where("last - first + 1 > n").isEmpty():
-            raise _Scattered
+        return index_placed(placed(df), out, start)
     except (AnalysisException, _Scattered):  # no file metadata, or rows of a split were moved apart
-        placed = materialize(_placed(materialize(df)))
-        splits = _splits(placed)
+        return index_placed(placed(materialize(df)), out, start)
+
+
+def index_placed(df: DataFrame, out: str, start: int = 0) -> DataFrame:
+    """The table of ``placed``, stored, with row numbers instead of the places."""
+    stored = materialize(df)
+    splits = _splits(stored)
+    if not splits.where("last - first + 1 > n").isEmpty():
+        raise _Scattered
     before = Window.orderBy(_PATH, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        F.col("key"), F.col("block"), F.col("first"), (F.coalesce(F.sum("n").over(before), F.lit(0)) + F.lit(start)).alias("offset")
-    )
+    offsets = splits.select("key", "block", "first", (F.coalesce(F.sum("n").over(before), F.lit(0)) + F.lit(start)).alias("offset"))
     if splits.count() <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
-    joined = placed.join(offsets, (F.xxhash64(_PATH) == F.col("key")) & (F.col(_BLOCK) == F.col("block")))
-    return joined.select(
-        *[col(c) for c in df.columns], (F.col("offset") + F.col(_NTH) - F.col("first")).cast("long").alias(out)
-    )
+    joined = stored.join(offsets, (F.xxhash64(_PATH) == F.col("key")) & (F.col(_BLOCK) == F.col("block")))
+    number = (F.col("offset") + F.col(_NTH) - F.col("first")).cast("long")
+    return joined.select(*[col(c) for c in df.columns if c not in (_PATH, _BLOCK, _NTH)], number.alias(out))
 
 
 class _Scattered(Exception):
     pass
 
 
-def _placed(df: DataFrame) -> DataFrame:
+def placed(df: DataFrame) -> DataFrame:
+    """The rows of files, each with the path, the start of the split and its place there."""
     return df.select(
         "*",
         F.col("_metadata.file_path").alias(_PATH),

@@ -249,7 +249,7 @@ def _(spark, d):
 @query("catalog_matched_in_rounds", CATALOG_SQL)
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return screens.match_catalog(docs, "text", _catalog(spark), "PAINS", inline_rows=2).drop("text")
+    return screens.match_catalog(docs, "text", _catalog(spark), "PAINS", literal_bytes=8).drop("text")
 
 
 @query(

@@ -64,12 +64,16 @@ def allocated_sql(source: str, size: str, name: str) -> str:
             SELECT *, {size} AS size FROM (SELECT y, k, sum(k) OVER () AS n FROM {source}))))"""
 
 
-SIZES_SQL = f"""tr AS ({allocated_sql("(SELECT event_type AS y, count(*)::DOUBLE AS k FROM events GROUP BY 1)", "floor(0.75e0 * n)", "n_train")}),
-    va AS ({allocated_sql("(SELECT y, k - n_train AS k FROM tr)", "floor(0.15e0 / (0.15e0 + (1e0 - 0.75e0 - 0.15e0)) * n)", "n_val")})"""
-SPLIT_SQL = f"""WITH {SIZES_SQL} SELECT event_id, event_type, value,
+def split_sql(source: str, y: str, columns: str) -> str:
+    """``columns`` and the split of the rows of ``source``, which has the class ``y`` and the order ``h`` within it."""
+    train = allocated_sql(f"(SELECT {y} AS y, count(*)::DOUBLE AS k FROM s GROUP BY 1)", "floor(0.75e0 * n)", "n_train")
+    val = allocated_sql("(SELECT y, k - n_train AS k FROM tr)", "floor(0.15e0 / (0.15e0 + (1e0 - 0.75e0 - 0.15e0)) * n)", "n_val")
+    return f"""WITH s AS ({source}), tr AS ({train}), va AS ({val}) SELECT {columns},
     CASE WHEN rn <= n_train THEN 'train' WHEN rn <= n_train + n_val THEN 'val' ELSE 'test' END AS split FROM (
-    SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY {EVENT_HASH}) AS rn FROM events) e
-    JOIN tr ON tr.y = event_type JOIN va ON va.y = event_type"""
+    SELECT *, row_number() OVER (PARTITION BY {y} ORDER BY h) AS rn FROM s) e JOIN tr ON tr.y = {y} JOIN va ON va.y = {y}"""
+
+
+SPLIT_SQL = split_sql(f"SELECT *, {EVENT_HASH} AS h FROM events", "event_type", "event_id, event_type, value")
 
 
 def splitted(spark, d):
@@ -81,6 +85,27 @@ def _(spark, d):
     return splitted(spark, d)
 
 
+# a class for every customer, and ids that repeat within it: rows of one id go by their index
+BY_CUSTOMER_SQL = """SELECT o_orderkey, o_custkey, md5(concat_ws('|', '1234', o_orderpriority)) || lpad(lower(hex(o_orderkey)), 16, '0') AS h
+    FROM orders"""
+
+
+@query("split_of_many_classes", split_sql(BY_CUSTOMER_SQL, "o_custkey", "o_orderkey, o_custkey"))
+def _(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return split.stratified_split(orders, "o_custkey", "o_orderpriority", ties="o_orderkey").drop("o_orderpriority")
+
+
+@query(
+    "labelled_with_repeated_ids",
+    f"""SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderstatus, h) <= floor(0.4e0 * count(*) OVER ()) THEN 1 ELSE 0 END AS activo
+    FROM (SELECT o_orderkey, ascii(o_orderstatus) AS o_orderstatus, h FROM ({BY_CUSTOMER_SQL}) JOIN orders USING (o_orderkey))""",
+)
+def _(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.ascii("o_orderstatus").alias("v"))
+    return labels.label_by_fraction(orders, "v", "o_orderpriority", 0.4, ties="o_orderkey").select("o_orderkey", "activo")
+
+
 @query("split_ids", f"SELECT CAST(event_id AS VARCHAR) AS id, split FROM ({SPLIT_SQL})")
 def _(spark, d):
     return split.split_ids(splitted(spark, d), "event_id")
@@ -245,6 +270,33 @@ def _(spark, d):
     return rounded(metrics.pr_curve(judged(spark, d), "y", "score", ["toxic"]), "precision", "recall")
 
 
+# corners of the curve: points that are not on the line through their neighbours
+THINNED_SQL = f"""WITH t AS (SELECT * FROM ({totals_sql(JUDGED_SQL, 'toxic')})), n AS (SELECT *,
+    coalesce(lag(cum_neg) OVER w, 0) AS px, coalesce(lag(cum_pos) OVER w, 0) AS py, lead(cum_neg) OVER w AS nx, lead(cum_pos) OVER w AS ny,
+    sum(neg) OVER (PARTITION BY toxic) AS all_neg, sum(pos) OVER (PARTITION BY toxic) AS all_pos
+    FROM t WINDOW w AS (PARTITION BY toxic ORDER BY score DESC))"""
+
+
+@query(
+    "roc_curve_thinned",
+    f"""{THINNED_SQL} SELECT toxic, round(cum_neg / all_neg::DOUBLE, 9) AS fpr, round(cum_pos / all_pos::DOUBLE, 9) AS tpr, score AS threshold
+    FROM n WHERE nx IS NULL OR (cum_neg - px) * (ny - cum_pos) <> (cum_pos - py) * (nx - cum_neg)
+    UNION ALL SELECT DISTINCT toxic, 0, 0, CAST('inf' AS DOUBLE) FROM t""",
+)
+def _(spark, d):
+    return rounded(metrics.roc_curve(judged(spark, d), "y", "score", ["toxic"], thin=True, rows_per_task=40), "fpr", "tpr")
+
+
+@query(
+    "precision_recall_curve_thinned",
+    f"""{THINNED_SQL} SELECT toxic, round(cum_pos / (cum_pos + cum_neg)::DOUBLE, 9) AS "precision", round(cum_pos / all_pos::DOUBLE, 9) AS recall,
+    score AS threshold FROM n WHERE nx IS NULL OR NOT ((py = cum_pos AND cum_pos = ny) OR nx = 0)
+    UNION ALL SELECT DISTINCT toxic, 1, 0, CAST(NULL AS DOUBLE) FROM t""",
+)
+def _(spark, d):
+    return rounded(metrics.pr_curve(judged(spark, d), "y", "score", ["toxic"], thin=True, rows_per_task=40), "precision", "recall")
+
+
 def evaluated_sql(keys: str) -> str:
     return f"""SELECT {keys}, roc_auc, pr_auc, {PRF_SQL}, tn, fp, fn, tp FROM
         (SELECT {keys}, {AUC_SQL} AS roc_auc, {AP_SQL} AS pr_auc FROM ({totals_sql(JUDGED_SQL, keys)}) GROUP BY {keys})

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from assaylane.operators import report
 from assaylane.operators.columns import col
 from assaylane.plans.prepare import prepare
-from assaylane.plans.screen import screen
 from assaylane.plans.search import compare, leaderboard
 from assaylane.operators import metrics
-from assaylane.operators.screens import match_patterns
 from assaylane.session import scratch_path
 from assaylane.sources import files
 from checks.registry import query
@@ -102,20 +100,65 @@ def _(spark, d):
     return files.read_delimited(spark, path).withColumn("Standard Relation", F.trim(col("Standard Relation"), F.lit("\t")))
 
 
-@query("table_written", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+@query("table_written", "SELECT * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate) FROM orders")
 def _(spark, d):
     path = scratch_path(spark)
-    files.write_table(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), path, "csv")
+    files.write_table(table(spark, d, "orders").withColumn("o_orderdate", col("o_orderdate").cast("string")), path, "csv")
     return files.read_table(spark, path, "csv")
 
 
-@query("table_enriched", "SELECT p_partkey, p_size, p_retailprice, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS big FROM part")
+@query("texts_written", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def _(spark, d):
+    """Texts with blanks, tabs, quotes, line breaks and accents come back as they were."""
     path = scratch_path(spark)
-    files.write_table(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), path)
+    files.write_table(table(spark, d, "documents"), path, "csv")
+    return files.read_table(spark, path, "csv")
+
+
+@query("table_enriched", "SELECT *, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS big FROM part")
+def _(spark, d):
+    path = scratch_path(spark)
+    files.write_table(table(spark, d, "part"), path)
     return files.enrich_table(spark, path, lambda df: df.withColumn("big", (col("p_size") > 25).cast("int")))
 
 
+@query("version_enriched", "SELECT *, c_acctbal < 0 AS owes FROM customer")
+def _(spark, d):
+    path = scratch_path(spark)
+    files.write_version(table(spark, d, "customer"), path)
+    return files.enrich_table(spark, path, lambda df: df.withColumn("owes", col("c_acctbal") < 0))
+
+
+# a folder with a file for every dialect: delimiters, columns in other orders, one file that is not UTF-8
+DIALECTS = {
+    ",": (["c_custkey", "c_name", "c_acctbal", "segment"], "UTF-8"),
+    ";": (["segment", "c_name", "c_custkey", "c_acctbal"], "ISO-8859-1"),
+    "|": (["c_name", "c_custkey", "segment"], "UTF-8"),
+}
+
+
+@query(
+    "dialects_read",
+    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE CAST(c_acctbal AS VARCHAR) END AS c_acctbal,
+    concat('señal, ', c_mktsegment) AS segment FROM customer""",
+)
+def _(spark, d):
+    folder = scratch_path(spark, "raw")
+    customers = table(spark, d, "customer").withColumn("segment", F.concat(F.lit("señal, "), col("c_mktsegment")))
+    for i, (sep, (names, encoding)) in enumerate(DIALECTS.items()):
+        part = customers.where(col("c_custkey") % 3 == i).select(*[col(n).cast("string") for n in names])
+        part.write.mode("append").csv(folder, header=True, sep=sep, encoding=encoding)
+    return files.read_delimited(spark, folder)
+
+
+@query("rows_indexed", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, CAST(doc_id AS VARCHAR) AS doc_id FROM documents")
+def _(spark, d):
+    path = scratch_path(spark, "raw")
+    docs = table(spark, d, "documents").select("doc_id", F.translate("text", "\n\r\"", "   ").alias("text"))
+    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.csv(path, header=True)
+    return files.read_delimited(spark, path, row_index="row_idx").select("row_idx", "doc_id")
+
+
 @query(
     "results_written",
     f"""SELECT CAST("Rank" AS VARCHAR) AS "Rank", "ID", printf('%.6f', "Prob_activo") AS "Prob_activo", "Prediccion", "Filtros"
@@ -126,12 +169,12 @@ def _(spark, d):
     return files.read_delimited(spark, path)
 
 
-@query("latest_file", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
+@query("latest_file", "SELECT CAST(COLUMNS(*) AS VARCHAR) FROM supplier")
 def _(spark, d):
     folder = scratch_path(spark, "raw")
     for name in ("customer", "supplier"):  # the supplier file is written last
         table(spark, d, name).write.mode("append").csv(folder, header=True)
-    return files.read_delimited(spark, files.latest_file(spark, folder)).select("s_suppkey", "s_name")
+    return files.read_delimited(spark, files.latest_file(spark, folder))
 
 
 @query("file_hashes")
@@ -139,14 +182,20 @@ def _(spark, d):
     return files.file_sha256(spark, f"{d}/*.parquet")
 
 
-@query(
-    "table_fingerprint",
-    """SELECT count(*) AS n_rows, CAST(sum(CAST(concat('0x', left(md5(concat_ws(chr(31), coalesce(CAST(o_orderkey AS VARCHAR), '\\N'),
-    coalesce(CAST(o_custkey AS VARCHAR), '\\N'), coalesce(o_orderstatus, '\\N'), coalesce(o_orderpriority, '\\N'))), 15)) AS HUGEINT)) AS VARCHAR) AS checksum
-    FROM orders""",
-)
+def tagged_sql(tag: str, text: str) -> str:
+    return f"coalesce(concat('{tag}', CAST(length({text}) AS VARCHAR), ':', {text}), 'n')"
+
+
+FINGERPRINT_SQL = f"""SELECT count(*) AS n_rows, concat(CAST(sum(CAST(concat('0x', left(h, 16)) AS HUGEINT)) AS VARCHAR), '-',
+    CAST(sum(CAST(concat('0x', right(h, 16)) AS HUGEINT)) AS VARCHAR)) AS checksum FROM (SELECT md5(concat(
+    {tagged_sql('i', 'CAST(o_orderkey AS VARCHAR)')}, {tagged_sql('i', 'CAST(o_custkey AS VARCHAR)')}, {tagged_sql('s', 'o_orderstatus')},
+    {tagged_sql('f', 'CAST(o_totalprice AS VARCHAR)')}, {tagged_sql('o', 'CAST(o_orderdate AS VARCHAR)')},
+    {tagged_sql('s', 'o_orderpriority')})) AS h FROM orders)"""
+
+
+@query("table_fingerprint", FINGERPRINT_SQL)
 def _(spark, d):
-    return files.table_fingerprint(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return files.table_fingerprint(table(spark, d, "orders"))
 
 
 # combined steps
@@ -164,15 +213,3 @@ def _(spark, d):
         assay(spark, d), "Smiles", _text_features, ["chars", "blanks", "missing"], order_by=["row_idx"],
         required=["chars", "blanks", "missing"],
     )
-
-
-@query(
-    "prepared_and_screened",
-    f"""SELECT "Molecule ChEMBL ID", "Smiles", CASE WHEN "Smiles" LIKE '%8%' THEN 1 ELSE 0 END AS "PAINS_flag",
-    CASE WHEN "Smiles" LIKE '%8%' THEN 'eight' ELSE '' END AS "PAINS_terms" FROM ({FILTER_SQL})""",
-)
-def _(spark, d):
-    from assaylane.operators.assay import filter_assay
-
-    df = filter_assay(assay(spark, d)).select(col("Molecule ChEMBL ID"), col("Smiles"))
-    return screen(df, ["pains"], pains=lambda x: match_patterns(x, "Smiles", {"eight": "8"}, "PAINS"))

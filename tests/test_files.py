@@ -7,8 +7,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  (registers the queries)
+
 from assaylane.operators.columns import col
-from assaylane.sources import files
+from assaylane.sources import files, versions
+from assaylane.sources.rows import with_row_index
 
 
 def write(path, content):
@@ -74,7 +77,9 @@ def test_results_file(spark, tmp_path):
     path = files.write_results(df, str(tmp_path), "20240102")
     lines = [line for part in sorted(os.listdir(path)) if part.startswith("part-")
              for line in open(os.path.join(path, part), encoding="utf-8").read().splitlines()]
-    rows = [line for line in lines if not line.startswith("Rank")]
+    rows = [line for line in lines if not line.startswith("\ufeffRank")]
+    assert len(rows) < len(lines)
+    assert files.read_delimited(spark, path).columns == ["Rank", "ID", "Prob_activo", "Filtros"]
     assert path.endswith("resultados_20240102.csv")
     assert rows == ["1;a;1.000000;", '2;b;0.123457;"x;y"']
 
@@ -87,6 +92,80 @@ def test_hashes(spark, tmp_path):
     assert files.table_fingerprint(df).first() != files.table_fingerprint(df.where("id > 0")).first()
 
 
+@pytest.mark.parametrize(
+    "content",
+    [b"a", b"a\n", b"\n\n", b"\xef\xbb\xbfa;b\n1;2\n", b"\xef\xbb\xbfa", b"a\r\nb\r\n", bytes(range(256)) * 5_000, "ñ\n".encode() * 70_000],
+)
+def test_digest_in_parts(spark, tmp_path, content):
+    paths = [write(tmp_path / f"{i}.bin", content + b"x" * i) for i in range(3)]
+    got = {os.path.basename(r["path"]): r["sha256"] for r in files.file_sha256(spark, str(tmp_path), whole=0).collect()}
+    assert got == {os.path.basename(p): hashlib.sha256(open(p, "rb").read()).hexdigest() for p in paths}
+
+
+def test_fingerprint_tells_cells_apart(spark):
+    tables = [
+        spark.createDataFrame([(a, b)], "a string, b string")
+        for a, b in ((None, "x"), ("", "x"), ("\\N", "x"), ("n", "x"), ("x", ""), ("x", None), ("\x1fx", ""), ("1", "x"))
+    ]
+    tables += [spark.createDataFrame([(1, "x")], "a long, b string"), spark.createDataFrame([(1.0, "x")], "a double, b string")]
+    prints = [files.table_fingerprint(t).first()["checksum"] for t in tables]
+    assert len(set(prints)) == len(prints)
+    assert files.table_fingerprint(tables[0].where("false")).first()["n_rows"] == 0
+
+
+def test_every_file_has_its_own_dialect(spark, tmp_path):
+    write(tmp_path / "a.csv", "id;señal\n1;ñ\n".encode())
+    write(tmp_path / "b.csv", "señal,id\n“x”,2\n".encode("cp1252"))
+    write(tmp_path / "c.csv", "id;señal\n3;é\n".encode("utf-8-sig"))
+    write(tmp_path / "d.csv", "id\textra\n4\tmore\n".encode())
+    df = files.read_delimited(spark, str(tmp_path), row_index="row_idx")
+    got = {r["id"]: (r["señal"], r["extra"], r["row_idx"]) for r in df.collect()}
+    assert got == {"1": ("ñ", None, 0), "2": ("“x”", None, 1), "3": ("é", None, 2), "4": (None, "more", 3)}
+
+
+def test_row_index_follows_the_files(spark, tmp_path):
+    lines = [f"{i},{'x' * (i % 50)}" for i in range(20_000)]
+    for part in range(4):
+        write(tmp_path / f"{part}.csv", ("id,t\n" + "\n".join(lines[part * 5_000 : (part + 1) * 5_000]) + "\n").encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        raw = spark.read.csv(str(tmp_path), header=True)
+        assert raw.rdd.getNumPartitions() > 8
+        for df in (raw, raw.where("t IS NOT NULL"), raw.select("id")):
+            got = [int(r["id"]) for r in with_row_index(df).orderBy("row_idx").collect()]
+            assert got == sorted(got) and len(got) == df.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    made = with_row_index(spark.range(1000).repartition(7).join(spark.range(500), "id"), start=5)
+    assert sorted(r["row_idx"] for r in made.collect()) == list(range(5, 505))
+    assert with_row_index(spark.range(0)).count() == 0
+    with pytest.raises(ValueError):
+        with_row_index(made)
+
+
+def test_a_swap_cut_short_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    files.write_table(spark.range(5), path)
+    real, calls = versions.rename, []
+
+    def stop(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("stopped")
+        real(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "rename", stop)
+        with pytest.raises(OSError):
+            files.enrich_table(spark, path, lambda df: df.withColumn("x", F.lit(1)))
+    assert files.read_table(spark, path).columns == ["id"] and files.read_table(spark, path).count() == 5
+    assert files.enrich_table(spark, path, lambda df: df.withColumn("x", F.lit(1))).columns == ["id", "x"]
+    root = str(tmp_path / "v")
+    for n in (3, 4, 5):
+        files.write_version(spark.range(n), root)
+    assert files.read_table(spark, root).count() == 5 and len(list((tmp_path / "v" / "_versions").iterdir())) == 2
+
+
 def test_tabs_at_cell_ends(spark, data, monkeypatch):
     from checks.registry import QUERIES
     from checks.standins import assay

@@ -11,7 +11,7 @@ from assaylane.operators.columns import col
 from assaylane.operators.metrics import roc_auc
 from assaylane.plans import search, store, train
 from assaylane.plans.ensembles import (
-    VECTOR, BoostedConfig, Ensemble, ForestConfig, _boosting, _ready, assemble, config_from, fit_boosted,
+    VECTOR, BoostedConfig, Ensemble, ForestConfig, assemble, config_from, fit_boosted, fit_forest, tree_shards,
 )
 from assaylane.plans.predict import predict
 from assaylane.session import scratch_path
@@ -82,29 +82,96 @@ def test_model_is_stored_and_missing_features_are_imputed(spark, forest, table):
         assert a == loaded.predict(df, keep=["row_idx"]).orderBy("row_idx").collect()
 
 
-def test_boosting_prefix_margins_are_those_of_the_model(prepared):
-    t, v = (prepared.table.where(col("split") == s) for s in ("train", "val"))
-    medians = train.fit_median(t, prepared.features)
-    cfg = BoostedConfig(n_estimators=6, early_stopping_rounds=3, max_depth=3)
-    vectors = [assemble(x, prepared.features, medians, ["activo"]) for x in (t, v)]
+def vectors_of(prepared):
+    parts = [prepared.table.where(col("split") == s) for s in ("train", "val")]
+    medians = train.fit_median(parts[0], prepared.features)
+    return medians, [assemble(x, prepared.features, medians, ["activo"]) for x in parts]
+
+
+def test_boosting_history_is_that_of_the_prefixes(prepared, monkeypatch):
+    from assaylane.plans import ensembles
+
+    fits = []
+    grow = ensembles._next_tree
+    monkeypatch.setattr(ensembles, "_next_tree", lambda *a: fits.append(a[2]) or grow(*a))
+    monkeypatch.setattr(ensembles, "ADVANCE", 3)
+    medians, vectors = vectors_of(prepared)
+    cfg = BoostedConfig(n_estimators=8, early_stopping_rounds=3, max_depth=3)
     models, history = fit_boosted(*vectors, cfg)
-    assert models[0].getNumTrees == max(history, key=lambda h: (h["val_auc"], -h["trees"]))["trees"]
-    model = Ensemble(prepared.features, medians, models, cfg)
-    auc = roc_auc(model.score_vectors(vectors[1]), "activo", "prob_activo").first()["roc_auc"]
-    assert auc == pytest.approx(max(h["val_auc"] for h in history), abs=1e-9)
-    probs = model.score_vectors(vectors[1]).agg(F.min("prob_activo").alias("lo"), F.max("prob_activo").alias("hi")).first()
-    assert 0 < probs["lo"] < probs["hi"] < 1
+    assert fits == list(range(len(history)))  # every tree is fitted once
+    best = max(history, key=lambda h: (h["val_auc"], -h["trees"]))["trees"]
+    assert models[0].getNumTrees == best and len(history) == min(best + 3, 8)
+    trees, weights = models[0]._call_java("trees"), models[0].treeWeights
+    for n in (1, 2, best):  # the stored margins give what a model of the first trees gives
+        prefix = ensembles.boosted_model([trees[i] for i in range(n)], weights[:n])
+        model = Ensemble(prepared.features, medians, [prefix], cfg)
+        auc = roc_auc(model.score_vectors(vectors[1]), "activo", "prob_activo").first()["roc_auc"]
+        assert auc == pytest.approx(history[n - 1]["val_auc"], abs=1e-9)
+    probs = Ensemble(prepared.features, medians, models, cfg).score_vectors(vectors[1])
+    lo, hi = probs.agg(F.min("prob_activo"), F.max("prob_activo")).first()
+    assert 0 < lo < hi < 1
+
+
+def test_forest_windows_give_the_same_history(prepared):
+    """Rounds grown between two looks are those that a look after every round would have grown."""
+    _, vectors = vectors_of(prepared)
+    cfg = ForestConfig(n_estimators=10, step=2, patience=2, max_depth=4)
+    models, history = fit_forest(*vectors, cfg)
+    aucs = [h["val_auc"] for h in history]
+    assert [h["trees"] for h in history] == [2 * (i + 1) for i in range(len(aucs))]
+    best, best_auc, stale = 0, float("-inf"), 0
+    for i, auc in enumerate(aucs):
+        assert stale < 2
+        best, best_auc, stale = (i + 1, auc, 0) if auc > best_auc + 1e-6 else (best, best_auc, stale + 1)
+    assert len(models) == best and (stale == 2 or len(aucs) == 5)
+    single = Ensemble(prepared.features, {}, models[:1], cfg).score_vectors(vectors[1])
+    assert roc_auc(single, "activo", "prob_activo").first()["roc_auc"] == pytest.approx(aucs[0], abs=1e-12)
+
+
+def test_shards_of_trees(prepared, forest, table):
+    shards = tree_shards(forest.models, 60)
+    assert len(shards) > 2 and sum(len(m.treeWeights) for s in shards for m in s) == forest.n_trees
+    for model in (forest, Ensemble(forest.features, forest.medians, [_boosted(prepared)], BoostedConfig())):
+        vectors = model.vectors(table, ["row_idx"])
+        whole, cut = model.score_vectors(vectors, "a"), model.score_vectors(vectors, "b", nodes_per_shard=20)
+        assert cut.columns == [*vectors.columns, "b"]
+        both = whole.select("row_idx", "a").join(cut.select("row_idx", "b"), "row_idx")
+        assert both.count() == 500 and both.where("abs(a - b) > 1e-12").isEmpty()
+
+
+def _boosted(prepared):
+    _, vectors = vectors_of(prepared)
+    return fit_boosted(*vectors, BoostedConfig(n_estimators=3, early_stopping_rounds=3, max_depth=3))[0][0]
+
+
+def test_depths_and_settings_are_checked(spark, prepared):
+    _, vectors = vectors_of(prepared)
+    with pytest.raises(ValueError):
+        fit_forest(*vectors, ForestConfig(n_estimators=1, max_depth=31))
+    with pytest.raises(ValueError):
+        config_from("gbt", {"reg_lambda": 1})
+    depths = [json.loads(r["cfg"])["max_depth"] for r in search.sample_configs(spark, {"max_depth": [None, 10, 30, 40, 50]}, 9).collect()]
+    assert sorted(depths, key=str) == [10, None]
+
 
+def test_a_commit_cut_short_leaves_the_old_model(spark, forest, monkeypatch):
+    from assaylane.sources import versions
 
-def test_longer_boosting_starts_with_the_same_trees(prepared):
-    t = prepared.table.where("split = 'train'")
-    medians = train.fit_median(t, prepared.features)
-    ready = _ready(assemble(t, prepared.features, medians, ["activo"]), "activo")
-    cfg = BoostedConfig(max_depth=2, subsample=0.7)
-    short, long = (_boosting(cfg, n, "activo").fit(ready) for n in (2, 4))
-    text = lambda tree: tree.toDebugString.split("\n", 1)[1]
-    assert [text(x) for x in short.trees] == [text(x) for x in long.trees[:2]]
-    ready.unpersist()
+    path = scratch_path(spark, "model")
+    store.save_model(forest, path, {"note": "old"}, {"info": spark.range(3)})
+    with monkeypatch.context() as m:
+        m.setattr(store, "write_table", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            store.save_model(forest, path, {"note": "new"}, {"info": spark.range(9)})
+    with monkeypatch.context() as m:
+        m.setattr(versions, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            store.save_model(forest, path, {"note": "new"}, {"info": spark.range(9)})
+    assert store.load_record(spark, path)["meta"] == {"note": "old"} and store.load_table(spark, path, "info").count() == 3
+    assert store.load_model(spark, path).n_trees == forest.n_trees
+    for i in range(3):
+        store.save_model(forest, path, {"note": i})
+    assert store.load_record(spark, path)["meta"] == {"note": 2}
 
 
 def test_train_then_load(spark, table):
@@ -113,9 +180,11 @@ def test_train_then_load(spark, table):
     assert not first.loaded and first.splits.count() == 500
     again = train.train_or_load(table, folder, cfg=FOREST, cv_k=None)
     assert again.loaded and again.metrics == first.metrics
-    info = {(r["section"], r["key"]): r["value"] for r in spark.read.parquet(f"{folder}/base/info").collect()}
+    info = {(r["section"], r["key"]): r["value"] for r in store.load_table(spark, f"{folder}/base", "info").collect()}
     assert info["run", "n_features"] == "64" and ("metrics_val", "roc_auc") in info and ("metrics_train", "f1") not in info
-    assert spark.read.parquet(f"{folder}/base/splits").count() == 500
+    assert store.load_table(spark, f"{folder}/base", "splits").count() == 500
+    other = train.train_or_load(table.withColumn("e1", col("e1") + 1), folder, cfg=FOREST, cv_k=None)
+    assert other.loaded and set(other.metrics) == {"train", "val", "test"}  # other data is evaluated anew
     for mode, name in (("new", None), ("test", None)):
         with pytest.raises(ValueError):
             train.train_or_load(table, folder, mode, name)
@@ -129,10 +198,9 @@ def test_named_model_trains_again_with_its_stored_configuration(spark, table):
 
 
 def test_cross_validation(prepared):
-    folds, summary = train.cross_validate(
-        prepared.table, prepared.features, "row_idx", ForestConfig(n_estimators=4, max_depth=4), 2
-    )
-    got, rows = summary.first(), folds.collect()
+    cv = train.cross_validate(prepared.table, prepared.features, "row_idx", ForestConfig(n_estimators=4, max_depth=4), 2)
+    got, rows = cv.summary.first(), cv.folds.collect()
+    assert cv.scored.groupBy("fold").count().orderBy("fold").collect() == [(0, 250), (1, 250)]
     assert got["cv_k"] == 2 and got["cv_auc_mean"] == pytest.approx(sum(r["val_auc"] for r in rows) / 2)
     assert got["cv_gap_auc_mean"] > 0
 

@@ -1,7 +1,6 @@
 """Every query with SQL against DuckDB on the small tables, the others for rows only."""
 
 import math
-import os
 from decimal import Decimal
 
 import duckdb
@@ -13,7 +12,6 @@ from checks.registry import QUERIES, SQL
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-SLOW = {"extended_search", "cross_validated", "trained_or_loaded", "random_search", "run_recorded"}
 
 
 @pytest.fixture(scope="module")
@@ -54,8 +52,6 @@ def test_query_agrees_with_sql(spark, data, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_has_rows(spark, data, name):
-    if name in SLOW and not os.environ.get("SLOW"):
-        pytest.skip("slow; its parts are tested in test_models.py")
     assert entry.queries()[name](spark, data).collect()
 
 

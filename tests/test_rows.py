@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaylane import fixed
+from assaylane.functions.literals import required_literal
 from assaylane.functions import clean_text, numeric, round3, safe_float, truthy
 from assaylane.operators import columns, enrich, screens
 from assaylane.operators.assay import filter_assay, filter_assay_other_units
@@ -233,14 +234,35 @@ def test_catalog(spark):
     df = spark.createDataFrame(TEXTS, "id int, t string")
     catalog = spark.createDataFrame(CATALOG, "pattern string, description string")
     assert matched(screens.match_catalog(df, "t", catalog, "P")) == MATCHED
-    for rows in (1, 2, 4):
-        assert matched(screens.match_catalog(df, "t", catalog, "P", inline_rows=rows)) == MATCHED
+    for size in (1, 2, 4):
+        assert matched(screens.match_catalog(df, "t", catalog, "P", literal_bytes=size)) == MATCHED
     contains = spark.createDataFrame([("a", "A"), ("[", "B")], "pattern string, description string")
     out = screens.match_catalog(df, "t", contains, "P", predicate=F.contains)
     assert matched(out)[1] == (1, "A")
 
 
-def test_inline_catalog_needs_no_shuffle(spark):
+@pytest.mark.parametrize(
+    "pattern, literal",
+    [
+        ("abc", "abc"), ("a+bc", "bc"), ("(?:ab)+cde?", "ab"), ("x(yz)w", "xyzw"), ("ab|cd", ""), ("(?i)abc", ""),
+        ("[ab]cd", "cd"), ("ab*cd", "cd"), ("^ab$", "ab"), (r"ab\\.c", "ab.c"), (r"\\Qa.b\\E", ""), ("[a&&[ab]]x", ""),
+        ("(abc){0,2}x", "x"), ("a{2}b", "a"), ("(", ""), (r"a\\vb", ""), ("", ""), (r"\\d+kg", "kg"),
+    ],
+)
+def test_required_literals(pattern, literal):
+    assert required_literal(pattern.replace("\\\\", "\\")) == literal
+
+
+def test_large_catalog_in_one_pass(spark):
+    words = [f"key{i:06d}" for i in range(100_000)]
+    catalog = spark.createDataFrame([(f"{w}[a-z]", f"d{i % 1000}") for i, w in enumerate(words)], "pattern string, description string")
+    rows = [(i, f"some text with {words[7 * i]}x and {words[11 * i]}5") for i in range(200)]
+    out = screens.match_catalog(spark.createDataFrame(rows, "id int, t string"), "t", catalog, "P")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["P_terms"] for r in out.collect()} == {i: f"d{7 * i % 1000}" for i, _ in rows}
+
+
+def test_catalog_needs_no_shuffle(spark):
     df = spark.createDataFrame(TEXTS, "id int, t string")
     catalog = spark.createDataFrame(CATALOG, "pattern string, description string")
     plan = screens.match_catalog(df, "t", catalog, "P")._jdf.queryExecution().executedPlan().toString()

@@ -1,8 +1,10 @@
 """Phrase collocations (operator 11) from count streams in prefix and in suffix order.
 
-Three passes over the texts count words, pairs of frequent words, and what begins with a frequent pair. A phrase can
-only be frequent if its parts are, so each pass leaves out what the last one rules out, by bitmaps of a fixed size; a
-chance hit in one costs a count and no more. Counts of a chunk are added up in sorted arrays before they are shuffled.
+Passes over the texts count words, then runs of two and of three words of which all parts are frequent, and at last
+the phrases all of whose runs are. A phrase can only be frequent if its parts are, so each pass leaves out what the ones
+before it rule out, by bitmaps of a fixed size; a chance hit in one costs a count and no more. Runs are counted in
+sorted streams of their numbers, one for each chunk and range of numbers, which are shuffled as differences of 16 bits
+and merged. Only phrases that passed all of that are shuffled as rows, added up for each chunk.
 
 A phrase is a key: eight bytes for the language and for each word, so that byte order puts every phrase directly after
 its beginnings. The stream of counts, with one row per language for all words, is laid out twice, in the order of the
@@ -25,7 +27,9 @@ other columns are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +38,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylane.llm.bitmaps import bitmap_of, in_bitmap
-from assaylane.llm.common import mixed, tidy_batches
+from assaylane.llm.common import mixed, parts_for, tidy_batches, total_bytes
+from assaylane.llm.ngram_join import packed_differences, unpacked_differences
 from assaylane.llm.words import IN_PHRASE, PUNCTUATION, Words, find_words, run_numbers, text_chunks, word_numbers
 from assaylane.session import materialize
 
 LONGEST, LEAST, BEST = 5, 100, 2_000
 UNKNOWN = "und"
 CHUNK = 5 << 20  # bytes of text whose counts are added up at once
+KNOWN_RUNS = 3  # runs of up to so many words are counted before phrases are
+KEPT_BITS = 27  # the bitmap of frequent runs of a length; 16 MB
+PART_BYTES = 128 << 20  # bytes of text whose runs are merged in one task
 RANGE_ROWS = 500_000
 SAMPLE_ROWS = 100  # for each range, to place its bounds
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -111,19 +119,86 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _count_pairs(frequent: np.ndarray):
-    """Number and count of pairs of frequent words, by language."""
+@dataclass
+class TopBits:
+    """A set of numbers by their first bits, as a bitmap; a number that is not found is not in the set."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for langs, lang, words, numbers in _chunks(batches):
-            may = in_bitmap(frequent, _with_language(numbers, langs, lang))
-            pair = run_numbers(numbers, 2)
-            m = len(pair)
-            inside = may[:m] & may[1 : m + 1] & (np.arange(m) + 2 <= _pieces(words)[:m])
-            found, n = np.unique(_with_language(pair[inside], langs, lang[:m][inside]), return_counts=True)
-            yield pa.record_batch([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+    bits: int
+    marks: np.ndarray
 
-    return count
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        slot = (numbers >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+Known = Callable[[np.ndarray], np.ndarray]  # which numbers may be frequent
+
+
+def _candidate_runs(words: Words, numbers: np.ndarray, n: int, may: np.ndarray) -> np.ndarray:
+    """Which runs of ``n`` words lie in one piece and begin and end with runs of a word less that may be frequent."""
+    m = max(len(numbers) - n + 1, 0)
+    return may[:m] & may[1 : m + 1] & (np.arange(m) + n <= _pieces(words)[:m])
+
+
+def _may_be_frequent(words: Words, numbers: np.ndarray, langs: list[str], lang: np.ndarray, known: Sequence[Known]) -> list[np.ndarray]:
+    """For runs of 1, 2, ... words: which may be frequent, as far as that is known."""
+    out = []
+    for n, has in enumerate(known, 1):
+        run = run_numbers(numbers, n) if n > 1 else numbers
+        may = _candidate_runs(words, numbers, n, out[-1]) if out else np.ones(len(run), bool)
+        may[may] = has(_with_language(run[may], langs, lang[: len(run)][may]))
+        out.append(may)
+    return out
+
+
+def _run_streams(known: Sequence[Known], bits: int, parts: int):
+    """Runs of one word more than is known, of which all parts may be frequent: per chunk and part of the number range
+    a sorted stream of the runs' numbers, cut to their first bits."""
+    edges = [(i << bits) // parts for i in range(parts + 1)]
+    n = len(known) + 1
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, lang, words, numbers in _chunks(batches):
+            may = _may_be_frequent(words, numbers, langs, lang, known)[-1]
+            inside = _candidate_runs(words, numbers, n, may)
+            run = _with_language(run_numbers(numbers, n)[inside], langs, lang[: len(inside)][inside])
+            ids = np.sort(run >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.searchsorted(ids, edges)
+            own = [i for i in range(parts) if cuts[i] < cuts[i + 1]]
+            blobs = [packed_differences(ids[cuts[i] : cuts[i + 1]], edges[i]) for i in own]
+            yield pa.record_batch([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "ids"])
+
+    return streams
+
+
+def _merged(bits: int, parts: int, least: int, kept_bits: int):
+    """The streams of a part merged: a bitmap of the numbers that occur ``least`` times, from byte ``at`` on."""
+
+    def merged(key: tuple, table: pa.Table) -> pa.Table:
+        begin = (key[0].as_py() << bits) // parts
+        ids = np.sort(np.concatenate([unpacked_differences(b, begin) for b in table.column("ids").to_pylist()]))
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        often = ids[first][np.diff(np.append(first, len(ids))) >= least] >> (bits - kept_bits)
+        at = int(often[0]) >> 3 if len(often) else 0
+        marks = np.zeros(((int(often[-1]) >> 3) - at + 1) * 8 if len(often) else 0, np.uint8)
+        marks[often - 8 * at] = 1
+        return pa.table({"at": pa.array([at], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    return merged
+
+
+def frequent_runs(rows: DataFrame, known: Sequence[Known], least: int, size: int, part_bytes: int = PART_BYTES) -> TopBits:
+    """Runs of one word more than is known that may occur ``least`` times in texts of ``size`` bytes."""
+    parts = parts_for(size, part_bytes)
+    bits = min(max(24, size.bit_length() + 6), 60)
+    kept_bits = min(bits, KEPT_BITS)
+    streams = rows.mapInArrow(tidy_batches(_run_streams(known, bits, parts)), "part int, ids binary")
+    merged = materialize(streams.groupBy("part").applyInArrow(_merged(bits, parts, least, kept_bits), "at long, marks binary"))
+    marks = np.zeros((1 << kept_bits) // 8, np.uint8)
+    for row in merged.toLocalIterator():  # 2^KEPT_BITS bits at most, all together
+        piece = np.frombuffer(row["marks"], np.uint8)
+        marks[row["at"] : row["at"] + len(piece)] |= piece
+    return TopBits(kept_bits, marks)
 
 
 def _matrix_keys(matrix: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -134,27 +209,27 @@ def _matrix_keys(matrix: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _count_phrases(frequent: np.ndarray, pairs: np.ndarray, longest: int):
-    """Key and count of the phrases of two words and more that begin with a frequent pair and go on with such."""
+def _count_phrases(known: Sequence[Known], longest: int):
+    """Key and count of the phrases of two words and more all of whose short runs may be frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, lang, words, numbers in _chunks(batches):
-            own = np.array([language_number(x) for x in langs], np.uint64)
-            pair = run_numbers(numbers, 2)
-            m = len(pair)
-            if not m:
+            may = _may_be_frequent(words, numbers, langs, lang, known)
+            at = np.flatnonzero(may[1])
+            if not len(at):
                 continue
-            end = _pieces(words)
-            good = (np.arange(m) + 2 <= end[:m]) & in_bitmap(pairs, _with_language(pair, langs, lang[:m]))
-            good = np.append(good, False)
-            at = np.flatnonzero(good)
+            own = np.array([language_number(x) for x in langs], np.uint64)
             columns, reach = [own[lang[at]], numbers[at]], np.ones(len(at), np.int64)
             going = np.ones(len(at), bool)
             for k in range(1, longest):
-                before = np.minimum(at + k - 1, m)
-                going = going & good[before]
+                # the longest known run that ends with word k
+                n = min(k + 1, len(known))
+                begin = at + k + 1 - n
+                there = begin < len(may[n - 1])
+                going = going & there
+                going[going] = may[n - 1][begin[going]]
                 reach += going
-                columns.append(np.where(going, numbers[np.minimum(at + k, m)], 0).astype(np.uint64))
+                columns.append(np.where(going, numbers[np.minimum(at + k, len(numbers) - 1)], 0).astype(np.uint64))
             # sorted once; phrases of each length are runs of equal rows
             order = np.lexsort(columns[::-1])
             matrix = np.stack(columns, axis=1)[order]
@@ -291,16 +366,17 @@ def _walked(stream: DataFrame, rows: int, longest: int, reverse: bool, range_row
     )
 
 
-def phrase_scores(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text: str = "text", lang: str = "lang", range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+def phrase_scores(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text: str = "text", lang: str = "lang", range_rows: int = RANGE_ROWS, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
     """Scored phrases: key, a, l, r, n, score; and words: lang, word, number, n."""
     rows = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
     counted = rows.mapInArrow(tidy_batches(_count_words), "lang string, word binary, number long, n long")
     words = materialize(counted.groupBy("lang", "word").agg(F.max("number").alias("number"), F.sum("n").alias("n")))
     frequent = materialize(words.where(F.col("n") >= least).mapInArrow(_word_keys, "key binary, slot long, n long"))
-    word_map = bitmap_of(frequent, "slot")
-    pairs = rows.mapInArrow(tidy_batches(_count_pairs(word_map)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    pair_map = bitmap_of(pairs.where(F.col("n") >= least), "pair")
-    longer = rows.mapInArrow(tidy_batches(_count_phrases(word_map, pair_map, longest)), "key binary, n long")
+    size = total_bytes(rows, "text")
+    known: list[Known] = [partial(in_bitmap, bitmap_of(frequent, "slot"))]
+    for _ in range(min(longest, KNOWN_RUNS) - 1):
+        known.append(frequent_runs(rows, known, least, size, part_bytes).has)
+    longer = rows.mapInArrow(tidy_batches(_count_phrases(known, longest)), "key binary, n long")
     longer = longer.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     all_words = words.groupBy("lang").agg(F.sum("n").alias("n")).mapInArrow(_language_keys, "key binary, n long")
     stream = materialize(longer.union(frequent.select("key", "n")).union(all_words))
@@ -343,10 +419,10 @@ def _language_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def collocations(
     docs: DataFrame, longest: int = LONGEST, least: int = LEAST, best: int = BEST, text: str = "text", lang: str = "lang",
-    range_rows: int = RANGE_ROWS,
+    range_rows: int = RANGE_ROWS, part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the ``best`` phrases of each language."""
-    scored, words = phrase_scores(docs, longest, least, text, lang, range_rows)
+    scored, words = phrase_scores(docs, longest, least, text, lang, range_rows, part_bytes)
     part = F.substring("key", 1, 8)
     # those that may be among the best, ties included, before words come back
     top = Window.partitionBy(part).orderBy(F.desc("score"), F.desc("a"))

@@ -8,6 +8,7 @@ to the driver and to the tasks.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +31,13 @@ def in_bitmap(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """Which of the numbers (uint64) may be in the set."""
     slot = numbers & np.uint64(64 * len(bitmap) - 1)
     return ((bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def may_hold(bitmap: np.ndarray):
+    """``in_bitmap`` as a function of a column of longs; no other column goes to Python."""
+
+    @F.pandas_udf("boolean")
+    def held(numbers: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bitmap, numbers.to_numpy(np.int64).view(np.uint64)))
+
+    return held

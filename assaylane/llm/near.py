@@ -8,18 +8,15 @@ Jaccard similarity (sum of minima over sum of maxima). Darts are thrown up to a
 all coordinates are hit, so the work is about one look per element; later times follow for the rest.
 
 Bands of four coordinates are the keys of the join: at similarity 0.8, a pair shares none of the 24
-bands with a probability of 4e-6. Documents with equal weighted sets are one class from the start.
-Members of a key are compared in blocks, by their weights, which bound the similarity, and by a longer
-signature of 256 more coordinates; pairs whose agreement is less than four standard deviations below
-the threshold are checked exactly on their weighted sets. First each block proposes
-only a spanning forest of its best pairs. Components of the links so proven then spare all pairs
-inside them; what is left, pairs between different components, is compared in full, the members
-outside the largest component of a key against all blocks of it. So no link that joins two classes is
-skipped, and no key is expanded into all its pairs.
+bands with a probability of 4e-6. Documents with equal weighted sets are one class from the start. Sets that share a
+key are compared exactly, on their units of weight, and no key is expanded into all its pairs; see ``linking``. The
+sets of candidates are made again from their texts in a scan that a bitmap of the candidates thins out, so texts do not
+move.
 
 Result: one row per document with its class, the least id in it, and the size of the class.
 
-Defined results: null texts and texts without words are alone; a text of fewer than five words is one
+Defined results: null texts and texts without words are alone (those with null ids too, but rows whose made ids agree, as
+those of null texts do, count as one document); a text of fewer than five words is one
 shingle; repeated rows share a class; rows that share an id count as versions of one document and
 join their classes; rows with a null id take a negative id derived from the text for ``class_id``; other columns are ignored;
 an empty table gives an empty table.
@@ -29,14 +26,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylane.llm.common import chunks_by_size, content_key, mixed, tidy_batches
+from assaylane.llm.bitmaps import bitmap_of, in_bitmap
+from assaylane.llm.common import chunks_by_size, mixed, tidy_batches
 from assaylane.llm.components import components
+from assaylane.llm.linking import DETAILS, detail_arrays, linked
 from assaylane.llm.pretokens import LETTER, NUMBER, char_classes
 from assaylane.session import materialize
 
@@ -44,10 +44,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-MORE = 256  # coordinates that only compare members of a key
-BLOCK = 256  # members of a key that are compared at once
 _CHUNK = 1 << 20
-_SMALL = 1 << 10  # pairs that are compared in one array
 
 
 def words_of(text: str) -> list[str]:
@@ -151,148 +148,58 @@ def _band_keys(table: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, the key of its text, two numbers that stand for its weighted set, and the band keys."""
-    for batch in batches:
-        kept, texts = [batch.column(c) for c in ("doc", "k1", "k2")], [t or "" for t in batch.column("text").to_pylist()]
-        for begin, end in chunks_by_size(map(len, texts), _CHUNK):
-            own = texts[begin:end]
-            cells, of = units(*shingles(own))
-            table = signatures(cells, of, len(own))
-            has = np.bincount(of, minlength=len(own)) > 0
-            sums = np.zeros((2, len(own)), np.uint64)
-            np.add.at(sums[0], of, cells)
-            np.add.at(sums[1], of, mixed(cells ^ np.uint64(0x5DEECE66D)))
-            keys = _band_keys(table).astype(np.int64)
-            yield pa.record_batch(
-                [
-                    *(c.slice(begin, end - begin) for c in kept),
-                    pa.array(sums[0].astype(np.int64), mask=~has),
-                    pa.array(sums[1].astype(np.int64), mask=~has),
-                    pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel())),
-                ],
-                names=["doc", "k1", "k2", "c1", "c2", "bands"],
-            )
+_SIGNED = "doc long, c1 long, c2 long, weight long, bands array<long>"
 
 
-_DETAIL = "node long, weight long, sig binary, cells array<long>"
+def _set_keys(cells: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Two numbers that stand for each weighted set."""
+    sums = np.zeros((2, n), np.uint64)
+    np.add.at(sums[0], of, cells)
+    np.add.at(sums[1], of, mixed(cells ^ np.uint64(0x5DEECE66D)))
+    return sums
 
 
-def _detail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What members of a key are compared by: the weight, one byte per coordinate of a longer signature, and the units
-    of weight in order."""
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, two numbers that stand for its weighted set, the weight, and the band keys."""
     for batch in batches:
-        nodes, texts = batch.column("node"), [t or "" for t in batch.column("text").to_pylist()]
+        docs, texts = batch.column("doc"), [t or "" for t in batch.column("text").to_pylist()]
         for begin, end in chunks_by_size(map(len, texts), _CHUNK):
             own = texts[begin:end]
             cells, of = units(*shingles(own))
-            cells = cells[np.lexsort((cells, of))]
             weight = np.bincount(of, minlength=len(own))
-            parts = signatures(cells, of, len(own)), signatures(mixed(cells ^ np.uint64(0x2545F4914F6CDD1D)), of, len(own), MORE)
-            sig = np.ascontiguousarray((np.concatenate(parts, axis=1) >> np.uint64(40)).astype(np.uint8))
-            offsets = np.concatenate([[0], np.cumsum(weight)]).astype(np.int32)
+            sums = _set_keys(cells, of, len(own))
+            keys = _band_keys(signatures(cells, of, len(own))).astype(np.int64)
             yield pa.record_batch(
                 [
-                    nodes.slice(begin, end - begin),
+                    docs.slice(begin, end - begin),
+                    pa.array(sums[0].astype(np.int64), mask=weight == 0),
+                    pa.array(sums[1].astype(np.int64), mask=weight == 0),
                     pa.array(weight, pa.int64()),
-                    pa.array([r.tobytes() for r in sig], pa.binary()),
-                    pa.ListArray.from_arrays(offsets, pa.array(cells.astype(np.int64))),
+                    pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel())),
                 ],
-                names=["node", "weight", "sig", "cells"],
+                names=["doc", "c1", "c2", "weight", "bands"],
             )
 
 
-def _signatures_of(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), COORDINATES + MORE)
-
-
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Coordinates in which rows agree, as sums over slices of the signature."""
-    if len(a) * len(b) <= _SMALL:
-        return (a[:, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int16)
-    out = np.zeros((len(a), len(b)), np.int16)
-    for c in range(a.shape[1]):
-        out += a[:, c, None] == b[None, :, c]
-    return out
-
+def _detail(wanted: np.ndarray):
+    """The units of weight, in order, of texts that may be candidates."""
 
-def _fits(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs of weights that leave room for the threshold."""
-    return np.minimum(a[:, None], b[None, :]) >= threshold * np.maximum(a[:, None], b[None, :]) - 1e-9
-
-
-def _least_agreement(threshold: float) -> int:
-    n = COORDINATES + MORE
-    return math.floor(threshold * n - 4 * math.sqrt(threshold * (1 - threshold) * n))
-
-
-def _forest(threshold: float):
-    """Best pairs that would join the members of a block."""
-    least = _least_agreement(threshold)
-
-    def forest(key: tuple, table: pa.Table) -> pa.Table:
-        nodes, weight, sig = table.column("node").to_numpy(), table.column("weight").to_numpy(), _signatures_of(table)
-        u, v = [], []
-        for begin in range(0, len(nodes), 2 * BLOCK):  # a block by hash is seldom larger
-            part = slice(begin, begin + 2 * BLOCK)
-            own = nodes[part]
-            same = np.where(_fits(weight[part], weight[part], threshold), _agreement(sig[part], sig[part]), -1)
-            # greatest spanning forest, grown from one member at a time
-            best, by = same[0].copy(), np.zeros(len(own), np.int64)
-            free = np.ones(len(own), bool)
-            free[0] = False
-            for _ in range(len(own) - 1):
-                at = int(np.where(free, best, -2).argmax())
-                free[at] = False
-                if best[at] >= least and own[at] != own[by[at]]:
-                    u.append(int(own[at]))
-                    v.append(int(own[by[at]]))
-                closer = same[at] > best
-                best[closer], by[closer] = same[at][closer], at
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return forest
-
-
-def _between(threshold: float):
-    """Pairs of a block and the members outside the largest component of the key, of different components."""
-    least = _least_agreement(threshold)
-
-    def between(key: tuple, table: pa.Table) -> pa.Table:
-        nodes, roots, weight = (table.column(c).to_numpy() for c in ("node", "root", "weight"))
-        own = table.column("own").to_numpy(zero_copy_only=False)
-        minor = ~table.column("major").to_numpy(zero_copy_only=False)
-        sig = _signatures_of(table)
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        of_block, others = np.flatnonzero(own), np.flatnonzero(minor)
-        for begin in range(0, len(others), BLOCK):
-            part = others[begin : begin + BLOCK]
-            same = _agreement(sig[part], sig[of_block])
-            differs = roots[part][:, None] != roots[of_block][None, :]
-            i, j = np.nonzero((same >= least) & differs & _fits(weight[part], weight[of_block], threshold))
-            u.append(nodes[part][i])
-            v.append(nodes[of_block][j])
-        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
-
-    return between
-
-
-def _similar(threshold: float):
-    """Exact check of pairs of weighted sets."""
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def detail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            sides = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("a", "b")]
-            (at_a, a), (at_b, b) = sides
-            for i in range(len(batch)):
-                both = np.concatenate([a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]])
-                both.sort()
-                common = np.count_nonzero(both[1:] == both[:-1])
-                keep[i] = common >= threshold * (len(both) - common) - 1e-9
-            yield pa.record_batch([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep))], names=["u", "v"])
-
-    return similar
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for begin, end in chunks_by_size(map(len, texts), _CHUNK):
+                own = texts[begin:end]
+                cells, of = units(*shingles(own))
+                sums = _set_keys(cells, of, len(own))
+                weight = np.bincount(of, minlength=len(own))
+                keep = in_bitmap(wanted, sums[0]) & (weight > 0)
+                cells = cells[np.lexsort((cells, of))][np.repeat(keep, weight)]
+                yield pa.record_batch(
+                    [pa.array(s[keep].astype(np.int64)) for s in sums] + detail_arrays(cells, weight[keep]),
+                    names=["c1", "c2", "weight", "parity", "cells"],
+                )
+
+    return detail
 
 
 def document_id(key: str, text: str) -> Column:
@@ -305,56 +212,21 @@ def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """``key``, class_id and class_size of every row."""
+    share = Fraction(threshold).limit_denominator(10_000).as_integer_ratio()
     named = docs.select(F.col(key).alias("key"), document_id(key, text).alias("doc"), F.col(text).cast("string").alias("text"))
-    keyed_texts = named.select("doc", *content_key(F.col("text")), "text")
+    rows = named.select("doc", "text")
     # c1 and c2 are null for documents without words, which stay alone
-    signed = materialize(keyed_texts.mapInArrow(tidy_batches(_sign), "doc long, k1 long, k2 long, c1 long, c2 long, bands array<long>"))
-    # a node is a weighted set, with one of its texts; an id may have several
-    sets = signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc", "k1", "k2")).alias("one"), F.first("bands").alias("bands"))
-    nodes = materialize(sets.select("c1", "c2", "one.*", "bands", F.monotonically_increasing_id().alias("node")))
-    banded = nodes.select("node", F.explode("bands").alias("key"))
-    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    keyed = materialize(banded.join(shared, "key").select("key", "node", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")))
-    candidates = keyed.select("node").distinct()
-    details = materialize(
-        keyed_texts.join(nodes.select("node", "doc", "k1", "k2").join(candidates, "node", "left_semi"), ["doc", "k1", "k2"])
-        .dropDuplicates(["doc", "k1", "k2"])
-        .select("node", "text")
-        .mapInArrow(tidy_batches(_detail), _DETAIL)
-    )
-    members = keyed.join(details.select("node", "weight", "sig"), "node")
-
-    def proven(pairs: DataFrame) -> DataFrame:
-        distinct = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        a = details.select(F.col("node").alias("u"), F.col("cells").alias("a"))
-        b = details.select(F.col("node").alias("v"), F.col("cells").alias("b"))
-        both = distinct.join(a, "u").join(b, "v").select("u", "v", "a", "b")
-        return materialize(both.mapInArrow(tidy_batches(_similar(threshold)), "u long, v long"))
-
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    first = proven(
-        members.select("key", block.alias("block"), "node", "weight", "sig").groupBy("key", "block").applyInArrow(_forest(threshold), "u long, v long")
-    )
-    roots = materialize(components(first))
-    labelled = materialize(
-        keyed.join(roots, "node", "left").select("key", "node", "blocks", F.coalesce("root", "node").alias("root"))
-    )
-    by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
-    # the largest component of each key that has several
-    mixed_keys = materialize(
-        by_root.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("roots > 1").select("key", "largest")
-    )
-    left = labelled.join(mixed_keys, "key").join(details.select("node", "weight", "sig"), "node")
-    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    spread = (
-        left.withColumn("major", F.col("root") == F.col("largest"))
-        .withColumn("home", block)
-        .withColumn("block", F.explode(F.when(F.col("major"), F.array("home")).otherwise(everywhere)))
-        .select("key", "block", "node", "root", "weight", "sig", "major", (F.col("home") == F.col("block")).alias("own"))
-    )
-    second = proven(spread.groupBy("key", "block").applyInArrow(_between(threshold), "u long, v long"))
-    known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    final = roots if second.isEmpty() else components(known.union(second))
+    signed = materialize(rows.mapInArrow(tidy_batches(_sign), _SIGNED))
+    # a node is a weighted set; an id may have several
+    sets = signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.max("weight").alias("weight"), F.first("bands").alias("bands"))
+    nodes = materialize(sets.select("*", F.monotonically_increasing_id().alias("node")))
+    banded = nodes.select("node", "weight", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keyed = materialize(banded.join(shared, "key").select("key", "node", "weight"))
+    candidates = materialize(nodes.select("c1", "c2", "node").join(keyed.select("node").distinct(), "node", "left_semi"))
+    found = rows.select("text").mapInArrow(tidy_batches(_detail(bitmap_of(candidates, "c1"))), f"c1 long, c2 long, {DETAILS}")
+    details = materialize(found.dropDuplicates(["c1", "c2"]).join(candidates, ["c1", "c2"]).drop("c1", "c2"))
+    final = linked(keyed, details, share)
     classes = materialize(
         nodes.select("c1", "c2", "node").join(final, "node", "left").select("c1", "c2", F.coalesce("root", "node").alias("root"))
     )

@@ -176,8 +176,11 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text
         )
     )
     names = docs.columns
+    own = F.coalesce(F.col(text).cast("string").rlike(CANDIDATE), F.lit(False))
     first, second = content_key(F.col(text).cast("string"))
-    row = docs.select(F.struct(*names).alias("row"), first.alias("__k1"), second.alias("__k2"))
+    # rows without a candidate stay where they are
+    row = docs.where(own).select(F.struct(*names).alias("row"), first.alias("__k1"), second.alias("__k2"))
     clean = F.aggregate("__values", F.col(f"row.{text}"), lambda t, v: F.replace(t, v["value"], F.lit(mark)))
     joined = row.join(values, ["__k1", "__k2"], "left").withColumn("clean", F.coalesce(clean, F.col(f"row.{text}")))
-    return joined.select(*[F.col("clean").alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in names])
+    told = joined.select(*[F.col("clean").alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in names])
+    return told.union(docs.where(~own))

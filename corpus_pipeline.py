@@ -8,13 +8,17 @@ is None and the tests compare with brute-force versions.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylane.llm import bpe, decontaminate, near, ppm, secrets
+from assaylane.llm.bitmaps import bitmap_of, may_hold
+from assaylane.llm.common import content_key
 from assaylane.session import materialize
 
 LEAST_SCORE = 0.5
+_PLACE = "__row_place"
 
 
 def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -33,15 +37,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.select(*named.columns).toDF(*docs.columns)
 
 
+def _located(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number that tells its stored rows apart however often they are read."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    try:
+        return docs.withColumn(_PLACE, place)
+    except AnalysisException:  # not read from Parquet files
+        return materialize(docs).withColumn(_PLACE, place)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one with the least id; of repeated rows one. Rows without an id go by their text."""
-    columns = docs.columns
-    name = "made_id"
-    while name.lower() in map(str.lower, columns):
-        name += "_"
-    named = docs.withColumn(name, near.document_id("doc_id", "text"))
-    kept = materialize(near.near_duplicates(named, key=name).where(F.col(name) == F.col("class_id")).select(name).distinct())
-    return named.dropDuplicates([name, "text"]).join(kept, name, "left_semi").select(*columns)
+    """One document of each class, the one with the least id; of repeated rows one. Rows without an id go by their text.
+
+    What goes is looked up by the place of a row; texts that stay do not move, but for a few that a bitmap of the
+    places cannot tell apart."""
+    located = _located(docs)
+    named = located.select(near.document_id("doc_id", "text").alias("made_id"), F.col("text").alias("text"), F.col(_PLACE).alias("place"))
+    kept = near.near_duplicates(named, key="made_id").where("made_id = class_id").select("made_id").distinct()
+    rows = materialize(named.select("made_id", *content_key(F.col("text").cast("string")), "place"))
+    one = rows.join(kept, "made_id", "left_semi").groupBy("made_id", "k1", "k2").agg(F.min("place").alias("place"))
+    stay = materialize(one.select(F.col("place").alias(_PLACE)))
+    gone = rows.select(F.col("place").alias(_PLACE)).join(stay, _PLACE, "left_anti")
+    may_go = may_hold(bitmap_of(gone, _PLACE))(F.col(_PLACE))
+    sure, open_ = located.where(~may_go), located.where(may_go).join(stay, _PLACE, "left_semi")
+    return sure.select(*docs.columns).union(open_.select(*docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from assaylane.llm import pretokens
 from assaylane.llm.common import chunks_by_size, parts_for, ragged_index, tidy, total_bytes, worker_cache
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 11 << 20
 SHARD_BYTES = 48 << 20  # bytes of text for each word shard
 
 

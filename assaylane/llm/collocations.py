@@ -4,7 +4,7 @@ Passes over the texts count words, then runs of two and of three words of which
 the phrases all of whose runs are. A phrase can only be frequent if its parts are, so each pass leaves out what the ones
 before it rule out, by bitmaps of a fixed size; a chance hit in one costs a count and no more. Runs are counted in
 sorted streams of their numbers, one for each chunk and range of numbers, which are shuffled as differences of 16 bits
-and merged. Only phrases that passed all of that are shuffled as rows, added up for each chunk.
+and merged. Phrases that passed all of that go the same way, as sorted streams of words and counts.
 
 A phrase is a key: eight bytes for the language and for each word, so that byte order puts every phrase directly after
 its beginnings. The stream of counts, with one row per language for all words, is laid out twice, in the order of the
@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylane.llm.bitmaps import bitmap_of, in_bitmap
+from assaylane.llm.bpe import pack, unpack
 from assaylane.llm.common import mixed, parts_for, tidy_batches, total_bytes
 from assaylane.llm.ngram_join import packed_differences, unpacked_differences
 from assaylane.llm.words import IN_PHRASE, PUNCTUATION, Words, find_words, run_numbers, text_chunks, word_numbers
@@ -48,7 +49,7 @@ UNKNOWN = "und"
 CHUNK = 5 << 20  # bytes of text whose counts are added up at once
 KNOWN_RUNS = 3  # runs of up to so many words are counted before phrases are
 KEPT_BITS = 27  # the bitmap of frequent runs of a length; 16 MB
-PART_BYTES = 128 << 20  # bytes of text whose runs are merged in one task
+PART_BYTES = 48 << 20  # bytes of text whose runs are merged in one task
 RANGE_ROWS = 500_000
 SAMPLE_ROWS = 100  # for each range, to place its bounds
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -209,8 +210,9 @@ def _matrix_keys(matrix: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _count_phrases(known: Sequence[Known], longest: int):
-    """Key and count of the phrases of two words and more all of whose short runs may be frequent."""
+def _phrase_streams(known: Sequence[Known], longest: int, parts: int):
+    """The phrases of two words and more all of whose short runs may be frequent: per chunk and part, the sorted
+    phrases as one array of numbers for each place, and their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, lang, words, numbers in _chunks(batches):
@@ -236,6 +238,7 @@ def _count_phrases(known: Sequence[Known], longest: int):
             reach = reach[order]
             new = np.zeros(len(order), bool)
             new[:1] = True
+            rows, counts = [], []
             for k in range(longest + 1):
                 new[1:] |= matrix[1:, k] != matrix[:-1, k]
                 if k < 2:
@@ -247,13 +250,43 @@ def _count_phrases(known: Sequence[Known], longest: int):
                 # rows of one phrase lie together, and all of them are as long
                 upto = np.concatenate([[0], np.cumsum(long)])
                 edges = np.append(first, len(order))
-                n = upto[edges[1:]] - upto[edges[:-1]]
-                keys = _matrix_keys(matrix[first], np.full(len(first), k + 1))
-                yield pa.record_batch([keys, pa.array(n.astype(np.int64))], names=["key", "n"])
+                counts.append(upto[edges[1:]] - upto[edges[:-1]])
+                rows.append(np.where(np.arange(longest + 1) <= k, matrix[first], 0).astype(np.uint64))
+            if not rows:
+                continue
+            rows, counts = np.concatenate(rows), np.concatenate(counts)
+            part = (_row_numbers(rows) % np.uint64(parts)).astype(np.int64)
+            own = np.unique(part).tolist()
+            blobs = [pack([np.ascontiguousarray(c) for c in rows[part == i].T] + [counts[part == i]]) for i in own]
+            yield pa.record_batch([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "phrases"])
 
     return count
 
 
+def _row_numbers(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        out = mixed(out * _STEP + column)
+    return out
+
+
+def _merged_phrases(longest: int, least: int):
+    """The streams of a part merged: key and count of the phrases that occur ``least`` times."""
+
+    def merged(key: tuple, table: pa.Table) -> pa.Table:
+        streams = [[np.frombuffer(x, np.uint64) for x in unpack(p.as_py())] for p in table.column("phrases")]
+        rows = np.stack([np.concatenate([s[k] for s in streams]) for k in range(longest + 1)], axis=1)
+        n = np.concatenate([s[-1] for s in streams]).astype(np.int64)
+        order = np.lexsort(rows.T[::-1])
+        rows, n = rows[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+        total = np.add.reduceat(n, first)
+        rows, total = rows[first][total >= least], total[total >= least]
+        return pa.table({"key": _matrix_keys(rows, (rows != 0).sum(axis=1)), "n": pa.array(total)})
+
+    return merged
+
+
 # --- streams
 
 
@@ -376,8 +409,8 @@ def phrase_scores(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, t
     known: list[Known] = [partial(in_bitmap, bitmap_of(frequent, "slot"))]
     for _ in range(min(longest, KNOWN_RUNS) - 1):
         known.append(frequent_runs(rows, known, least, size, part_bytes).has)
-    longer = rows.mapInArrow(tidy_batches(_count_phrases(known, longest)), "key binary, n long")
-    longer = longer.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    phrases = rows.mapInArrow(tidy_batches(_phrase_streams(known, longest, parts_for(size, part_bytes))), "part int, phrases binary")
+    longer = phrases.groupBy("part").applyInArrow(_merged_phrases(longest, least), "key binary, n long")
     all_words = words.groupBy("lang").agg(F.sum("n").alias("n")).mapInArrow(_language_keys, "key binary, n long")
     stream = materialize(longer.union(frequent.select("key", "n")).union(all_words))
     n_rows = stream.count()

@@ -68,8 +68,16 @@ def _number(value: object) -> float | None:
 
 
 def join_descriptors(df: DataFrame, descriptors: DataFrame, key: str) -> DataFrame:
-    """Descriptors from a ready table, one row per key; rows without a match keep nulls. No Python."""
-    return df.join(descriptors, on=key, how="left")
+    """Descriptors from a ready table; rows without a match keep nulls. No Python.
+
+    The table counts with one row per key, whichever it is, so no row of ``df`` is doubled. Rows with a null key
+    match nothing and do not go through the join, where all of them would meet in one task.
+    """
+    added = [c for c in descriptors.columns if c != key]
+    once = descriptors.where(col(key).isNotNull()).dropDuplicates([key])
+    joined = df.where(col(key).isNotNull()).join(once, on=key, how="left").select(*[col(c) for c in [*df.columns, *added]])
+    nulls = [F.lit(None).cast(descriptors.schema[c].dataType).alias(c) for c in added]
+    return joined.unionAll(df.where(col(key).isNull()).select(*[col(c) for c in df.columns], *nulls))
 
 
 def expand_vector(df: DataFrame, vector: str, prefix: str, size: int) -> DataFrame:

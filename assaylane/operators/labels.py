@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import floor
 
 from pyspark.sql import DataFrame
@@ -67,20 +68,30 @@ def class_distribution(df: DataFrame, y: str = "activo") -> DataFrame:
     return df.groupBy(col(y)).agg(F.count("*").alias("n")).orderBy(col(y))
 
 
-def class_sizes(df: DataFrame, y: str) -> DataFrame:
-    """``g, k``: rows per class, written once, for any number of classes. A missing label is an error."""
+@dataclass
+class ClassSizes:
+    """``g, k``: rows per class, written once, for any number of classes; and what all classes have together."""
+
+    table: DataFrame
+    rows: int
+    classes: int
+    largest: int
+
+
+def class_sizes(df: DataFrame, y: str) -> ClassSizes:
+    """Rows per class. A missing label is an error."""
     counted = materialize(df.groupBy(col(y).alias("g")).agg(F.count("*").alias("k")))
-    if not counted.where("g IS NULL").isEmpty():
+    facts = counted.agg(F.sum("k").alias("n"), F.count("*").alias("c"), F.max("k").alias("m"), F.count_if(F.col("g").isNull()).alias("missing")).first()
+    if facts["missing"]:
         raise ValueError(f"{y} has missing labels")
-    return counted
+    return ClassSizes(counted, facts["n"] or 0, facts["c"], facts["m"] or 0)
 
 
 def with_class_weight(df: DataFrame, y: str = "activo", out: str = "weight") -> DataFrame:
     """Balanced weight ``n / (classes * n_class)`` per row, joined by class."""
     sizes = class_sizes(df, y)
-    whole = sizes.agg(F.sum("k").alias("n"), F.count("*").alias("classes")).first()
-    if not whole["n"]:
+    if not sizes.rows:
         return df.withColumn(out, F.lit(None).cast("double"))
-    weight = F.lit(float(whole["n"])) / (F.lit(whole["classes"]) * F.col("k"))
-    weights = sizes.select(F.col("g").alias("_class"), weight.alias(out))
+    weight = F.lit(float(sizes.rows)) / (F.lit(sizes.classes) * F.col("k"))
+    weights = sizes.table.select(F.col("g").alias("_class"), weight.alias(out))
     return df.drop(out).join(weights, col(y) == F.col("_class")).drop("_class")

@@ -8,6 +8,7 @@ join with one row per class.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from assaylane.fixed import ROW_INDEX, SEED
 from assaylane.functions.seeds import seed_hash
 from assaylane.operators.columns import col
-from assaylane.operators.labels import class_sizes
+from assaylane.operators.labels import ClassSizes, class_sizes
 from assaylane.operators.ordering import ordered_index
 from assaylane.operators.selection import ABOVE_ALL, BELOW_ALL, order_key, rank_cuts
 from assaylane.session import materialize
@@ -25,26 +26,21 @@ SPLITS = ("train", "val", "test")
 _MADE = "_made_row_index"
 
 
-def allocated(classes: DataFrame, rows: str, size: Column, out: str) -> DataFrame:
-    """Share ``size`` rows over classes of ``rows`` rows in proportion, leftovers to the largest remainders.
+def allocated(classes: DataFrame, rows: str, size: int, n: int, out: str) -> DataFrame:
+    """Share ``size`` of ``n`` rows over classes of ``rows`` rows in proportion, leftovers to the largest remainders.
 
-    ``classes`` has one row per class ``g``; ``size`` may use the total ``n``.
+    ``classes`` has one row per class ``g``; only these rows are ordered in one task.
     """
-    whole = Window.partitionBy(F.lit(0))
-    share = F.try_divide(F.col("size") * F.col(rows), F.col("n"))
-    shares = (
-        classes.withColumn("n", F.sum(rows).over(whole))
-        .withColumn("size", size)
-        .withColumn("share", F.coalesce(share, F.lit(0.0)))
-        .withColumn("given", F.floor("share").cast("long"))
-    )
+    share = F.lit(float(size)) * F.col(rows) / F.lit(n) if n else F.lit(0.0)
+    shares = classes.withColumn("share", share).withColumn("given", F.floor("share").cast("long"))
     by_remainder = Window.partitionBy(F.lit(0)).orderBy((F.col("share") - F.col("given")).desc(), F.col("g"))
-    ranked = shares.withColumn("nth", F.row_number().over(by_remainder)).withColumn("placed", F.sum("given").over(whole))
-    extra = (F.col("nth") <= F.col("size") - F.col("placed")).cast("long")
+    whole = by_remainder.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = shares.select("*", F.row_number().over(by_remainder).alias("nth"), F.sum("given").over(whole).alias("placed"))
+    extra = (F.col("nth") <= F.lit(size) - F.col("placed")).cast("long")
     return ranked.select(*classes.columns, (F.col("given") + extra).alias(out))
 
 
-def split_sizes(sizes: DataFrame, train: float, val: float) -> DataFrame:
+def split_sizes(sizes: ClassSizes, train: float, val: float) -> DataFrame:
     """Rows per class and split (``n_train``, ``n_val``): train first, then the rest by ``val / (val + test)``."""
     if not 0 < train < 1:
         raise ValueError("train must be in (0, 1)")
@@ -52,10 +48,12 @@ def split_sizes(sizes: DataFrame, train: float, val: float) -> DataFrame:
         raise ValueError("val must be in [0, 1)")
     if not train + val < 1:
         raise ValueError("train + val must be below 1")
-    test = 1.0 - train - val
-    in_train = allocated(sizes, "k", F.floor(F.lit(train) * F.col("n")).cast("long"), "n_train")
+    n, test = sizes.rows, 1.0 - train - val
+    n_train = floor(train * n)
+    n_val = floor(val / (val + test) * (n - n_train))
+    in_train = allocated(sizes.table, "k", n_train, n, "n_train")
     rest = in_train.withColumn("rest", F.col("k") - F.col("n_train"))
-    return allocated(rest, "rest", F.floor(F.lit(val / (val + test)) * F.col("n")).cast("long"), "n_val").drop("rest")
+    return allocated(rest, "rest", n_val, n - n_train, "n_val").drop("rest")
 
 
 def stratified_split(
@@ -72,9 +70,10 @@ def stratified_split(
 
     ``ties`` tells rows with one id apart: ``row_idx`` where the table has it, else an index made when needed.
     """
-    sizes = split_sizes(class_sizes(df, y), train, val)
+    classes = class_sizes(df, y)
+    sizes = split_sizes(classes, train, val)
     ends = [F.col("n_train"), F.col("n_train") + F.col("n_val")]
-    return _assign(df, y, id_col, sizes, ends, list(SPLITS), seed, out, ties)
+    return _assign(df, y, id_col, sizes, classes.largest, ends, list(SPLITS), seed, out, ties)
 
 
 def stratified_folds(
@@ -84,12 +83,13 @@ def stratified_folds(
     if k < 2:
         raise ValueError("k must be 2 or more")
     ends = [F.floor(F.col("k") * j / k).cast("long") for j in range(1, k)]
-    return _assign(df, y, id_col, class_sizes(df, y), ends, list(range(k)), seed, out, ties)
+    classes = class_sizes(df, y)
+    return _assign(df, y, id_col, classes.table, classes.largest, ends, list(range(k)), seed, out, ties)
 
 
 def _assign(
-    df: DataFrame, y: str, id_col: str, sizes: DataFrame, ends: Sequence[Column], names: list, seed: int, out: str,
-    ties: str | None,
+    df: DataFrame, y: str, id_col: str, sizes: DataFrame, largest: int, ends: Sequence[Column], names: list, seed: int,
+    out: str, ties: str | None,
 ) -> DataFrame:
     """``names[i]`` for the rows of a class whose rank lies after end ``i-1`` and up to end ``i``."""
     ties = ties or (ROW_INDEX if ROW_INDEX in df.columns else None)
@@ -97,12 +97,11 @@ def _assign(
     kind = "string" if isinstance(names[0], str) else "int"
     ranks = F.array(*[F.struct(F.lit(i).alias("slot"), e.alias("rank")) for i, e in enumerate(ends)])
     wanted = materialize(sizes.select("g", "k", F.explode(ranks).alias("w")).select("g", "k", "w.slot", "w.rank"))
-    largest = wanted.agg(F.max("k")).first()[0] or 0
     inner = wanted.where("rank > 0 AND rank < k").select("g", "slot", "rank")
     found = rank_cuts(df.select(col(y).alias("g"), key.alias("key")), inner, largest)
     if not found.where("tied").isEmpty():  # the cut falls between rows with one id
         indexed = with_row_index(df, _MADE)
-        return _assign(indexed, y, id_col, sizes, ends, names, seed, out, _MADE).drop(_MADE)
+        return _assign(indexed, y, id_col, sizes, largest, ends, names, seed, out, _MADE).drop(_MADE)
     edge = F.when(F.col("rank") <= 0, BELOW_ALL).when(F.col("rank") >= F.col("k"), ABOVE_ALL).otherwise(F.col("cut"))
     cuts = (
         wanted.join(found, ["g", "slot"], "left")
@@ -112,7 +111,7 @@ def _assign(
     chosen = F.lit(names[-1])
     for i in reversed(range(len(ends))):
         chosen = F.when(F.col("_key") <= F.col(f"_cut{i}"), F.lit(names[i])).otherwise(chosen)
-    placed = df.drop(out).withColumn("_key", key).join(materialize(cuts), col(y) == F.col("_class"))
+    placed = df.drop(out).withColumn("_key", key).join(cuts, col(y) == F.col("_class"))
     return placed.withColumn(out, chosen.cast(kind)).select(*[col(c) for c in df.columns if c != out], out)
 
 

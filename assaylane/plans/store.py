@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
 from datetime import datetime
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,9 @@ from assaylane.sources.files import write_table
 INFO_SCHEMA = "section string, key string, value string"
 
 
-def save_model(model: Ensemble, path: str, meta: dict | None = None, tables: Mapping[str, DataFrame] | None = None) -> None:
+def save_model(
+    model: Ensemble, path: str, meta: dict | None = None, tables: Mapping[str, DataFrame] | None = None, parallelism: int = 4
+) -> None:
     """Store the MLlib models, a one-row record (features, medians, configuration, history, ``meta``) and further
     tables beside them, as one new version of ``path``."""
     spark = SparkSession.getActiveSession()
@@ -33,10 +38,15 @@ def save_model(model: Ensemble, path: str, meta: dict | None = None, tables: Map
     text = spark.createDataFrame([(json.dumps(record, ensure_ascii=False),)], "record string")
 
     def write(folder: str) -> None:
-        PipelineModel(model.models).write().save(f"{folder}/models")
-        text.coalesce(1).write.parquet(f"{folder}/record")
-        for name, table in (tables or {}).items():
-            write_table(table, f"{folder}/{name}")
+        """All parts at once, as each is a few small jobs."""
+        parts = [
+            lambda: PipelineModel(model.models).write().save(f"{folder}/models"),
+            lambda: write_table(text.coalesce(1), f"{folder}/record"),
+            *(partial(write_table, table, f"{folder}/{name}") for name, table in (tables or {}).items()),
+        ]
+        run = inheritable_thread_target(spark)(lambda part: part())
+        with ThreadPoolExecutor(parallelism) as pool:
+            list(pool.map(run, parts))
 
     versions.replace(spark, path, write)
 

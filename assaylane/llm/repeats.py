@@ -218,7 +218,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     )
     try:
         texts = spark.table(table)
-        found = texts.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text").mapInArrow(_find_anchors, _ANCHOR)
+        long = texts.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text")
+        found = materialize(long.mapInArrow(_find_anchors, _ANCHOR))  # read twice, made once
         shared = _twice(found, "bucket")
         rows = materialize(found.join(shared, found["bucket"] == shared["id"], "left_semi"))
         twice = _twice(rows, "whole")

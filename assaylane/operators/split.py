@@ -8,6 +8,7 @@ join with one row per class.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,10 +128,10 @@ def split_ids(df: DataFrame, id_col: str, split: str = "split") -> DataFrame:
 
 
 def split_table_wide(df: DataFrame, id_col: str, order_by: str, split: str = "split") -> DataFrame:
-    """Ids of the three splits side by side, each in ``order_by`` order, padded with nulls."""
-    frames = [df.where(col(split) == s).select(col(id_col).cast("string").alias(f"{s}_ids"), col(order_by).alias("_o"))
-              for s in SPLITS]
-    return zip_columns(frames, "_o")
+    """Ids of the three splits side by side, each in ``order_by`` order, padded with nulls. One pass over ``df``."""
+    place = F.array_position(F.array(*[F.lit(s) for s in SPLITS]), col(split)) - 1
+    stacked = df.select(place.cast("int").alias("_list"), col(order_by).alias("_order"), col(id_col).cast("string").alias("_value"))
+    return _side_by_side(stacked.where("_list >= 0"), [f"{s}_ids" for s in SPLITS])
 
 
 def zip_columns(frames: list[DataFrame], order_by: str) -> DataFrame:
@@ -139,13 +140,15 @@ def zip_columns(frames: list[DataFrame], order_by: str) -> DataFrame:
     The shorter ones are padded with nulls. Positions are numbered range by range, then matched.
     """
     names = [next(c for c in f.columns if c != order_by) for f in frames]
-    stacked = None
-    for i, frame in enumerate(frames):
-        part = frame.select(
-            F.lit(i).alias("_list"), col(order_by).alias("_order"), col(names[i]).cast("string").alias("_value")
-        )
-        stacked = part if stacked is None else stacked.unionByName(part)
-    # one numbering over all lists; a list's own positions start at its lowest number
+    parts = [
+        frame.select(F.lit(i).alias("_list"), col(order_by).alias("_order"), col(names[i]).cast("string").alias("_value"))
+        for i, frame in enumerate(frames)
+    ]
+    return _side_by_side(reduce(DataFrame.unionByName, parts), names)
+
+
+def _side_by_side(stacked: DataFrame, names: list[str]) -> DataFrame:
+    """The values of list 0, 1, ... as columns. One numbering covers all lists; a list starts at its lowest number."""
     numbered = ordered_index(stacked, [F.col("_list"), F.col("_order")], "_rn", start=0)
     starts = {r["_list"]: r["s"] for r in numbered.groupBy("_list").agg(F.min("_rn").alias("s")).collect()}
     start = F.lit(0)

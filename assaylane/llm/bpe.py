@@ -208,8 +208,18 @@ def _own_ids(path: str, text: str) -> bytes:
     return np.array(encoder(path).encode_ordinary(text), "<u4").tobytes()
 
 
-def _assemble(path: str, shards: int, schema: pa.Schema):
-    """Texts of a block and the answers it got -> the ids of every text."""
+def _binary(ends: np.ndarray, data: bytes) -> pa.Array:
+    """Values that lie one after the other; ``ends`` begins with 0."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _decoded(path: str, ids: bytes) -> bytes:
+    """The bytes of the ids of one text."""
+    return token_bytes(path).join(np.frombuffer(ids, "<u4"))[0].tobytes()
+
+
+def _assemble(path: str, shards: int, schema: pa.Schema, with_decoded: bool):
+    """Texts of a block and the answers it got -> the ids of every text, and the bytes that they decode to."""
 
     def assemble(texts: pa.Table, answers: pa.Table) -> pa.Table:
         plain = _texts(texts)
@@ -231,7 +241,7 @@ def _assemble(path: str, shards: int, schema: pa.Schema):
             joined = joined[ragged_index(starts, counts)]
         else:
             joined = np.zeros(0, np.uint32)
-        table, columns = token_bytes(path), [pa.array([], pa.binary())]
+        table, columns, back = token_bytes(path), [pa.array([], pa.binary())], [pa.array([], pa.binary())]
         at = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset :]
         data = np.frombuffer(plain.buffers()[2] or b"", np.uint8)
         for begin, end, of_range, first in block.ids(counts, joined):
@@ -239,20 +249,29 @@ def _assemble(path: str, shards: int, schema: pa.Schema):
             ends = np.concatenate([[0], np.cumsum(lengths)])[first]
             bounds = at[begin : end + 1]
             if np.array_equal(ends, bounds - bounds[0]) and np.array_equal(decoded, data[bounds[0] : bounds[-1]]):
-                offsets, of_all = pa.array((first * 4).astype(np.int32)), pa.py_buffer(of_range.astype("<u4").tobytes())
-                columns.append(pa.Array.from_buffers(pa.binary(), end - begin, [None, offsets.buffers()[1], of_all]))
+                columns.append(_binary(first * 4, of_range.astype("<u4").tobytes()))
+                if with_decoded:
+                    back.append(_binary(ends, decoded.tobytes()))
             else:
-                columns.append(pa.array([_own_ids(path, t) for t in plain[begin:end].to_pylist()], pa.binary()))
+                own = [_own_ids(path, t) for t in plain[begin:end].to_pylist()]
+                columns.append(pa.array(own, pa.binary()))
+                if with_decoded:
+                    back.append(pa.array([_decoded(path, v) for v in own], pa.binary()))
         out = texts.drop_columns(["block", "text"]).append_column("ids", pa.chunked_array(columns))
+        if with_decoded:
+            out = out.append_column("decoded", pa.chunked_array(back))
         return out.cast(schema)
 
     return tidy(assemble)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_decoded: bool = False
+) -> DataFrame:
     """The ids of every whole text, as little-endian unsigned 32-bit integers in ``ids``.
 
-    ``path``: a vocabulary file that the executors can read, too. ``keep``: columns to carry along.
+    ``path``: a vocabulary file that the executors can read, too. ``keep``: columns to carry along. ``with_decoded`` adds
+    what ``decode`` would: the ids are joined with the token-byte table where they are made, in the same Python worker.
     """
     size = total_bytes(docs, text)
     blocks, shards = parts_for(size, BLOCK_BYTES), parts_for(size, SHARD_BYTES)
@@ -267,13 +286,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     kept = dealt.select(*names)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(kept.schema).append(pa.field("ids", pa.binary()))
+    made = ["ids", "decoded"] if with_decoded else ["ids"]
+    schema = to_arrow_schema(kept.schema)
+    for name in made:
+        schema, kept = schema.append(pa.field(name, pa.binary())), kept.withColumn(name, F.lit(b""))
     done = (
         dealt.groupBy("block")
         .cogroup(answered.groupBy("block"))
-        .applyInArrow(_assemble(path, shards, schema), kept.withColumn("ids", F.lit(b"")).schema)
+        .applyInArrow(_assemble(path, shards, schema, with_decoded), kept.schema)
     )
-    return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "ids")
+    return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *made)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -297,7 +319,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Encodes and decodes ``documents``: counts, and SHA-256 of ids and of decoded bytes."""
-    return decode(encode(docs, path), path).select(
+    return encode(docs, path, with_decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -63,6 +63,8 @@ def test_bpe(docs, none, rows):
     got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs, BYTE_BPE).collect())
     assert got == Counter((i, *bpe.digest_of(t, BYTE_BPE)) for i, t, _ in rows)
     assert bpe.digests(none, BYTE_BPE).collect() == []
+    plain, fused = bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE), bpe.encode(docs, BYTE_BPE, with_decoded=True)
+    assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, fused.collect()))
 
 
 def test_token_counts(docs, none, rows):

@@ -79,7 +79,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode(materialize(bpe.encode(docs, path, keep=("doc_id", "lang", "source"))), path)
+    decoded = bpe.encode(docs, path, keep=("doc_id", "lang", "source"), with_decoded=True)
     return decoded.select(
         "doc_id",
         "lang",

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaylane.batches import pieces
 from assaylane.fixed import TRUE_TEXTS
 
 WHITE_SPACE = "".join(chr(i) for i in range(0x10000) if chr(i).isspace())
@@ -38,9 +41,15 @@ def truthy(col: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _to_ascii(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+def _plain(text: str | None) -> str | None:
+    return None if text is None else unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
+
+
+@F.arrow_udf(T.StringType())
+def _to_ascii(texts: pa.Array) -> pa.Array:
+    """Piece by piece, as the texts of a batch and their decomposed forms take many times its size."""
+    done = [pa.array(map(_plain, texts.slice(a, b - a).to_pylist()), texts.type) for a, b in pieces(texts)]
+    return pa.concat_arrays(done)
 
 
 def clean_text(col: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaylane.batches import pieces
 from assaylane.operators.columns import col
 
 # What a featuriser returns for one valid text: its canonical key and named numbers.
@@ -39,7 +40,7 @@ def with_descriptors(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurize = make_featurizer()
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in pieces(whole.column(text_col))):
             found = [_featurize_one(featurize, text) for text in batch.column(text_col).to_pylist()]
             # the other columns pass through as they are
             arrays = [batch.column(c) for c in kept_names]

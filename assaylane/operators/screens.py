@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaylane.batches import pieces
 from assaylane.functions.literals import required_literal
 from assaylane.functions.rules import lipinski_violations, veber_violations
 from assaylane.operators.columns import col
@@ -87,11 +88,16 @@ def _pieces(entries: Sequence[tuple[str, str, str]], most: int) -> Iterator[list
     yield held
 
 
+def _mapped(texts: pa.Array, fn: Callable, kind: pa.DataType) -> pa.Array:
+    """``fn`` of every text, piece by piece, as the texts of a batch take a multiple of its size as Python objects."""
+    return pa.concat_arrays([pa.array(map(fn, texts.slice(a, b - a).to_pylist()), kind) for a, b in pieces(texts)])
+
+
 def _entries_with_literals(literals: Sequence[str]):
     """A function of texts that lists the places of the literals that occur in each, found in one search."""
 
-    @F.pandas_udf("array<int>")
-    def entries(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def entries(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         places: dict[str, list[int]] = {}
         for i, literal in enumerate(literals):
             places.setdefault(literal, []).append(i)
@@ -109,7 +115,7 @@ def _entries_with_literals(literals: Sequence[str]):
             return sorted(hits)
 
         for batch in batches:
-            yield batch.map(search)
+            yield _mapped(batch, search, pa.list_(pa.int32()))
 
     return entries
 
@@ -153,8 +159,8 @@ def match_terms_with(
     exception) means an invalid text: flag 0, no terms.
     """
 
-    @F.pandas_udf("array<string>")
-    def terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         match = make_matcher()
 
         def one(text: object) -> list[str]:
@@ -166,7 +172,7 @@ def match_terms_with(
                 return []
 
         for batch in batches:
-            yield batch.map(one)
+            yield _mapped(batch, one, pa.list_(pa.string()))
 
     return _with_terms(df, terms(col(text_col)), prefix)
 

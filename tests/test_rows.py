@@ -1,5 +1,6 @@
 """Filters, columns, scalar functions, screens and dedup on hand-made rows."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,3 +302,33 @@ def test_filter_reaches_the_scan(spark, assay, tmp_path, capsys):
     assert "EqualTo(`Target ChEMBL ID`,CHEMBL332)" in plan
     schema = next(line for line in plan.splitlines() if line.startswith("ReadSchema"))
     assert "Standard Units" in schema and "Smiles" not in schema
+
+
+def test_texts_are_objects_piece_by_piece(monkeypatch):
+    from pyspark.sql import types as T
+
+    from assaylane import batches
+    from assaylane.functions import text as texts
+    from assaylane.operators import enrich, screens
+
+    long = pa.array(["é" * 300_000, None, "ﬁx", ""] * 5)
+    parts = list(batches.pieces(long))
+    assert len(parts) >= 3 and [i for a, b in parts for i in range(a, b)] == list(range(20))
+    assert list(batches.pieces(long.slice(0, 0))) == [(0, 0)] and list(batches.pieces(pa.array([1, 2]))) == [(0, 2)]
+    seen = []
+    for module in (texts, enrich, screens):
+        monkeypatch.setattr(module, "pieces", lambda c: [seen.append((a, b)) or (a, b) for a, b in batches.pieces(c)])
+    assert texts._to_ascii.func(long).to_pylist() == ["e" * 300_000, None, "fix", ""] * 5
+    assert seen == parts
+    firsts = screens._mapped(long, lambda t: [t[:1]] if t else None, pa.list_(pa.string()))
+    assert firsts.to_pylist() == [["é"], None, ["ﬁ"], None] * 5
+
+    class Rows:
+        schema = T.StructType([T.StructField("t", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = enrich.with_descriptors(Rows(), "t", lambda: lambda t: (t[:1], {"n": len(t)}), ["n"])
+    found = list(run(iter([pa.record_batch([long], names=["t"])])))
+    assert len(found) == len(parts) and pa.Table.from_batches(found).column("n").to_pylist() == [300_000.0, None, 2.0, None] * 5

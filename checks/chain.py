@@ -19,7 +19,7 @@ from assaylane.session import scratch_path
 from assaylane.sources import files
 from checks.registry import query
 from checks.rows import CATALOG, CATALOG_SQL, _text_features
-from checks.standins import ASSAY_SQL, assay, table
+from checks.standins import ASSAY_SQL, assay, in_ranges, table
 
 # A raw export out of documents: the structure is the text, the value its length.
 EXPORT = [
@@ -69,7 +69,7 @@ def export(spark, d) -> str:
     """The raw export as a folder of CSV files, in the order of the documents."""
     path = scratch_path(spark, "raw")
     rows = table(spark, d, "documents").selectExpr("doc_id", *[f"{e} AS `{n}`" for e, n in EXPORT])
-    ordered = rows.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").drop("doc_id")
+    ordered = in_ranges(rows, "doc_id", "Smiles").drop("doc_id")
     ordered.write.csv(path, header=True, sep=";", **files.CELLS)
     return path
 

@@ -7,6 +7,7 @@ the query and its SQL start from the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Raw assay export out of events: type and unit by event type, the rest by the digits in props.
 ASSAY = [
@@ -72,6 +73,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+RANGE_BYTES = 64 << 20
+
+
+def in_ranges(df: DataFrame, key: str, text: str, range_bytes: int = RANGE_BYTES, least: int = 3) -> DataFrame:
+    """Rows sorted by ``key`` in ranges of about ``range_bytes`` of text: their number follows from the table, so what one
+    task sorts and writes stays the same however large the table is."""
+    size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    return df.repartitionByRange(max(least, -(-size // range_bytes)), key).sortWithinPartitions(key)
+
+
 def standin(spark: SparkSession, folder: str, source: str, columns: list[tuple[str, str]]) -> DataFrame:
     return table(spark, folder, source).selectExpr(*[f"{e} AS `{n}`" for e, n in columns])
 

@@ -189,3 +189,20 @@ def test_hashes_of_every_table(spark, data):
                 want[name] = hashlib.sha256(f.read()).hexdigest()
     got = {os.path.basename(r["path"]): r["sha256"] for r in QUERIES["file_hashes"](spark, data).collect()}
     assert "lineitem.parquet" in got and got == {n: want[n] for n in got} and len(got) == len(want)
+
+
+def test_exports_are_sorted_in_ranges_that_follow_from_the_table(spark, tmp_path, monkeypatch):
+    from checks import chain, standins, tables
+    from checks.registry import QUERIES
+
+    df = spark.createDataFrame([(i * 7 % 200, "x" * 1_000) for i in range(200)], "id long, `a text` string")
+    ranges = standins.in_ranges(df, "id", "a text", range_bytes=10_000)
+    assert ranges.rdd.getNumPartitions() == 20 and [r.id for r in ranges.collect()] == list(range(200))
+    assert standins.in_ranges(df, "id", "a text").rdd.getNumPartitions() == 3
+    docs = spark.createDataFrame([(i * 7 % 100, "a b " * 500, 2_000) for i in range(100)], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for module in (chain, tables):
+        monkeypatch.setattr(module, "in_ranges", lambda *a: standins.in_ranges(*a, range_bytes=20_000))
+    assert len([f for f in os.listdir(chain.export(spark, str(tmp_path)).removeprefix("file:")) if f.endswith(".csv")]) > 3
+    got = [tuple(r) for r in QUERIES["rows_indexed"](spark, str(tmp_path)).orderBy("row_idx").collect()]
+    assert got == [(i, str(i)) for i in range(100)]

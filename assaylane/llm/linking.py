@@ -181,9 +181,11 @@ def _compare(share: tuple[int, int], forest: bool):
     return compare
 
 
-def _between(keyed: DataFrame, details: DataFrame, roots: DataFrame, share: tuple[int, int], forest: bool, block: int) -> DataFrame:
-    """Pairs that may be similar, of members of common keys in different components."""
-    labelled = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+def _between(held: DataFrame, details: DataFrame, roots: DataFrame, share: tuple[int, int], forest: bool, block: int) -> DataFrame:
+    """Pairs that may be similar, of members of common keys in different components. ``held``: node and the list of its
+    common keys, so that a node meets its root once and not once for each key."""
+    rooted = held.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "keys")
+    labelled = materialize(rooted.select(F.explode("keys").alias("key"), "node", "root"))
     by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed_keys = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("family"))
     family = materialize(labelled.join(mixed_keys.where("roots > 1").select("key", "family"), "key").select("family", "node", "root").distinct())
@@ -216,11 +218,11 @@ def linked(keyed: DataFrame, details: DataFrame, share: tuple[int, int], few: in
     ends = common.select(F.col("node").alias("u"), F.explode(F.array("low", "high")).alias("v"))
     first = proven(near.union(ends), details, share)
     roots = materialize(components(first))
-    common = common.select("key", "node")
-    if common.isEmpty():
+    held = materialize(common.groupBy("node").agg(F.collect_list("key").alias("keys")))
+    if held.isEmpty():
         return roots
     for forest in (True, False):
-        found = proven(_between(common, details, roots, share, forest, block), details, share)
+        found = proven(_between(held, details, roots, share, forest, block), details, share)
         if not found.isEmpty():
             known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
             roots = materialize(components(known.union(found)))

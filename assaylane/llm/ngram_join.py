@@ -25,7 +25,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 from math import ceil
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylane.llm.bitmaps import bitmap_of, in_bitmap
-from assaylane.llm.common import mixed, parts_for, tidy_batches, total_bytes
+from assaylane.llm.common import mixed, parts_for, tidy, tidy_batches, total_bytes
 from assaylane.llm.linking import DETAILS, detail_arrays, linked
 from assaylane.llm.words import NOT_SPACE, find_words, run_numbers, text_chunks, word_numbers
 from assaylane.session import materialize
@@ -101,6 +101,32 @@ def unpacked_differences(data: bytes, begin: int) -> np.ndarray:
     return begin + np.cumsum(gaps, dtype=np.int64)[gaps != _ESCAPE]
 
 
+def merged_differences(streams: Sequence[bytes | pa.Buffer], begin: int) -> np.ndarray:
+    """The numbers of several streams in ascending order, in one array that is filled and sorted in place."""
+    sizes = [int(np.count_nonzero(np.frombuffer(s, np.uint16) != _ESCAPE)) for s in streams]
+    out, at = np.empty(sum(sizes), np.int64), 0
+    for stream, size in zip(streams, sizes, strict=True):
+        out[at : at + size] = unpacked_differences(stream, begin)
+        at += size
+    out.sort()
+    return out
+
+
+def repeated(ids: np.ndarray, least: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that an ascending array has ``least`` times or more, and how often; found block by block, as most
+    tokens come once."""
+    numbers, counts, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < len(ids):
+        end = int(np.searchsorted(ids, ids[min(at + block, len(ids)) - 1], "right"))  # the last run is whole
+        own = ids[at:end]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        n = np.diff(np.append(first, len(own)))
+        numbers.append(own[first][n >= least])
+        counts.append(n[n >= least])
+        at = end
+    return np.concatenate(numbers), np.concatenate(counts)
+
+
 def _streams(bits: int, parts: int):
     """Per chunk and part of the number range: the sorted truncated tokens of distinct sets."""
     edges = [(i << bits) // parts for i in range(parts + 1)]
@@ -109,7 +135,11 @@ def _streams(bits: int, parts: int):
         held, size, seen = [], 0, set()
 
         def flush() -> pa.RecordBatch:
-            ids = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]) >> np.uint64(64 - bits)).astype(np.int64)
+            ids = np.concatenate([np.zeros(0, np.uint64), *held])
+            held.clear()
+            ids >>= np.uint64(64 - bits)
+            ids.sort()
+            ids = ids.view(np.int64)  # at most 60 bits
             cuts = np.searchsorted(ids, edges)
             own = [i for i in range(parts) if cuts[i] < cuts[i + 1]]
             blobs = [packed_differences(ids[cuts[i] : cuts[i + 1]], edges[i]) for i in own]
@@ -123,7 +153,7 @@ def _streams(bits: int, parts: int):
                 size += chunk.nbytes
                 if size >= COUNT_CHUNK:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         yield flush()
 
     return streams
@@ -147,10 +177,10 @@ def _frequent(bits: int, parts: int, rare: int, shared_bits: int):
 
     def frequent(key: tuple, table: pa.Table) -> pa.Table:
         begin = (key[0].as_py() << bits) // parts
-        ids = np.sort(np.concatenate([unpacked_differences(b, begin) for b in table.column("ids").to_pylist()]))
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-        n = np.diff(np.append(first, len(ids)))
-        shared = ids[first][n >= 2] >> (bits - shared_bits)
+        ids = merged_differences([b.as_buffer() for b in table.column("ids")], begin)
+        numbers, n = repeated(ids, min(rare, 2))
+        del ids
+        shared = numbers[n >= 2] >> (bits - shared_bits)
         at = int(shared[0]) >> 3 if len(shared) else 0
         marks = np.zeros(((int(shared[-1]) >> 3) - at + 1) * 8 if len(shared) else 0, np.uint8)
         marks[shared - 8 * at] = 1
@@ -159,7 +189,7 @@ def _frequent(bits: int, parts: int, rare: int, shared_bits: int):
             {
                 "at": pa.array([at], pa.int64()),
                 "shared": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary()),
-                "ids": pa.array([ids[first][keep]], pa.list_(pa.int64())),
+                "ids": pa.array([numbers[keep]], pa.list_(pa.int64())),
                 "counts": pa.array([n[keep].astype(np.int64)], pa.list_(pa.int64())),
             }
         )
@@ -202,7 +232,7 @@ def token_frequencies(docs: DataFrame, size: int, rare: int = RARE, most: int =
     shared_bits = min(bits, max(20, size.bit_length() - 1), SHARED_BITS)
     blobs = docs.select("text").mapInArrow(tidy_batches(_streams(bits, parts)), "part int, ids binary")
     schema = "at long, shared binary, ids array<long>, counts array<long>"
-    counted = materialize(blobs.groupBy("part").applyInArrow(_frequent(bits, parts, rare, shared_bits), schema))
+    counted = materialize(blobs.groupBy("part").applyInArrow(tidy(_frequent(bits, parts, rare, shared_bits)), schema))
     shared = np.zeros((1 << shared_bits) // 8, np.uint8)
     for row in counted.select("at", "shared").toLocalIterator():
         piece = np.frombuffer(row["shared"], np.uint8)

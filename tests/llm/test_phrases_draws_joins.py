@@ -206,3 +206,28 @@ def test_components_of_a_hub(spark):
     chain = spark.range(5_000, 5_040).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     roots = {r["node"]: r["root"] for r in components.components(hub.union(chain)).collect()}
     assert len(roots) == 2_999 + 40 and set(roots.values()) == {0, 5_000}
+
+
+def test_repeated_numbers_block_by_block():
+    rng = random.Random(4)
+    streams = [sorted(rng.randrange(100, 400) for _ in range(300)) + [900_000] * 2 for _ in range(3)]
+    ids = ngram_join.merged_differences([ngram_join.packed_differences(np.array(s, np.int64), 100) for s in streams], 100)
+    assert ids.tolist() == sorted(sum(streams, []))
+    for least in (1, 2, 4):
+        want = {k: n for k, n in Counter(ids.tolist()).items() if n >= least}
+        for block in (1, 7, 1 << 20):
+            numbers, counts = ngram_join.repeated(ids, least, block)
+            assert dict(zip(numbers.tolist(), counts.tolist(), strict=True)) == want and len(numbers) == len(want)
+    assert [len(a) for a in ngram_join.repeated(ids[:0], 2)] == [0, 0]
+
+
+def test_members_of_common_keys_meet_their_roots_once(spark, monkeypatch):
+    """One row for each node goes through the join, however many keys it has in common with others."""
+    sets = {node: np.array([*range(64), 1_000 + node], np.uint64) for node in range(11)} | {11: np.arange(5_000, 5_064, dtype=np.uint64)}
+    keyed = spark.createDataFrame([(key, node, len(s)) for key in range(30) for node, s in sets.items()], "key long, node long, weight long")
+    rows = [(node, len(s), bytearray(linking.parity(s)), s.tolist()) for node, s in sets.items()]
+    details = spark.createDataFrame(rows, f"node long, {linking.DETAILS}")
+    real, seen = linking._between, []
+    monkeypatch.setattr(linking, "_between", lambda held, *a: seen.append(held.count()) or real(held, *a))
+    assert {tuple(r) for r in linking.linked(keyed, details, (85, 100)).collect()} == {(node, 0) for node in range(1, 11)}
+    assert set(seen) == {len(sets)}

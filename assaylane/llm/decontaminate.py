@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from assaylane.llm.common import tidy_batches, total_bytes, worker_cache
+from assaylane.llm.words import text_chunks
 
 WINDOW = 10
 AUTOMATON_BYTES = 64 << 20  # of windows in one automaton
@@ -115,7 +117,7 @@ def _scan(shard: Broadcast, schema: pa.Schema):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, windows = shard.value
         machine = worker_cache(("automaton", name), lambda: _automaton(windows), large=True)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in text_chunks(whole, "text")):
             texts = batch.column("text").to_pylist()
             n_words, runs, items = [], batch.column("runs").to_pylist(), batch.column("items").to_pylist()
             for i, text in enumerate(texts):
@@ -185,9 +187,11 @@ def find_contamination(
     """Per row of ``docs``: the kept columns, ``text``, n_words, n_hit, ``items`` (ids found, sorted) and
     ``spans``, character offsets (begin, end, begin, end, ...) of the runs of hit words."""
     spark = docs.sparkSession
-    names = [f"kept{i}" for i in range(len(keep))]
+    # a kept column that is the text itself goes to the tasks once
+    plain = docs.select(F.col(text)).schema[0].dataType == T.StringType()
+    names = ["text" if plain and c == text else f"kept{i}" for i, c in enumerate(keep)]
     named = docs.select(
-        *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)],
+        *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True) if n != "text"],
         F.col(text).cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<int>").alias("runs"),
@@ -195,10 +199,13 @@ def find_contamination(
     )
     schema = to_arrow_schema(named.schema)
     scanned = named
-    for shard in _shards(spark, item_windows(items, size, item_id, item_text), automaton_bytes):
+    *others, last = _shards(spark, item_windows(items, size, item_id, item_text), automaton_bytes)
+    for shard in others:
         scanned = scanned.mapInArrow(tidy_batches(_scan(shard, schema)), named.schema)
-    located = scanned.mapInArrow(
-        _locate, named.drop("runs").withColumns({"n_hit": F.lit(0).cast("long"), "spans": F.array().cast("array<int>")}).schema
+    scan = _scan(last, schema)
+    located = scanned.mapInArrow(  # one worker for both steps, as two would hold every batch twice
+        tidy_batches(lambda batches: _locate(scan(batches))),
+        named.drop("runs").withColumns({"n_hit": F.lit(0).cast("long"), "spans": F.array().cast("array<int>")}).schema,
     )
     return located.select(
         *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)],

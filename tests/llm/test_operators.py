@@ -133,6 +133,18 @@ def test_decontamination(spark, docs, none, rows):
     assert text[a:b] == " ".join(base[20:45])
 
 
+def test_decontamination_takes_each_text_once_to_one_worker(spark, docs, rows):
+    table = spark.createDataFrame([(1, " ".join(rows[0][1].split()[20:45]))], "item_id long, text string")
+    found = decontaminate.find_contamination(docs, table, keep=("doc_id", "text"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    plain = decontaminate.find_contamination(docs, table)
+    assert found.columns == plain.columns
+    assert Counter(map(str, found.collect())) == Counter(map(str, plain.collect()))
+    binary = docs.withColumn("raw", F.col("text").cast("binary"))
+    kept = decontaminate.find_contamination(binary, table, text="raw", keep=("doc_id", "raw"))
+    assert dict(kept.dtypes)["raw"] == "binary" and kept.where("n_hit > 0").count() == plain.where("n_hit > 0").count()
+
+
 def test_repeats(docs, none, rows):
     want = repeats.brute_force([(t or "").encode() for _, t, _ in rows])
     found = repeats.repeated_passages(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -201,12 +201,18 @@ def _between(held: DataFrame, details: DataFrame, roots: DataFrame, share: tuple
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_compare(share, forest), "u long, v long")
 
 
+def with_sizes(every: DataFrame) -> DataFrame:
+    """Members of keys that several have, each with the number n of its key's members and the ``low`` and ``high`` ones.
+    ``every``: key, node, weight, each once."""
+    sizes = every.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
+    return materialize(every.join(sizes.where("n > 1"), "key"))
+
+
 def linked(keyed: DataFrame, details: DataFrame, share: tuple[int, int], few: int = FEW, block: int = BLOCK) -> DataFrame:
-    """(node, root) of the nodes with a link. ``keyed``: key, node, weight of members of keys that several have, each
-    once; ``details``: node and ``DETAILS``; ``share``: the threshold as a fraction."""
+    """(node, root) of the nodes with a link. ``keyed``: key, node, weight of members of keys, each once, or what
+    ``with_sizes`` has made of them; ``details``: node and ``DETAILS``; ``share``: the threshold as a fraction."""
     num, den = share
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
-    sized = materialize(keyed.join(sizes, "key"))
+    sized = keyed if "n" in keyed.columns else with_sizes(keyed)
     members = F.array_sort(F.collect_list(F.struct("weight", "node")))
     lists = sized.where(F.col("n") <= few).groupBy("key").agg(members.alias("m"))
     later = lambda a, i: F.filter(  # noqa: E731  members of up to a / threshold that come later

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from assaylane.llm.bitmaps import bitmap_of, in_bitmap
 from assaylane.llm.common import chunks_by_size, mixed, tidy_batches
 from assaylane.llm.components import components
-from assaylane.llm.linking import DETAILS, detail_arrays, linked
+from assaylane.llm.linking import DETAILS, detail_arrays, linked, with_sizes
 from assaylane.llm.pretokens import LETTER, NUMBER, char_classes
 from assaylane.session import materialize
 
@@ -221,8 +221,7 @@ def near_duplicates(
     sets = signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.max("weight").alias("weight"), F.first("bands").alias("bands"))
     nodes = materialize(sets.select("*", F.monotonically_increasing_id().alias("node")))
     banded = nodes.select("node", "weight", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keyed = materialize(banded.join(shared, "key").select("key", "node", "weight"))
+    keyed = with_sizes(banded)
     candidates = materialize(nodes.select("c1", "c2", "node").join(keyed.select("node").distinct(), "node", "left_semi"))
     found = rows.select("text").mapInArrow(tidy_batches(_detail(bitmap_of(candidates, "c1"))), f"c1 long, c2 long, {DETAILS}")
     details = materialize(found.dropDuplicates(["c1", "c2"]).join(candidates, ["c1", "c2"]).drop("c1", "c2"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from assaylane.llm.bitmaps import bitmap_of, in_bitmap
 from assaylane.llm.common import mixed, parts_for, tidy, tidy_batches, total_bytes
-from assaylane.llm.linking import DETAILS, detail_arrays, linked
+from assaylane.llm.linking import DETAILS, detail_arrays, linked, with_sizes
 from assaylane.llm.words import NOT_SPACE, find_words, run_numbers, text_chunks, word_numbers
 from assaylane.session import materialize
 
@@ -45,7 +45,7 @@ SHINGLE, SHARE = 4, (85, 100)
 FREQUENT = 1 << 21  # tokens that are known to be frequent; 32 MB with their counts
 SHARED_BITS = 28  # the bitmap of tokens that several sets hold has 2^28 bits at most; 32 MB
 RARE, COMMON = 32, 1_024  # from so many sets on, a token is indexed in pairs, or in threes
-PER_GROUP = 8
+PER_GROUP = 4  # fewer make prefixes longer, more make more combinations
 COUNT_CHUNK = 32 << 20  # bytes of text of one sorted stream
 COUNT_PART = 128 << 20  # bytes of text whose tokens are counted in one task
 _ESCAPE = np.uint16(0xFFFF)
@@ -395,8 +395,7 @@ def ngram_join(
     sets = signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.max("n").alias("weight"), F.max("keys").alias("keys"))
     nodes = materialize(sets.select("c1", "c2", "weight", "keys", F.monotonically_increasing_id().alias("node")))
     every = nodes.select("node", "weight", F.explode("keys").alias("key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keyed = materialize(every.join(shared, "key").select("key", "node", "weight"))
+    keyed = with_sizes(every)
     candidates = materialize(nodes.select("c1", "c2", "node").join(keyed.select("node").distinct(), "node", "left_semi"))
     found = rows.mapInArrow(tidy_batches(_detail(bitmap_of(candidates, "c1"))), f"c1 long, c2 long, {DETAILS}")
     details = materialize(found.dropDuplicates(["c1", "c2"]).join(candidates, ["c1", "c2"]).drop("c1", "c2"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assaylane.llm import bitmaps, collocations, components, importance, linking, ngram_join, radix
+from assaylane.llm import bitmaps, collocations, components, importance, linking, near, ngram_join, radix
 from assaylane.llm import words as arrays
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, score long, rank long, n long, key string, component_id long"
@@ -231,3 +231,25 @@ def test_members_of_common_keys_meet_their_roots_once(spark, monkeypatch):
     monkeypatch.setattr(linking, "_between", lambda held, *a: seen.append(held.count()) or real(held, *a))
     assert {tuple(r) for r in linking.linked(keyed, details, (85, 100)).collect()} == {(node, 0) for node in range(1, 11)}
     assert set(seen) == {len(sets)}
+
+
+def test_keys_of_frequent_tokens_are_few():
+    """Combinations grow with the size of a set, by less than 1.5 keys for each of its tokens in pairs and 4 in threes."""
+    for n in (100, 300, 1_000, 3_000):
+        tokens = linking.mixed(np.arange(n))
+        for kind, most in ((2, 1.5), (3, 4)):
+            assert 0 < len(ngram_join.prefix_keys(tokens, np.full(n, kind, np.int8), (85, 100))) < most * n
+
+
+def test_members_are_joined_with_their_keys_once(spark, monkeypatch):
+    every = spark.createDataFrame([(1, 5, 9), (1, 3, 9), (2, 5, 9)], "key long, node long, weight long")
+    sized = linking.with_sizes(every)
+    names = ["key", "node", "weight", "n", "low", "high"]
+    assert sorted(map(tuple, sized.select(*names).collect())) == [(1, 3, 9, 2, 3, 5), (1, 5, 9, 2, 3, 5)]
+    real, seen = linking.with_sizes, []
+    for module in (linking, ngram_join, near):
+        monkeypatch.setattr(module, "with_sizes", lambda df: seen.append(df) or real(df))
+    passage = prose(3, 40)
+    docs = table(spark, [(i, f"{passage} {prose(500 + i, 2)}", "en") for i in range(12)])
+    assert {r["component_id"] for r in ngram_join.ngram_join(docs).collect()} == {0} and len(seen) == 1
+    assert {r["class_id"] for r in near.near_duplicates(docs).collect()} == {0} and len(seen) == 2

@@ -53,7 +53,7 @@ def _encoder(path: str):
 
 def encoder(path: str):
     """The public encoder, once per worker."""
-    return worker_cache(("encoder", path), lambda: _encoder(path))
+    return worker_cache(("encoder", path), lambda: _encoder(path), large="bpe")
 
 
 class TokenBytes:
@@ -75,7 +75,7 @@ class TokenBytes:
 
 
 def token_bytes(path: str) -> TokenBytes:
-    return worker_cache(("bytes", path), lambda: TokenBytes(path))
+    return worker_cache(("bytes", path), lambda: TokenBytes(path), large="bpe")
 
 
 class Block:

@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 _CACHE = "_assaylane_llm_worker_cache"
 
 
-def worker_cache(key: Any, build: Callable[[], Any], large: bool = False) -> Any:
+def worker_cache(key: Any, build: Callable[[], Any], large: str = "") -> Any:
     """``build()`` once per Python worker process; ``key`` must name the content. Kept in ``sys.modules``, as functions that are
     shipped by value get new globals in every task. Of keys (kind, name) a worker holds the last one of each kind; a ``large``
-    value goes as soon as one of another kind is built."""
+    value goes as soon as one of another kind is built that is not used together with it, which is one of the same ``large``
+    name, and its memory goes back first."""
     store = sys.modules.setdefault(_CACHE, types.ModuleType(_CACHE)).__dict__.setdefault("values", {})
     kind = key[0] if isinstance(key, tuple) else key
     if kind not in store or store[kind][0] != key:
-        for k in [k for k, held in store.items() if held[2] or k == kind]:
+        gone = [k for k, held in store.items() if (held[2] and held[2] != large) or k == kind]
+        for k in gone:
             del store[k]
+        if gone:
+            release_memory()
         store[kind] = (key, build(), large)
     return store[kind][1]
 

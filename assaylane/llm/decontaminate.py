@@ -116,7 +116,7 @@ def _scan(shard: Broadcast, schema: pa.Schema):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, windows = shard.value
-        machine = worker_cache(("automaton", name), lambda: _automaton(windows), large=True)
+        machine = worker_cache(("automaton", name), lambda: _automaton(windows), large="automaton")
         for batch in (piece for whole in batches for piece in text_chunks(whole, "text")):
             texts = batch.column("text").to_pylist()
             n_words, runs, items = [], batch.column("runs").to_pylist(), batch.column("items").to_pylist()

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from assaylane.llm.common import chunks_by_size, tidy_batches, worker_cache
+from assaylane.llm.words import text_chunks
 
 ORDER = 3
 SAMPLE_BYTES = 2 << 20  # of training text for each language
@@ -37,6 +38,7 @@ UNKNOWN = "und"
 _SLOTS = 1 << 22
 _KNOWN = 1 << 21  # grams a worker remembers
 _PIECE = 1 << 19  # bytes scored at a time
+_CHUNK = 1 << 20  # bytes of texts that become Python objects at a time; a longer text is alone
 
 
 def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +73,7 @@ def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
     return (
         docs.select(F.col(lang).cast("string"), F.col(text).cast("string"))
-        .mapInArrow(count, "lang string, gram long, n long")
+        .mapInArrow(tidy_batches(count), "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -237,8 +239,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, languages, counts = sent.value
-        scorer = worker_cache(("ppm", name), lambda: Scorer(counts), large=True) if languages else None
-        for batch in batches:
+        scorer = worker_cache(("ppm", name), lambda: Scorer(counts), large="ppm") if languages else None
+        for batch in (chunk for whole in batches for chunk in text_chunks(whole, "text", _CHUNK)):
             texts = [t if t and any(map(str.isalpha, t)) else "" for t in batch.column("text").to_pylist()]
             raw = [t.encode() for t in texts]
             predicted, score, rate = [], [], []

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from assaylane.llm import bpe, counting, decontaminate, near, packing, ppm, pretokens, quality, repeats, secrets, topk
+from assaylane.llm import bpe, common, counting, decontaminate, near, packing, ppm, pretokens, quality, repeats, secrets, topk
 from assaylane.llm.queries import BYTE_BPE, WORD_BPE
 
 SCHEMA = "doc_id long, text string, lang string, source string, block string, key string, ids string, n long"
@@ -312,3 +312,29 @@ def test_stages_keep_columns_of_any_name(spark, data):
         want = Counter(map(tuple, stage(spark, plain, data).select("doc_id", "text").collect()))
         assert Counter((r.doc_id, r.text) for r in got.collect()) == want
         assert {(r.n_hit, r.items, r.score, r.lang_pred, r.n_words) for r in got.collect()} == {(0, "x", 0, "und", 1)}
+
+
+def test_language_takes_texts_in_pieces(spark, monkeypatch):
+    """A batch never becomes Python objects as a whole, and the results are those of one piece."""
+    rows = [(i, f"{'the cat sat on' if i % 2 else 'der hund lief um'} {'x' * (i % 7)}", "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows + [(60, None, None), (61, "the cat " * 40, None)], "doc_id long, text string, lang string")
+    model = ppm.fit(docs)
+    whole = sorted(map(tuple, ppm.predict(docs.coalesce(1), model).collect()))
+    real = ppm.Scorer.lengths
+
+    def lengths(self, texts):
+        if len(texts) > 1 and sum(map(len, texts)) > 100:
+            raise ValueError("more than a piece")
+        return real(self, texts)
+
+    monkeypatch.setattr(ppm, "_CHUNK", 100)
+    monkeypatch.setattr(ppm.Scorer, "lengths", lengths)
+    assert sorted(map(tuple, ppm.predict(docs.coalesce(1), model).collect())) == whole and len(whole) == 62
+
+
+def test_large_values_of_another_operator_go():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    first, second = bpe.encoder(path), bpe.token_bytes(path)
+    assert bpe.encoder(path) is first and bpe.token_bytes(path) is second  # they are used together
+    common.worker_cache(("ppm", "a model"), list, large="ppm")
+    assert bpe.encoder(path) is not first and bpe.token_bytes(path) is not second

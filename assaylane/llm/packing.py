@@ -19,6 +19,7 @@ a null document id is kept; other columns are ignored; an empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ from assaylane.llm.common import chunks_by_size, parts_for, ragged_index, total_
 
 LENGTH = 2_048
 SHARD_BYTES = 24 << 20  # bytes of text for each packing shard
-KNOWN_WORDS = 1 << 19
+CHUNK_CHARS = 1 << 17  # characters that are encoded at a time
+KNOWN_WORDS = 1 << 19  # words a worker remembers, and their characters
+KNOWN_CHARS = 1 << 23
 
 
 class Rooms:
@@ -87,27 +90,111 @@ def best_fit_decreasing(lengths: list[int], length: int) -> list[int]:
     return placed
 
 
+class KnownWords:
+    """Words and their ids in flat arrays: an open hash table of word numbers, all words of a batch looked up at once.
+
+    The characters are kept, too, as a word is compared and not only its hash.
+    """
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.full(1 << 16, -1, np.int32)  # word numbers; half of the slots at least are free
+        self.n = 0
+        self.hashes = np.zeros(1 << 12, np.uint64)
+        self.points, self.ids = np.zeros(1 << 12, np.uint32), np.zeros(1 << 12, np.uint32)
+        self.point_ends, self.id_ends = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)  # they begin with 0
+
+    def full(self) -> bool:
+        return self.n > KNOWN_WORDS or self.point_ends[self.n] > KNOWN_CHARS
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of every word, -1 for a new one."""
+        last = np.uint64(len(self.slots) - 1)
+        slot = hashes & last
+        found = self.slots[slot]
+        other = np.flatnonzero((found >= 0) & (self.hashes[found] != hashes))
+        while len(other):
+            slot[other] = (slot[other] + np.uint64(1)) & last
+            found[other] = self.slots[slot[other]]
+            other = other[(found[other] >= 0) & (self.hashes[found[other]] != hashes[other])]
+        return found
+
+    def _place(self, numbers: np.ndarray) -> None:
+        last = np.uint64(len(self.slots) - 1)
+        slot = self.hashes[numbers] & last
+        while len(numbers):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]
+            left = self.slots[slot] != numbers  # taken, or given to another one of these words
+            numbers, slot = numbers[left], (slot[left] + np.uint64(1)) & last
+
+    def add(self, hashes: np.ndarray, points: np.ndarray, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """New words with hashes that differ: their characters and their ids end to end, and how many each has."""
+        n, more = self.n, self.n + len(hashes)
+        chars, tokens = self.point_ends[n], self.id_ends[n]
+        self.hashes = _with(self.hashes, n, hashes)
+        self.points = _with(self.points, chars, points)
+        self.ids = _with(self.ids, tokens, ids)
+        self.point_ends = _with(self.point_ends, n + 1, chars + np.cumsum(lengths))
+        self.id_ends = _with(self.id_ends, n + 1, tokens + np.cumsum(counts))
+        self.n = more
+        if 2 * more > len(self.slots):
+            self.slots = np.full(1 << (2 * more).bit_length(), -1, np.int32)
+            self._place(np.arange(more, dtype=np.int32))
+        else:
+            self._place(np.arange(n, more, dtype=np.int32))
+
+    def holds(self, numbers: np.ndarray, points: np.ndarray, lengths: np.ndarray) -> bool:
+        """Whether these are the words of the numbers, character by character."""
+        starts = self.point_ends[numbers]
+        return np.array_equal(self.point_ends[numbers + 1] - starts, lengths) and np.array_equal(
+            self.points[ragged_index(starts, lengths)], points
+        )
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        starts = self.id_ends[numbers]
+        counts = self.id_ends[numbers + 1] - starts
+        return self.ids[ragged_index(starts, counts)], counts
+
+
+def _with(held: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """``held`` with ``values`` from ``at`` on, in a larger array where they do not fit."""
+    if at + len(values) > len(held):
+        larger = np.zeros(max(at + len(values), len(held) * 3 // 2), held.dtype)
+        larger[:at] = held[:at]
+        held = larger
+    held[at : at + len(values)] = values
+    return held
+
+
 def _encode_batch(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and where each text starts."""
-    encode = bpe.encoder(path)._encode_single_piece
-    known: dict[int, list[int]] = worker_cache(("ids of words", path), dict)
-    if len(known) > KNOWN_WORDS:
-        known.clear()
     split = pretokens.split(texts)
-    unique, where, codes = np.unique(split.hashes(), return_index=True, return_inverse=True)
-    found = []
-    text, begins, ends = split.text, split.starts[where].tolist(), split.starts[where + 1].tolist()
-    for h, a, b in zip(unique.tolist(), begins, ends, strict=True):
-        entry = known.get(h)
-        word = text[a:b]
-        if entry is None or entry[0] != word:  # the word itself is compared, not only its hash
-            entry = known[h] = (word, encode(word))
-        found.append(entry[1])
-    counts = np.array([len(i) for i in found], np.int64)
-    flat = np.array([i for ids in found for i in ids], np.uint32)
-    starts, lengths = np.cumsum(counts) - counts, counts[codes]
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    return flat[ragged_index(starts[codes], lengths)], bounds[split.first]
+    hashes, lengths = split.hashes(), np.diff(split.starts)
+    points = np.frombuffer(split.text.encode("utf-32-le"), np.uint32)
+    known: KnownWords = worker_cache(("ids of words", path), KnownWords, large="bpe")
+    if known.full():
+        known.clear()
+    numbers = known.find(hashes)
+    new = np.flatnonzero(numbers < 0)
+    if len(new):
+        unique, where = np.unique(hashes[new], return_index=True)
+        where = new[where]
+        encode, text = bpe.encoder(path)._encode_single_piece, split.text
+        starts = split.starts[where]
+        found = [encode(text[a:b]) for a, b in zip(starts.tolist(), split.starts[where + 1].tolist(), strict=True)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
+        known.add(unique, points[ragged_index(starts, lengths[where])], lengths[where], ids, counts)
+        numbers[new] = known.find(hashes[new])
+    if not known.holds(numbers, points, lengths):  # words that differ have one hash
+        own = [np.array(bpe.encoder(path).encode_ordinary(t), np.uint32) for t in texts]
+        return np.concatenate(own), np.concatenate([[0], np.cumsum([len(i) for i in own])])
+    ids, counts = known.ids_of(numbers)
+    return ids, np.concatenate([[0], np.cumsum(counts)])[split.first]
 
 
 def _pieces(path: str, length: int, kind: str):
@@ -115,7 +202,7 @@ def _pieces(path: str, length: int, kind: str):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = batch.column("doc").to_pylist()
-            for begin, end in chunks_by_size(map(len, texts), pretokens.CHUNK_CHARS):
+            for begin, end in chunks_by_size(map(len, texts), CHUNK_CHARS):
                 ids, first = _encode_batch(path, texts[begin:end])
                 ids = ids.astype(kind)
                 docs, numbers, values = [], [], []

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -101,6 +102,63 @@ def test_packing_is_lossless(docs, none, rows):
     assert packing.pack_tokens(none, BYTE_BPE, 50_256).collect() == []
 
 
+def encoded_alone(texts):
+    encoder = bpe._encoder(BYTE_BPE)
+    return [encoder.encode_ordinary(t) for t in texts]
+
+
+def encoded_together(texts):
+    ids, first = packing._encode_batch(BYTE_BPE, texts)
+    return [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)]
+
+
+def test_packing_takes_known_words_all_at_once(monkeypatch):
+    monkeypatch.delitem(sys.modules, common._CACHE, raising=False)
+    texts = ["", " ".join(f"{i:x}lé{i * i:x}" for i in range(3_000)), "a  b\n", prose(5, 300)]
+    assert encoded_together(texts) == encoded_alone(texts)
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event.endswith("call") else None)
+    try:
+        ids, _ = packing._encode_batch(BYTE_BPE, texts)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 500 and ids.tolist() == sum(encoded_alone(texts), [])
+
+
+def test_packing_where_words_have_one_hash(monkeypatch):
+    monkeypatch.delitem(sys.modules, common._CACHE, raising=False)
+    own = pretokens.Split.hashes
+    monkeypatch.setattr(pretokens.Split, "hashes", lambda self: own(self) & np.uint64(7))
+    for n in range(3):
+        texts = [prose(n, 200), "", "ab ba"]
+        assert encoded_together(texts) == encoded_alone(texts)
+
+
+def test_packing_forgets_words_at_the_limit(monkeypatch):
+    monkeypatch.delitem(sys.modules, common._CACHE, raising=False)
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 500)
+    kept = []
+    for n in range(6):
+        texts = [" ".join(f"{n}x{i}yü" for i in range(400)), "\U0001f600 a'll" * n, prose(n, 50)]
+        assert encoded_together(texts) == encoded_alone(texts)
+        kept.append(common.worker_cache(("ids of words", BYTE_BPE), None, large="bpe").n)
+    assert max(kept) < 1_100 and any(b < a for a, b in zip(kept, kept[1:], strict=False))
+
+
+def test_known_words_with_full_and_shared_slots():
+    known, rng = packing.KnownWords(), np.random.default_rng(1)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 40_000, np.uint64), np.arange(1 << 63, (1 << 63) + 30_000, 3, np.uint64) << np.uint64(17)]))
+    for part in np.array_split(rng.permutation(hashes), 7):
+        assert (known.find(part) == -1).all()
+        one = np.ones(len(part), np.int64)
+        known.add(part, part.astype(np.uint32), one, part.astype(np.uint32), one)
+    numbers = known.find(hashes)
+    assert len(np.unique(numbers)) == len(hashes) == known.n and (known.hashes[numbers] == hashes).all()
+    assert known.holds(numbers, hashes.astype(np.uint32), np.ones(len(hashes), np.int64))
+    assert not known.holds(numbers[::-1], hashes.astype(np.uint32), np.ones(len(hashes), np.int64))
+    assert (known.ids_of(numbers)[0] == hashes.astype(np.uint32)).all()
+
+
 def test_best_fit_decreasing():
     rng = random.Random(2)
     sizes = sorted((rng.randint(1, 100) for _ in range(500)), reverse=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -17,6 +16,7 @@ from assaylane.functions.text import safe_float, strip
 from assaylane.operators.columns import col
 from assaylane.session import scratch_path
 from assaylane.sources import versions
+from assaylane.sources.digests import Sha256, workers_can_go_on
 from assaylane.sources.rows import index_placed, placed
 
 DELIMITERS = [",", ";", "\t", "|"]
@@ -204,21 +204,63 @@ WHOLE_FILE = 256 << 20  # bytes of a file that is hashed in one piece
 _PIECE = 8 << 20
 
 
-def file_sha256(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+def file_sha256(spark: SparkSession, path: str, whole: int = WHOLE_FILE, part: int = WHOLE_FILE) -> DataFrame:
     """``path, sha256`` of every file under ``path``, whatever its size.
 
-    Files of more than ``whole`` bytes are read in parts by many tasks; the parts of a file are put in order and
-    feed one digest piece by piece, so no task holds a file. (Such files must not be compressed, and hold a line
-    break at least every 2 GB.) Files without any byte do not show, as Spark's readers leave them out.
+    Files of more than ``whole`` bytes are read in parts by many tasks, and their pieces are stored in scratch. A
+    digest needs them in order, so they feed it in rounds: in each, a task takes up the digest of a file where the
+    round before left it and goes on with the next ``part`` bytes. No task reads much more than that, and none holds a
+    file. Where Python's workers cannot take up a digest, see ``digests``, one task feeds it all pieces of a file.
+    (Such files must not be compressed, and hold a line break at least every 2 GB.) Files without any byte do not
+    show, as Spark's readers leave them out.
     """
     listed = spark.read.format("binaryFile").load(path).select("path", "length")
     large = [r["path"] for r in listed.where(F.col("length") > whole).collect()]
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= whole)
     small = files.select("path", F.sha2("content", 256).alias("sha256"))
-    return small.union(_streamed_sha256(spark, large)) if large else small
-
-
-def _streamed_sha256(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return small.union(_streamed_sha256(spark, large, part)) if large else small
+
+
+def _streamed_sha256(spark: SparkSession, paths: list[str], part: int) -> DataFrame:
+    stored = scratch_path(spark, "pieces")
+    nth_part = F.floor(F.col("block") / part) if workers_can_go_on(spark) else F.lit(0).cast("long")
+    # rows are of 8 MB, so the writer looks at its size after each
+    options = {"parquet.block.size": str(4 * _PIECE), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+    _file_pieces(spark, paths).withColumn("part", nth_part).write.options(**options).partitionBy("part").parquet(stored)
+    pieces = spark.read.schema(f"{_PIECE_SCHEMA}, part long").parquet(stored)
+
+    sizes = pieces.groupBy("part", "path").agg(F.max("size").alias("size"), F.sum("n_bytes").alias("n_bytes")).collect()
+    seen: dict[str, int] = {}
+    for r in sizes:
+        seen[r["path"]] = seen.get(r["path"], 0) + r["n_bytes"]
+    # lines and breaks against the size of the file: a break too many, a byte order mark left out
+    for r in sizes:
+        if seen[r["path"]] - r["size"] not in (0, 1, -3, -2):
+            raise ValueError(f"{r['path']}: cannot be read in parts")
+    marked = {r["path"]: seen[r["path"]] < r["size"] for r in sizes}
+    left = {r["path"]: r["size"] - 3 * marked[r["path"]] for r in sizes}
+
+    state: dict[str, bytes | None] = dict.fromkeys(seen)
+    digest: dict[str, str] = {}
+    for nth in sorted({r["part"] for r in sizes}):
+        due = [r["path"] for r in sizes if r["part"] == nth]
+        known = [(i, p, marked[p], left[p], state[p]) for i, p in enumerate(due)]
+        known = spark.createDataFrame(known, "file int, path string, marked boolean, left long, state binary")
+        rows = pieces.where(F.col("part") == nth).join(F.broadcast(known), "path").drop("size", "n_bytes", "part")
+        ordered = rows.repartitionById(len(due), "file").sortWithinPartitions("file", "block", "nth")
+        for r in ordered.mapInArrow(_go_on, "path string, left long, state binary, sha256 string").collect():
+            left[r["path"]], state[r["path"]] = r["left"], r["state"]
+            if r["left"] == 0:
+                digest[r["path"]] = r["sha256"]
+    versions.delete(spark, stored)
+    return spark.createDataFrame(list(digest.items()), "path string, sha256 string")
+
+
+_PIECE_SCHEMA = "path string, size long, block long, nth long, n_bytes long, data binary"
+
+
+def _file_pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The bytes of files in pieces, by the block that each piece lies in and its number there."""
     lines = spark.read.text(paths, lineSep="\n").select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_size").alias("size"),
@@ -231,8 +273,8 @@ def _streamed_sha256(spark: SparkSession, paths: list[str]) -> DataFrame:
         of, held, size, nth = None, [], 0, 0
 
         def piece() -> pa.RecordBatch:
-            values = [[of[0]], [of[1]], [of[2]], [nth], [b"".join(held)]]
-            return pa.record_batch([pa.array(v, t) for v, t in zip(values, _PIECE_TYPES)], names=["path", "size", "block", "nth", "data"])
+            values = [[of[0]], [of[1]], [of[2]], [nth], [size], [b"".join(held)]]
+            return pa.record_batch([pa.array(v, t) for v, t in zip(values, _PIECE_TYPES)], names=_PIECE_NAMES)
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "block", "line"))):
@@ -245,39 +287,36 @@ def _streamed_sha256(spark: SparkSession, paths: list[str]) -> DataFrame:
         if held:
             yield piece()
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pieces of a task's files come in order; a piece is kept back, as the last line may have no break."""
-        of, digest, marked, size, seen, last = None, None, None, 0, 0, b""
+    return lines.mapInArrow(pieces, _PIECE_SCHEMA)
 
-        def finish() -> pa.RecordBatch:
-            # lines and breaks against the size of the file: a break too many, a byte order mark left out
-            over = seen - size
-            if over not in (0, 1, -3, -2):
-                raise ValueError(f"{of}: cannot be read in parts")
-            chosen = marked if over < 0 else digest
-            chosen.update(last[:-1] if over in (1, -2) else last)
-            return pa.record_batch([pa.array([of]), pa.array([chosen.hexdigest()])], names=["path", "sha256"])
 
-        for batch in batches:
-            for path, length, data in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "data"))):
-                if path != of:
-                    if of is not None:
-                        yield finish()
-                    of, digest, size, seen, last = path, hashlib.sha256(), length, 0, b""
-                    marked = hashlib.sha256(b"\xef\xbb\xbf")
-                digest.update(last)
-                marked.update(last)
-                seen += len(data)
-                last = data
-        if of is not None:
-            yield finish()
-
-    parts = lines.mapInArrow(pieces, "path string, size long, block long, nth long, data binary")
-    ordered = parts.repartition(max(1, len(paths)), "path").sortWithinPartitions("path", "block", "nth")
-    return ordered.mapInArrow(digests, "path string, sha256 string")
-
-
-_PIECE_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+_PIECE_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+_PIECE_NAMES = ["path", "size", "block", "nth", "n_bytes", "data"]
+
+
+def _go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Feed the pieces of a task's file, which come in order, to its digest; what is over at the end is left out."""
+    of, digest, left = None, None, 0
+
+    def reached() -> pa.RecordBatch:
+        values = [of], [left], [digest.state()], [digest.hexdigest()]
+        types = pa.string(), pa.int64(), pa.binary(), pa.string()
+        return pa.record_batch([pa.array(v, t) for v, t in zip(values, types)], names=["path", "left", "state", "sha256"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            path, data = batch.column("path")[i].as_py(), batch.column("data")[i].as_py()
+            if path != of:
+                if of is not None:
+                    yield reached()
+                of, left, state = path, batch.column("left")[i].as_py(), batch.column("state")[i].as_py()
+                digest = Sha256(state)
+                if state is None and batch.column("marked")[i].as_py():
+                    digest.update(b"\xef\xbb\xbf")
+            digest.update(data[:left])
+            left -= min(left, len(data))
+    if of is not None:
+        yield reached()
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:

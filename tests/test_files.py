@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401  (registers the queries)
 
 from assaylane.operators.columns import col
-from assaylane.sources import files, versions
+from assaylane.session import scratch_dir
+from assaylane.sources import digests, files, versions
 from assaylane.sources.rows import with_row_index
 
 
@@ -102,6 +103,59 @@ def test_digest_in_parts(spark, tmp_path, content):
     assert got == {os.path.basename(p): hashlib.sha256(open(p, "rb").read()).hexdigest() for p in paths}
 
 
+@pytest.mark.parametrize("goes_on", [True, False])
+def test_digest_in_rounds(spark, tmp_path, monkeypatch, goes_on):
+    lines = b"".join(b"%d,%s\n" % (i, b"x" * (i % 90)) for i in range(3_000))
+    contents = [lines + b"end", b"\xef\xbb\xbf" + lines, lines[:70_000], b"y" * 45_000 + b"\n" + lines, b"\n" * 30_000, b"a"]
+    for i, content in enumerate(contents):
+        write(tmp_path / f"{i}.bin", content)
+    real, limit = files._go_on, 20_000 + 10_000 + 45_001 if goes_on else 1 << 30
+
+    def watched(batches):
+        def counted():
+            read = 0
+            for batch in batches:
+                read += sum(len(data) for data in batch.column("data").to_pylist())
+                if read > limit:
+                    raise ValueError(f"a task reads {read} bytes")
+                yield batch
+
+        yield from real(counted())
+
+    monkeypatch.setattr(files, "_go_on", watched)
+    monkeypatch.setattr(files, "_PIECE", 3_000)
+    if not goes_on:
+        monkeypatch.setattr(files, "workers_can_go_on", lambda spark: False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = files.file_sha256(spark, str(tmp_path), whole=0, part=20_000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {os.path.basename(r["path"]): r["sha256"] for r in rows}
+    assert got == {f"{i}.bin": hashlib.sha256(content).hexdigest() for i, content in enumerate(contents)} and len(rows) == len(contents)
+    assert not [f for f in os.listdir(scratch_dir(spark)) if f.startswith("pieces-")]
+
+
+def test_digest_is_taken_up(monkeypatch):
+    data = bytes(range(256)) * 20
+    want = hashlib.sha256(data).hexdigest()
+    assert digests.can_go_on()
+    for cut in (0, 1, 55, 56, 63, 64, 65, 128, 5_000, len(data)):
+        first = digests.Sha256()
+        first.update(data[:cut])
+        second = digests.Sha256(first.state())
+        second.update(data[cut:])
+        assert second.hexdigest() == second.hexdigest() == want and first.hexdigest() == hashlib.sha256(data[:cut]).hexdigest()
+    state = first.state()
+    monkeypatch.setattr(digests, "_openssl", lambda: None)
+    plain = digests.Sha256()
+    plain.update(data)
+    assert plain.hexdigest() == want and not digests.can_go_on()
+    with pytest.raises(RuntimeError):
+        digests.Sha256(state)
+
+
 def test_fingerprint_tells_cells_apart(spark):
     tables = [
         spark.createDataFrame([(a, b)], "a string, b string")

@@ -3,8 +3,9 @@
 Passes over the texts count words, then runs of two and of three words of which all parts are frequent, and at last
 the phrases all of whose runs are. A phrase can only be frequent if its parts are, so each pass leaves out what the ones
 before it rule out, by bitmaps of a fixed size; a chance hit in one costs a count and no more. Runs are counted in
-sorted streams of their numbers, one for each chunk and range of numbers, which are shuffled as differences of 16 bits
-and merged. Phrases that passed all of that go the same way, as sorted streams of words and counts.
+sorted streams of their numbers, one for each chunk and range of numbers, which are shuffled as 32 bits and a count for
+each number of a chunk and merged. Phrases that passed all of that go the same way, as sorted streams of words and
+counts, each number of words on its own.
 
 A phrase is a key: eight bytes for the language and for each word, so that byte order puts every phrase directly after
 its beginnings. The stream of counts, with one row per language for all words, is laid out twice, in the order of the
@@ -29,30 +30,31 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylane.llm.bitmaps import bitmap_of, in_bitmap
 from assaylane.llm.bpe import pack, unpack
-from assaylane.llm.common import mixed, parts_for, tidy_batches, total_bytes
-from assaylane.llm.ngram_join import packed_differences, unpacked_differences
+from assaylane.llm.common import mixed, parts_for, tidy, tidy_batches, total_bytes
 from assaylane.llm.words import IN_PHRASE, PUNCTUATION, Words, find_words, run_numbers, text_chunks, word_numbers
 from assaylane.session import materialize
 
 LONGEST, LEAST, BEST = 5, 100, 2_000
 UNKNOWN = "und"
-CHUNK = 5 << 20  # bytes of text whose counts are added up at once
+CHUNK = 4 << 20  # bytes of text whose counts are added up at once
 KNOWN_RUNS = 3  # runs of up to so many words are counted before phrases are
 KEPT_BITS = 27  # the bitmap of frequent runs of a length; 16 MB
 PART_BYTES = 48 << 20  # bytes of text whose runs are merged in one task
+MERGED_ROWS = 1 << 18  # rows of phrases whose counts are added up at once
 RANGE_ROWS = 500_000
 SAMPLE_ROWS = 100  # for each range, to place its bounds
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_COUNT_BITS, _COUNT = np.uint64(32), np.uint64((1 << 32) - 1)
 
 
 def language_number(lang: str) -> int:
@@ -91,6 +93,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.n
                 held, size = [], 0
             held.append(part)
             size += part.nbytes
+        # what is left over is copied, so that it does not hold this batch while the next one is read
+        held = [part.take(pa.array(np.arange(len(part)))) for part in held]
+        batch = part = None
     if held:
         yield from joined()
 
@@ -120,9 +125,32 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+class Marks:
+    """A bitmap that goes to the tasks compressed, as most of them are sparse and a worker keeps what it was sent."""
+
+    marks: np.ndarray
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"marks": (self.marks.dtype.str, pack([self.marks]))}
+
+    def __setstate__(self, state: dict) -> None:
+        kind, packed = state["marks"]
+        self.__dict__ |= state | {"marks": np.frombuffer(unpack(packed)[0], kind)}
+
+
+@dataclass
+class LastBits(Marks):
+    """A set of numbers by their last bits, as a bitmap; a number that is not found is not in the set."""
+
+    marks: np.ndarray
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        return in_bitmap(self.marks, numbers)
+
+
 @dataclass
-class TopBits:
-    """A set of numbers by their first bits, as a bitmap; a number that is not found is not in the set."""
+class TopBits(Marks):
+    """A set of numbers by their first bits, in the same way."""
 
     bits: int
     marks: np.ndarray
@@ -152,38 +180,76 @@ def _may_be_frequent(words: Words, numbers: np.ndarray, langs: list[str], lang:
     return out
 
 
-def _run_streams(known: Sequence[Known], bits: int, parts: int):
+def run_bits(size: int, parts: int) -> int:
+    """How many first bits of a run's number are counted: enough that few runs share them, and no more than let a number
+    fit in 32 bits from the edge of its part on, so that a number takes as many bytes whatever the size."""
+    return min(max(24, size.bit_length() + 6), 31 + parts.bit_length(), 60)
+
+
+def _run_streams(known: Sequence[Known], bits: int, parts: int, least: int):
     """Runs of one word more than is known, of which all parts may be frequent: per chunk and part of the number range
-    a sorted stream of the runs' numbers, cut to their first bits."""
+    the runs' numbers, cut to their first bits, once each from the edge of the part on, and their counts up to
+    ``least``."""
     edges = [(i << bits) // parts for i in range(parts + 1)]
     n = len(known) + 1
+    kind = np.min_scalar_type(least)
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, lang, words, numbers in _chunks(batches):
             may = _may_be_frequent(words, numbers, langs, lang, known)[-1]
             inside = _candidate_runs(words, numbers, n, may)
             run = _with_language(run_numbers(numbers, n)[inside], langs, lang[: len(inside)][inside])
-            ids = np.sort(run >> np.uint64(64 - bits)).astype(np.int64)
+            run >>= np.uint64(64 - bits)
+            run.sort()
+            first = _firsts(run)
+            counts = np.minimum(np.diff(np.append(first, len(run))), least).astype(kind)
+            ids = run[first].astype(np.int64)
             cuts = np.searchsorted(ids, edges)
             own = [i for i in range(parts) if cuts[i] < cuts[i + 1]]
-            blobs = [packed_differences(ids[cuts[i] : cuts[i + 1]], edges[i]) for i in own]
-            yield pa.record_batch([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "ids"])
+            blobs = [(ids[cuts[i] : cuts[i + 1]] - edges[i]).astype(np.uint32).tobytes() for i in own]
+            often = [counts[cuts[i] : cuts[i + 1]].tobytes() for i in own]
+            yield pa.record_batch([pa.array(own, pa.int32()), pa.array(blobs, pa.binary()), pa.array(often, pa.binary())], names=["part", "ids", "counts"])
 
     return streams
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each number of an ascending array is first."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def _often(pairs: np.ndarray, least: int, block: int = 1 << 19) -> np.ndarray:
+    """Of ascending pairs, a number above a count of 32 bits, the numbers that add up to ``least``; block by block."""
+    found, at = [np.zeros(0, np.int64)], 0
+    while at < len(pairs):
+        last = pairs[min(at + block, len(pairs)) - 1] >> _COUNT_BITS
+        end = int(np.searchsorted(pairs, (last << _COUNT_BITS) | _COUNT, "right"))  # a number is whole
+        numbers = pairs[at:end] >> _COUNT_BITS
+        first = _firsts(numbers)
+        found.append(numbers[first][np.add.reduceat(pairs[at:end] & _COUNT, first) >= least].astype(np.int64))
+        at = end
+    return np.concatenate(found)
+
+
 def _merged(bits: int, parts: int, least: int, kept_bits: int):
     """The streams of a part merged: a bitmap of the numbers that occur ``least`` times, from byte ``at`` on."""
+    kind = np.min_scalar_type(least)
 
     def merged(key: tuple, table: pa.Table) -> pa.Table:
-        begin = (key[0].as_py() << bits) // parts
-        ids = np.sort(np.concatenate([unpacked_differences(b, begin) for b in table.column("ids").to_pylist()]))
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        often = ids[first][np.diff(np.append(first, len(ids))) >= least] >> (bits - kept_bits)
+        ids, counts = table.column("ids"), table.column("counts")
+        pairs, at = np.empty(pc.sum(pc.binary_length(ids)).as_py() // 4, np.uint64), 0
+        for numbers, often in zip(ids, counts, strict=True):  # into one array that is sorted in place
+            own = np.frombuffer(numbers.as_buffer(), np.uint32)
+            pairs[at : at + len(own)] = (own.astype(np.uint64) << _COUNT_BITS) | np.frombuffer(often.as_buffer(), kind)
+            at += len(own)
+        pairs.sort()
+        often = (_often(pairs, least) + (key[0].as_py() << bits) // parts) >> (bits - kept_bits)
         at = int(often[0]) >> 3 if len(often) else 0
-        marks = np.zeros(((int(often[-1]) >> 3) - at + 1) * 8 if len(often) else 0, np.uint8)
-        marks[often - 8 * at] = 1
-        return pa.table({"at": pa.array([at], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+        marks = np.zeros((int(often[-1]) >> 3) - at + 1 if len(often) else 0, np.uint8)
+        first = _firsts(often >> 3)
+        if len(often):
+            marks[(often[first] >> 3) - at] = np.bitwise_or.reduceat(np.uint8(1) << (often & 7).astype(np.uint8), first)
+        return pa.table({"at": pa.array([at], pa.int64()), "marks": pa.array([marks.tobytes()], pa.binary())})
 
     return merged
 
@@ -191,10 +257,10 @@ def _merged(bits: int, parts: int, least: int, kept_bits: int):
 def frequent_runs(rows: DataFrame, known: Sequence[Known], least: int, size: int, part_bytes: int = PART_BYTES) -> TopBits:
     """Runs of one word more than is known that may occur ``least`` times in texts of ``size`` bytes."""
     parts = parts_for(size, part_bytes)
-    bits = min(max(24, size.bit_length() + 6), 60)
+    bits = run_bits(size, parts)
     kept_bits = min(bits, KEPT_BITS)
-    streams = rows.mapInArrow(tidy_batches(_run_streams(known, bits, parts)), "part int, ids binary")
-    merged = materialize(streams.groupBy("part").applyInArrow(_merged(bits, parts, least, kept_bits), "at long, marks binary"))
+    streams = rows.mapInArrow(tidy_batches(_run_streams(known, bits, parts, least)), "part int, ids binary, counts binary")
+    merged = materialize(streams.groupBy("part").applyInArrow(tidy(_merged(bits, parts, least, kept_bits)), "at long, marks binary"))
     marks = np.zeros((1 << kept_bits) // 8, np.uint8)
     for row in merged.toLocalIterator():  # 2^KEPT_BITS bits at most, all together
         piece = np.frombuffer(row["marks"], np.uint8)
@@ -211,8 +277,8 @@ def _matrix_keys(matrix: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def _phrase_streams(known: Sequence[Known], longest: int, parts: int):
-    """The phrases of two words and more all of whose short runs may be frequent: per chunk and part, the sorted
-    phrases as one array of numbers for each place, and their counts."""
+    """The phrases of two words and more all of whose short runs may be frequent: per chunk, number of words and part, the
+    sorted phrases as one array of numbers for each place, and their counts. One number of words at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, lang, words, numbers in _chunks(batches):
@@ -234,13 +300,13 @@ def _phrase_streams(known: Sequence[Known], longest: int, parts: int):
                 columns.append(np.where(going, numbers[np.minimum(at + k, len(numbers) - 1)], 0).astype(np.uint64))
             # sorted once; phrases of each length are runs of equal rows
             order = np.lexsort(columns[::-1])
-            matrix = np.stack(columns, axis=1)[order]
+            for k, column in enumerate(columns):
+                columns[k] = column[order]
             reach = reach[order]
             new = np.zeros(len(order), bool)
             new[:1] = True
-            rows, counts = [], []
-            for k in range(longest + 1):
-                new[1:] |= matrix[1:, k] != matrix[:-1, k]
+            for k, column in enumerate(columns):
+                new[1:] |= column[1:] != column[:-1]
                 if k < 2:
                     continue
                 long = reach >= k
@@ -250,39 +316,78 @@ def _phrase_streams(known: Sequence[Known], longest: int, parts: int):
                 # rows of one phrase lie together, and all of them are as long
                 upto = np.concatenate([[0], np.cumsum(long)])
                 edges = np.append(first, len(order))
-                counts.append(upto[edges[1:]] - upto[edges[:-1]])
-                rows.append(np.where(np.arange(longest + 1) <= k, matrix[first], 0).astype(np.uint64))
-            if not rows:
-                continue
-            rows, counts = np.concatenate(rows), np.concatenate(counts)
-            part = (_row_numbers(rows) % np.uint64(parts)).astype(np.int64)
-            own = np.unique(part).tolist()
-            blobs = [pack([np.ascontiguousarray(c) for c in rows[part == i].T] + [counts[part == i]]) for i in own]
-            yield pa.record_batch([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "phrases"])
+                yield _dealt(k, [c[first] for c in columns[: k + 1]], upto[edges[1:]] - upto[edges[:-1]], parts)
 
     return count
 
 
-def _row_numbers(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.uint64)
-    for column in rows.T:
+def _dealt(k: int, rows: list[np.ndarray], counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Phrases of ``k`` words, given place by place, and their counts, by part."""
+    part = (_row_numbers(rows) % np.uint64(parts)).astype(np.min_scalar_type(parts))
+    order = np.argsort(part, kind="stable")
+    own, first = np.unique(part[order], return_index=True)
+    columns, cuts = [c[order] for c in (*rows, counts)], [*first.tolist(), len(order)]
+    blobs = [pack([c[i:j] for c in columns]) for i, j in zip(cuts, cuts[1:])]
+    return pa.record_batch(
+        [pa.array(own, pa.int32()), pa.array([k] * len(own), pa.int32()), pa.array(np.diff(cuts)), pa.array(blobs, pa.binary())],
+        names=["part", "words", "rows", "phrases"],
+    )
+
+
+def _row_numbers(rows: Sequence[np.ndarray]) -> np.ndarray:
+    """A number for each row of columns."""
+    out = np.zeros(len(rows[0]), np.uint64)
+    for column in rows:
         out = mixed(out * _STEP + column)
     return out
 
 
-def _merged_phrases(longest: int, least: int):
-    """The streams of a part merged: key and count of the phrases that occur ``least`` times."""
+def _summed(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Equal rows as one, their counts, which are the last column, added up; in ascending order."""
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    order = np.lexsort(columns[-2::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns[:-1]:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns[:-1]] + [np.add.reduceat(columns[-1], first) if len(first) else columns[-1]]
+
+
+def _merged_phrases(least: int, most: int = MERGED_ROWS):
+    """The streams of a part and number of words merged: key and count of the phrases that occur ``least`` times.
+
+    The streams are read twice, one after the other: for the numbers of the phrases, which tell the few that may occur so
+    often, and for those, whose counts are added up whenever ``most`` rows have come together.
+    """
 
     def merged(key: tuple, table: pa.Table) -> pa.Table:
-        streams = [[np.frombuffer(x, np.uint64) for x in unpack(p.as_py())] for p in table.column("phrases")]
-        rows = np.stack([np.concatenate([s[k] for s in streams]) for k in range(longest + 1)], axis=1)
-        n = np.concatenate([s[-1] for s in streams]).astype(np.int64)
-        order = np.lexsort(rows.T[::-1])
-        rows, n = rows[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
-        total = np.add.reduceat(n, first)
-        rows, total = rows[first][total >= least], total[total >= least]
-        return pa.table({"key": _matrix_keys(rows, (rows != 0).sum(axis=1)), "n": pa.array(total)})
+        def streams() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+            for blob in table.column("phrases"):
+                columns = [np.frombuffer(x, np.uint64) for x in unpack(blob.as_py())]
+                yield columns, _row_numbers(columns[:-1]) >> _COUNT_BITS
+
+        pairs, at = np.empty(pc.sum(table.column("rows")).as_py(), np.uint64), 0
+        for columns, number in streams():
+            pairs[at : at + len(number)] = (number << _COUNT_BITS) | np.minimum(columns[-1], np.uint64(least))
+            at += len(number)
+        pairs.sort()
+        often = _often(pairs, least).astype(np.uint64)
+        del pairs
+        held, size, upto = [[np.zeros(0, np.uint64)] * (key[1].as_py() + 2)], 0, most
+        for columns, number in streams():
+            kept = np.searchsorted(often, number, "right") > np.searchsorted(often, number)
+            held.append([c[kept] for c in columns])
+            size += len(held[-1][0])
+            if size >= upto:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                upto = max(most, 2 * size)
+        *rows, n = _summed(held)
+        total = n.astype(np.int64)
+        matrix = np.stack(rows, axis=1)[total >= least]
+        return pa.table({"key": _matrix_keys(matrix, np.full(len(matrix), matrix.shape[1])), "n": pa.array(total[total >= least])})
 
     return merged
 
@@ -292,13 +397,12 @@ def _merged_phrases(longest: int, least: int):
 
 def _key_matrix(keys: pa.ChunkedArray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
-    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
-    flat = np.frombuffer(keys.buffers()[2], ">u8", count=offsets[-1] // 8).astype(np.uint64)
-    size = np.diff(offsets) // 8
+    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+    size = np.diff(offsets).astype(np.int64) // 8
     out = np.zeros((len(keys), longest + 1), np.uint64)
-    row = np.repeat(np.arange(len(keys)), size)
-    begin = offsets[:-1] // 8
-    out[row, np.arange(begin[0] if len(begin) else 0, offsets[-1] // 8) - begin[row]] = flat[(begin[0] if len(begin) else 0) :]
+    # keys lie one after the other, as the places that are filled do
+    inside = np.arange(longest + 1)[None, :] < size[:, None]
+    out[inside] = np.frombuffer(keys.buffers()[2], ">u8", count=offsets[-1] // 8)[offsets[0] // 8 :]
     return out, size
 
 
@@ -354,17 +458,20 @@ def _walk(longest: int, reverse: bool):
             same = child[n[child] == n[last[child]]]
             covered[last[same]] = True
         out = own | covered
-        matrix, size, parts = matrix[out], size[out], parts[out]
+        if not out.all():  # one after the other, to hold little twice
+            matrix = matrix[out]
+            parts = parts[out]
+            size, n, own, covered = size[out], n[out], own[out], covered[out]
         if reverse:
             matrix = _reversed_words(matrix, size)
         offsets = np.arange(0, parts.size + 1, longest, dtype=np.int32)
         return pa.table(
             {
                 "key": _matrix_keys(matrix, size),
-                "n": pa.array(n[out]),
-                "own": pa.array(own[out]),
+                "n": pa.array(n),
+                "own": pa.array(own),
                 "parts": pa.ListArray.from_arrays(offsets, pa.array(parts.ravel())),
-                "covered": pa.array(covered[out]),
+                "covered": pa.array(covered),
             }
         )
 
@@ -373,9 +480,11 @@ def _walk(longest: int, reverse: bool):
 
 def _reversed_words(matrix: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The words of each key in reverse; the language stays first."""
-    at = np.arange(matrix.shape[1])[None, :]
-    source = np.where((at > 0) & (at < size[:, None]), size[:, None] - at, at)
-    return np.take_along_axis(matrix, source, axis=1)
+    out = matrix.copy()
+    for k in range(3, matrix.shape[1] + 1):  # rows with k numbers
+        rows = np.flatnonzero(size == k)
+        out[rows, 1:k] = matrix[rows, 1:k][:, ::-1]
+    return out
 
 
 def _turned(longest: int):
@@ -392,7 +501,7 @@ def _walked(stream: DataFrame, rows: int, longest: int, reverse: bool, range_row
     if reverse:
         stream = materialize(stream.mapInArrow(_turned(longest), "key binary, n long"))
     laid = _laid_out(stream, rows, range_rows)
-    walked = laid.groupBy("part").applyInArrow(_walk(longest, reverse), "key binary, n long, own boolean, parts array<long>, covered boolean")
+    walked = laid.groupBy("part").applyInArrow(tidy(_walk(longest, reverse)), "key binary, n long, own boolean, parts array<long>, covered boolean")
     # a phrase that is a beginning in several ranges: any of them may tell that it is covered
     return walked.groupBy("key").agg(
         F.max("n").alias("n"), F.max(F.when(F.col("own"), F.col("parts"))).alias("parts"), F.max("covered").alias("covered")
@@ -401,16 +510,18 @@ def _walked(stream: DataFrame, rows: int, longest: int, reverse: bool, range_row
 
 def phrase_scores(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text: str = "text", lang: str = "lang", range_rows: int = RANGE_ROWS, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
     """Scored phrases: key, a, l, r, n, score; and words: lang, word, number, n."""
+    least = max(least, 1)  # no phrase that occurs has a lower count
     rows = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
     counted = rows.mapInArrow(tidy_batches(_count_words), "lang string, word binary, number long, n long")
     words = materialize(counted.groupBy("lang", "word").agg(F.max("number").alias("number"), F.sum("n").alias("n")))
     frequent = materialize(words.where(F.col("n") >= least).mapInArrow(_word_keys, "key binary, slot long, n long"))
     size = total_bytes(rows, "text")
-    known: list[Known] = [partial(in_bitmap, bitmap_of(frequent, "slot"))]
+    known: list[Known] = [LastBits(bitmap_of(frequent, "slot")).has]
     for _ in range(min(longest, KNOWN_RUNS) - 1):
         known.append(frequent_runs(rows, known, least, size, part_bytes).has)
-    phrases = rows.mapInArrow(tidy_batches(_phrase_streams(known, longest, parts_for(size, part_bytes))), "part int, phrases binary")
-    longer = phrases.groupBy("part").applyInArrow(_merged_phrases(longest, least), "key binary, n long")
+    streams = _phrase_streams(known, longest, parts_for(size, part_bytes))
+    phrases = rows.mapInArrow(tidy_batches(streams), "part int, words int, rows long, phrases binary")
+    longer = phrases.groupBy("part", "words").applyInArrow(tidy(_merged_phrases(least)), "key binary, n long")
     all_words = words.groupBy("lang").agg(F.sum("n").alias("n")).mapInArrow(_language_keys, "key binary, n long")
     stream = materialize(longer.union(frequent.select("key", "n")).union(all_words))
     n_rows = stream.count()

@@ -1,13 +1,17 @@
 """Collocations, importance resampling and the n-gram join against plain versions, and the helpers under them."""
 
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from assaylane.llm import bitmaps, collocations, components, importance, linking, near, ngram_join, radix
@@ -73,6 +77,86 @@ def test_collocations_of_nothing(spark):
     assert collocations.collocations(table(spark, common_rows()), least=10**6).collect() == []
 
 
+def lettered(n_words, vocabulary, seed, rows=50):
+    """A batch of ``n_words`` words of a few letters."""
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, vocabulary, n_words // rows)) for _ in range(rows)]
+    return pa.record_batch([pa.array(texts), pa.array(["en"] * rows)], names=["text", "lang"])
+
+
+def every(numbers):
+    return np.ones(len(numbers), bool)
+
+
+def test_run_streams_of_large_inputs_are_as_small():
+    batch, least = lettered(20_000, 300, 1), 100
+    pairs = 50 * (20_000 // 50 - 1)
+    for size in (10**6, 10**9, 10**10, 10**13):
+        parts = min(collocations.parts_for(size, collocations.PART_BYTES), 5_000)
+        bits = collocations.run_bits(size, parts)
+        out = list(collocations._run_streams([every], bits, parts, least)(iter([batch])))
+        assert sum(len(b.as_py()) for o in out for name in ("ids", "counts") for b in o.column(name)) <= 5 * pairs
+
+
+def test_runs_of_many_chunks_are_summed():
+    least, bits, parts, kept = 5, collocations.run_bits(10**12, 3), 3, 20
+    rng = np.random.default_rng(2)
+    streams, total = [[] for _ in range(parts)], Counter()
+    edges = [(i << bits) // parts for i in range(parts + 1)]
+    for _ in range(40):
+        numbers, counts = np.unique(np.concatenate([rng.integers(0, 1 << bits, 200), rng.choice([7, 1 << 32, (1 << bits) - 1, *edges[1:3]], 9)]), return_counts=True)
+        total.update(dict(zip(numbers.tolist(), counts.tolist())))
+        for i in range(parts):
+            own = (numbers >= edges[i]) & (numbers < edges[i + 1])
+            streams[i].append(((numbers[own] - edges[i]).astype(np.uint32).tobytes(), np.minimum(counts[own], least).astype(np.uint8).tobytes()))
+    found = set()
+    for i in range(parts):
+        table = pa.table({"ids": pa.array([s[0] for s in streams[i]], pa.binary()), "counts": pa.array([s[1] for s in streams[i]], pa.binary())})
+        out = collocations._merged(bits, parts, least, kept)((pa.scalar(i),), table).to_pylist()[0]
+        found |= set((np.flatnonzero(np.unpackbits(np.frombuffer(out["marks"], np.uint8), bitorder="little")) + 8 * out["at"]).tolist())
+    assert found == {x >> (bits - kept) for x, n in total.items() if n >= least} and len(found) == 5
+    pairs = np.sort(np.repeat(np.arange(1, 50, dtype=np.uint64), 3) << np.uint64(32) | np.uint64(2))
+    for block in (1, 2, 7, 1000):
+        assert collocations._often(pairs, 6, block).tolist() == [*range(1, 50)] and collocations._often(pairs, 7, block).tolist() == []
+
+
+def test_phrases_are_merged_in_little_memory():
+    """A part holds many phrases that come once in a chunk; few of them are frequent."""
+    least, streams, plain = 30, collocations._phrase_streams([every] * 3, 5, 1), Counter()
+    batches = [lettered(10_000, 40, seed) for seed in range(12)]
+    table = pa.Table.from_batches([o for b in batches for o in streams(iter([b]))])
+    for text in (t for b in batches for t in b.column("text").to_pylist()):
+        words = text.split(" ")
+        for k in range(2, 6):
+            plain.update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    want = sorted(n for n in plain.values() if n >= least)
+    found = []
+    for k in range(2, 6):
+        own = table.filter(pa.compute.equal(table["words"], k))
+        for most in (1 << 18, 1000):
+            merge = collocations._merged_phrases(least, most)
+            tracemalloc.start()
+            out = merge((pa.scalar(0), pa.scalar(k)), own)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert {len(x) for x in out["key"].to_pylist()} <= {8 * (k + 1)}
+            assert len(set(out["key"].to_pylist())) == out.num_rows
+        found += out["n"].to_pylist()
+        if k == 5:
+            rows = sum(own["rows"].to_pylist())
+            assert rows > 100_000 and peak < 60 * rows
+    assert sorted(found) == want and len(want) > 1000
+
+
+def test_sets_are_sent_compressed():
+    marks = np.zeros(1 << 20, np.uint8)
+    marks[[3, 77_777]] = 5
+    for known in (collocations.TopBits(23, marks), collocations.LastBits(marks.view(np.uint64))):
+        sent = cloudpickle.dumps(known.has)
+        numbers = np.random.default_rng(3).integers(0, 1 << 63, 200_000).astype(np.uint64)
+        assert len(sent) < 50_000 and (pickle.loads(sent)(numbers) == known.has(numbers)).all()
+
+
 def test_scores_beyond_64_bits(spark):
     rows = [(i, "rare pair. " + "common " * 3_000, "en") for i in range(150)]
     top = collocations.collocations(table(spark, rows)).where("phrase = 'rare pair'").first()
